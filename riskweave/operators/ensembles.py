@@ -1,0 +1,187 @@
+"""Bagged trees and boosted stumps, built from Spark's decision tree."""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.operators.order_statistics import hash_key
+from riskweave.session import shared_dir
+
+
+class _VoteParams(Params):
+    memberCols = Param(Params._dummy(), "memberCols", "one output column per member", TypeConverters.toListString)
+    scratchCols = Param(Params._dummy(), "scratchCols", "columns to drop afterwards", TypeConverters.toListString)
+
+
+def _sum(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _two_class(dataset: DataFrame, p: Column, drop: list[str]) -> DataFrame:
+    """Write probability and prediction from the probability of class 1."""
+    return (
+        dataset.withColumn("_p", p)
+        .withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p"))))
+        .withColumn("prediction", (F.col("_p") > 0.5).cast("double"))
+        .drop("_p", *drop)
+    )
+
+
+class MeanProbability(Transformer, _VoteParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Average the members' class probabilities."""
+
+    @keyword_only
+    def __init__(self, *, memberCols=None, scratchCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        members = self.getOrDefault(self.memberCols)
+        p = _sum([vector_to_array(F.col(c))[1] for c in members]) / len(members)
+        return _two_class(dataset, p, members + self.getOrDefault(self.scratchCols))
+
+
+class WeightedVote(Transformer, _VoteParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Weighted vote of 0/1 members; the margin becomes a probability by a sigmoid."""
+
+    weights = Param(Params._dummy(), "weights", "weight per member", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, memberCols=None, scratchCols=None, weights=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        members = self.getOrDefault(self.memberCols)
+        weights = self.getOrDefault(self.weights)
+        votes = [(F.col(c) * 2 - 1) * w for c, w in zip(members, weights)]
+        margin = _sum(votes) * (2 / sum(weights))
+        return _two_class(dataset, 1 / (1 + F.exp(-margin)), members + self.getOrDefault(self.scratchCols))
+
+
+class _EnsembleParams(Params):
+    featuresCol = Param(Params._dummy(), "featuresCol", "feature vector", TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "0/1 label", TypeConverters.toString)
+    rounds = Param(Params._dummy(), "rounds", "number of members", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
+
+
+def poisson_draws(u: Column, mean: float) -> Column:
+    """Number of draws of a row when a bootstrap takes ``mean`` draws per row."""
+    chain, below, mass, k = F, 0.0, math.exp(-mean), 0
+    while below + mass < 1 - 1e-12:
+        below += mass
+        chain = chain.when(u < below, F.lit(float(k)))
+        k += 1
+        mass *= mean / k
+    return chain.otherwise(F.lit(float(k)))
+
+
+class BaggedTrees(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Deep trees, each on a bootstrap sample of rows and a subset of features.
+
+    A row's number of draws is a Poisson variate of a hash of its id and the
+    round, used as the row's weight. Rows are neither copied nor moved, and a
+    recomputed partition draws the same sample again.
+    """
+
+    idCol = Param(Params._dummy(), "idCol", "row id that seeds the draws", TypeConverters.toString)
+    rowShare = Param(Params._dummy(), "rowShare", "draws per row", TypeConverters.toFloat)
+    featureShare = Param(Params._dummy(), "featureShare", "share of features", TypeConverters.toFloat)
+    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(
+        self, *, featuresCol="features", labelCol="label", idCol="loan_id", rounds=100,
+        rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42,
+    ):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(
+            featuresCol="features", labelCol="label", idCol="loan_id", rounds=100,
+            rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42,
+        )
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        get = self.getOrDefault
+        features, label = get(self.featuresCol), get(self.labelCol)
+        width = len(dataset.select(features).first()[0])
+        chosen = np.random.RandomState(get(self.seed))
+        stages, outputs, slices = [], [], []
+        for i in range(get(self.rounds)):
+            picked = sorted(chosen.permutation(width)[: max(1, int(get(self.featureShare) * width))].tolist())
+            sliced, output = f"bag_features_{i}", f"bag_probability_{i}"
+            slicer = VectorSlicer(inputCol=features, outputCol=sliced, indices=picked)
+            # 13 hex digits of the hash as a uniform number in [0, 1)
+            u = F.conv(F.substring(hash_key(F.col(get(self.idCol)), get(self.seed), i), 1, 13), 16, 10).cast("double") / float(16**13)
+            drawn = dataset.withColumn("bag_draws", poisson_draws(u, get(self.rowShare))).where("bag_draws > 0")
+            tree = DecisionTreeClassifier(
+                featuresCol=sliced, labelCol=label, weightCol="bag_draws", maxDepth=get(self.maxDepth),
+                seed=get(self.seed) + i, probabilityCol=output, rawPredictionCol="", predictionCol="",
+            )
+            stages += [slicer, tree.fit(slicer.transform(drawn))]
+            outputs.append(output)
+            slices.append(sliced)
+        return PipelineModel(stages=[*stages, MeanProbability(memberCols=outputs, scratchCols=slices)])
+
+
+class BoostedStumps(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Discrete two-class boosting of depth-1 trees.
+
+    Reweighting is a narrow column expression; a reliable checkpoint every few
+    rounds keeps that expression short.
+    """
+
+    checkpointInterval = Param(Params._dummy(), "checkpointInterval", "rounds between checkpoints", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", rounds=100, seed=42, checkpointInterval=10):
+        super().__init__()
+        self._set(**self._input_kwargs)
+        self._setDefault(featuresCol="features", labelCol="label", rounds=100, seed=42, checkpointInterval=10)
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        get = self.getOrDefault
+        features, label = get(self.featuresCol), get(self.labelCol)
+        shared_dir(dataset.sparkSession)
+        rows = dataset.select(features, label).withColumn("boost_weight", F.lit(1.0))
+        stages, outputs, weights = [], [], []
+        for i in range(get(self.rounds)):
+            output = f"boost_vote_{i}"
+            stump = DecisionTreeClassifier(
+                featuresCol=features, labelCol=label, weightCol="boost_weight", maxDepth=1,
+                seed=get(self.seed) + i, predictionCol=output, probabilityCol="", rawPredictionCol="",
+            ).fit(rows)
+            voted = stump.transform(rows)
+            wrong = F.col(output) != F.col(label)
+            error = voted.agg(
+                F.try_divide(F.sum(F.when(wrong, F.col("boost_weight")).otherwise(0.0)), F.sum("boost_weight"))
+            ).first()[0]
+            if error is None or error >= 0.5:
+                if not stages:
+                    raise ValueError("a single stump is no better than chance on these rows")
+                break
+            stages.append(stump)
+            outputs.append(output)
+            if error <= 0:
+                weights.append(1.0)
+                break
+            weights.append(math.log((1 - error) / error))
+            # wrong rows gain, right ones lose, and the total weight stays the same
+            factor = F.when(wrong, 1 / (2 * error)).otherwise(1 / (2 * (1 - error)))
+            rows = voted.select(features, label, (F.col("boost_weight") * factor).alias("boost_weight"))
+            if (i + 1) % get(self.checkpointInterval) == 0:
+                rows = rows.checkpoint()
+        return PipelineModel(stages=[*stages, WeightedVote(memberCols=outputs, scratchCols=[], weights=weights)])
