@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# The functions travel inside the UDF, so workers need not have this package.
+register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -50,14 +57,15 @@ def two_sided_p(t: float, dof: float) -> float:
     return regularised_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else two_sided_p(a, b) for a, b in zip(t, dof)], dtype="float64")
-
-
 def student_p_value(t: Column, dof: Column) -> Column:
     """Two-sided p-value; meant for aggregated rows, one per tested feature."""
-    return _p_value(t, dof)
+
+    @F.pandas_udf(T.DoubleType())
+    def p_value(ts: pd.Series, dofs: pd.Series) -> pd.Series:
+        pairs = [None if pd.isna(a) or pd.isna(b) else two_sided_p(a, b) for a, b in zip(ts, dofs)]
+        return pd.Series(pairs, dtype="float64")
+
+    return p_value(t, dof)
 
 
 def pooled_t(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, var_b: Column, n_b: Column) -> Column:

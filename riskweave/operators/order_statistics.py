@@ -30,7 +30,7 @@ def hash_key(*parts: Column | str | int) -> Column:
 def key_cuts(
     keyed: DataFrame, group: str, key: str, ranks: Callable[[int], Sequence[int]]
 ) -> dict[object, list[str]]:
-    """For each group, key prefixes such that ``at_or_below`` holds for exactly r rows.
+    """For each group, largest keys such that ``at_or_below`` holds for exactly r rows.
 
     ``ranks`` maps a group's row count to ascending ranks r. Groups must be few
     (classes, repeats); their sizes may be as skewed as they like. Rows that
@@ -93,17 +93,15 @@ def _descend(counters, todo, cuts, depth: int, width: int):
                     break
                 seen += n
             if seen + n == rank or depth >= HEX_KEY_LENGTH:
-                cuts[g][position] = prefix
+                cuts[g][position] = prefix.ljust(HEX_KEY_LENGTH, "f")
             else:
                 deeper.setdefault((g, prefix), []).append((position, rank - seen))
     return deeper
 
 
-def at_or_below(key: Column, cut: str) -> Column:
+def at_or_below(key: Column, cut: Column | str) -> Column:
     """Whether a key ranks at or before a cut; the empty cut holds no rows."""
-    if not cut:
-        return F.lit(False)
-    return F.substring(key, 1, len(cut)) <= cut
+    return key <= cut
 
 
 def running_totals(

@@ -7,7 +7,6 @@ Membership depends only on the row's id and the seed. The exact sizes come from
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +19,15 @@ def _half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
 
-def _by_group(group: str, cuts: dict[object, list[str]], build) -> Column:
-    """``build(cuts of the row's own group)`` chosen by the group column."""
-    chain = F
-    for value, group_cuts in cuts.items():
-        chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), build(group_cuts))
-    return chain
+def cuts_of(group: str, cuts: dict[object, list[str]]) -> Column:
+    """The cuts of the row's own group as an array, from a literal lookup."""
+    arrays = {g: F.array(*[F.lit(c) for c in cs]) for g, cs in cuts.items()}
+    if None in arrays or len(arrays) <= 4:
+        chain = F
+        for value, array in arrays.items():
+            chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), array)
+        return chain
+    return F.element_at(F.create_map(*[x for g, a in arrays.items() for x in (F.lit(g), a)]), F.col(group))
 
 
 def mark_test_rows(
@@ -38,7 +40,7 @@ def mark_test_rows(
     )
     if not cuts:
         return df.withColumn("is_test", F.lit(False))
-    return df.withColumn("is_test", _by_group(label, cuts, lambda c: at_or_below(shuffled, c[0])))
+    return df.withColumn("is_test", at_or_below(shuffled, cuts_of(label, cuts)[0]))
 
 
 def stratified_split(
@@ -64,13 +66,11 @@ def stratified_folds(
     if not cuts:
         return df.withColumn("fold", F.lit(1))
 
-    def number(group_cuts: list[str]) -> Column:
-        chain = F
-        for fold, cut in enumerate(group_cuts, start=1):
-            chain = chain.when(at_or_below(shuffled, cut), F.lit(fold))
-        return chain.otherwise(F.lit(k)) if group_cuts else F.lit(k)
-
-    return df.withColumn("fold", _by_group(label, cuts, number))
+    ends = cuts_of(label, cuts)
+    chain = F
+    for fold in range(1, k):
+        chain = chain.when(at_or_below(shuffled, ends[fold - 1]), F.lit(fold))
+    return df.withColumn("fold", F.lit(k) if chain is F else chain.otherwise(F.lit(k)))
 
 
 def _repeats(df: DataFrame, repeats: int) -> DataFrame:
@@ -89,7 +89,7 @@ def shuffle_splits(
         lambda n: [math.ceil(share * n)],
     )
     return _repeats(df, repeats).withColumn(
-        "is_test", _by_group("repeat", cuts, lambda c: at_or_below(shuffled, c[0]))
+        "is_test", at_or_below(shuffled, cuts_of("repeat", cuts)[0])
     )
 
 
@@ -111,11 +111,8 @@ def nested_samples(
         df.select(group, shuffled.alias("_key")), group, "_key", lambda n: sample_ranks(n, fractions)
     )
 
-    def smallest(group_cuts: list[str]) -> Column:
-        return reduce(
-            lambda chain, item: chain.when(at_or_below(shuffled, item[1]), F.lit(item[0])),
-            enumerate(group_cuts, start=1),
-            F,
-        )
-
-    return df.withColumn("sample_no", _by_group(group, cuts, smallest))
+    own = cuts_of(group, cuts)
+    chain = F
+    for number in range(1, len(fractions) + 1):
+        chain = chain.when(at_or_below(shuffled, own[number - 1]), F.lit(number))
+    return df.withColumn("sample_no", chain)

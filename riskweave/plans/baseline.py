@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ class BaselineResult:
     fold_description: DataFrame
     learning_curve: DataFrame
 
+    def release(self) -> None:
+        self.predicted.unpersist()
+
 
 def baseline_predictions(credit: DataFrame, as_of: str, **rules) -> DataFrame:
     """Cleaned rows with the rule-based prediction.
@@ -57,6 +61,7 @@ def run_baseline(
     credit: DataFrame, as_of: str, share: float = 0.2, seed: int = 42, repeats: int = REPEATS
 ) -> BaselineResult:
     predicted = baseline_predictions(credit, as_of).select(KEY, TARGET, "prediction")
+    predicted = predicted.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = stratified_split(predicted, share=share, seed=seed)
     folds = baseline_folds(train, FOLDS, seed)
     return BaselineResult(

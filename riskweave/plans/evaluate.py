@@ -8,13 +8,13 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.metrics import class_metrics, classification_report, detailed_metrics, ratio
 from riskweave.operators.models import Sizes, fit_classifier, scored_rows
 from riskweave.operators.order_statistics import at_or_below, hash_key, key_cuts
-from riskweave.operators.splits import sample_ranks, shuffle_splits, stratified_folds
+from riskweave.operators.splits import cuts_of, sample_ranks, shuffle_splits, stratified_folds
 from riskweave.operators.validation import with_violations
 from riskweave.plans.score import score_records, with_exclusions
 from riskweave.schema import KEY, TARGET
@@ -177,15 +177,15 @@ def rule_learning_curve(
     train_keys = copies.where(~F.col("is_test")).select("repeat", shuffled.alias("_key"))
     cuts = key_cuts(train_keys, "repeat", "_key", lambda n: sample_ranks(n, list(fractions)))
 
-    def in_sample(position: int):
-        chain = F
-        for repeat, group_cuts in cuts.items():
-            chain = chain.when(F.col("repeat") == repeat, at_or_below(shuffled, group_cuts[position]))
-        return chain.otherwise(F.lit(False)) & ~F.col("is_test")
+    own = cuts_of("repeat", cuts)
+    keyed = copies.withColumn("_key", shuffled).withColumn("_cuts", own)
+
+    def in_sample(position: int) -> Column:
+        return ~F.col("is_test") & at_or_below(F.col("_key"), F.col("_cuts")[position])
 
     positive = F.col(label) == 1
     hit = positive & (F.col("prediction") == 1)
-    counts = copies.groupBy("repeat").agg(
+    counts = keyed.groupBy("repeat").agg(
         F.count(F.when(F.col("is_test") & positive, 1)).alias("test_pos"),
         F.count(F.when(F.col("is_test") & hit, 1)).alias("test_hit"),
         *[

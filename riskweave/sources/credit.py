@@ -29,8 +29,10 @@ def load_credit(spark: SparkSession, path: str) -> DataFrame:
 def _readable(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
 
 
