@@ -187,7 +187,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
         """select model, part, label, score, cast(case when score>=0.2 then 1 else 0 end as int) as prediction from (
  select m.model, p.part, c.label, cast((c.loan_id*m.factor)%1000 as double)/1000 as score
  from (select loan_id, Pago_atiempo as label, is_test,
-  ntile(5) over (partition by Pago_atiempo order by md5(loan_id||':42')) as fold from split) c,
+  ntile(5) over (partition by is_test, Pago_atiempo order by md5(loan_id||':42')) as fold from split) c,
  (values ('m7919', 7919), ('m37', 37), ('m611', 611)) m(model, factor),
  unnest(case when c.is_test then ['test'] else ['train', 'fold_'||c.fold] end) as p(part))""",
     ),

@@ -586,10 +586,11 @@ RULE_MODELS = {"m7919": 7919, "m37": 37, "m611": 611}
 
 def model_parts(spark, d) -> DataFrame:
     """Metrics per (model, part) of three fixed scores over all loans."""
-    rows = splits.mark_test_rows(credit_table(spark, d, [S.TARGET]))
-    rows = splits.stratified_folds(rows)
-    folds = F.concat(F.lit("fold_"), F.col("fold").cast("string"))
-    parts = F.when(F.col("is_test"), F.array(F.lit("test"))).otherwise(F.array(F.lit("train"), folds))
+    train_rows, test_rows = splits.stratified_split(credit_table(spark, d, [S.TARGET]))
+    folded = splits.stratified_folds(train_rows)
+    rows = folded.unionByName(test_rows.withColumn("fold", F.lit(None).cast("int")))
+    own_fold = F.concat(F.lit("fold_"), F.col("fold").cast("string"))
+    parts = F.when(F.col("fold").isNull(), F.array(F.lit("test"))).otherwise(F.array(F.lit("train"), own_fold))
     models = F.array(
         *[
             F.struct(F.lit(n).alias("model"), (((F.col(S.KEY) * m) % 1000).cast("double") / 1000).alias("score"))

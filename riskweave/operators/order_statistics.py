@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 HEX_KEY_LENGTH = 32
 FIRST_DIGITS = 2
-MAX_COUNTERS = 65_536
+MAX_COUNTERS = 262_144
 BUCKET_ROWS = 250_000
 
 
@@ -50,7 +50,7 @@ def key_cuts(
     todo = _descend(counters, {k: v for k, v in todo.items() if v}, cuts, depth, depth)
     while todo:
         width = _digits(len(todo), HEX_KEY_LENGTH - depth)
-        inside = keyed.where(_any_prefix(group, key, todo, depth))
+        inside = keyed.where(_in_open_search(group, key, todo, depth))
         depth += width
         counters = _count_prefixes(inside, group, key, depth)
         todo = _descend(counters, todo, cuts, depth, width)
@@ -68,15 +68,22 @@ def _digits(open_searches: int, left: int) -> int:
     return width
 
 
-def _any_prefix(group: str, key: str, todo, depth: int) -> Column:
-    per_group: dict[object, list[str]] = {}
+def group_lookup(group: str, values: dict[object, list[str]]) -> Column:
+    """The row's own group's text values as an array, from literals."""
+    arrays = {g: F.array(*[F.lit(v) for v in vs]) for g, vs in values.items()}
+    if None in arrays or len(arrays) <= 4:
+        chain = F
+        for value, array in arrays.items():
+            chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), array)
+        return chain
+    return F.element_at(F.create_map(*[x for g, a in arrays.items() for x in (F.lit(g), a)]), F.col(group))
+
+
+def _in_open_search(group: str, key: str, todo, depth: int) -> Column:
+    prefixes: dict[object, list[str]] = {}
     for g, prefix in todo:
-        per_group.setdefault(g, []).append(prefix)
-    head = F.substring(key, 1, depth)
-    return reduce(
-        lambda a, b: a | b,
-        [F.col(group).eqNullSafe(F.lit(g)) & head.isin(ps) for g, ps in per_group.items()],
-    )
+        prefixes.setdefault(g, []).append(prefix)
+    return F.array_contains(group_lookup(group, prefixes), F.substring(key, 1, depth))
 
 
 def _descend(counters, todo, cuts, depth: int, width: int):
@@ -111,6 +118,7 @@ def running_totals(
     measures: dict[str, str],
     descending: bool = False,
     bucket_rows: int = BUCKET_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Cumulative sums of ``measures`` along ``order`` inside each ``within`` group.
 
@@ -118,8 +126,9 @@ def running_totals(
     double. A group may be arbitrarily large: above ``bucket_rows`` distinct
     order values the axis is cut at quantiles, each (group, bucket) accumulates
     in its own task, and the totals of the earlier buckets are added as offsets.
+    ``rows`` is the row count of ``df`` if the caller has it; else it is counted.
     """
-    cuts = _axis_cuts(df, order, bucket_rows)
+    cuts = _axis_cuts(df, order, bucket_rows, df.count() if rows is None else rows)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     keys = list(within)
     if not cuts:
@@ -161,9 +170,8 @@ def running_totals(
     )
 
 
-def _axis_cuts(df: DataFrame, order: str, bucket_rows: int) -> list[float]:
+def _axis_cuts(df: DataFrame, order: str, bucket_rows: int, rows: int) -> list[float]:
     """Quantile cut points of the order axis; none when one bucket is enough."""
-    rows = df.count()
     if rows <= bucket_rows:
         return []
     pieces = min(-(-rows // bucket_rows), 4096)
@@ -201,10 +209,13 @@ def exact_medians(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCK
 
 
 def _middle_values(counts: DataFrame, columns: Sequence[str], bucket_rows: int) -> dict[str, float | None]:
-    totals = {r["name"]: r["total"] for r in counts.groupBy("name").agg(F.sum("n").alias("total")).collect()}
+    sizes = counts.groupBy("name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).collect()
+    totals = {r["name"]: r["total"] for r in sizes}
     if not totals:
         return {c: None for c in columns}
-    ranked = running_totals(counts, ["name"], "value", {"n": "upto"}, bucket_rows=bucket_rows)
+    ranked = running_totals(
+        counts, ["name"], "value", {"n": "upto"}, bucket_rows=bucket_rows, rows=sum(r["rows"] for r in sizes)
+    )
     low = {c: (t + 1) // 2 for c, t in totals.items()}
     high = {c: t // 2 + 1 for c, t in totals.items()}
     first = F.col("upto") - F.col("n")

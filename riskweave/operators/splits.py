@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.order_statistics import at_or_below, hash_key, key_cuts
+from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
 from riskweave.schema import KEY, TARGET
 
 
@@ -19,15 +19,9 @@ def _half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
 
-def cuts_of(group: str, cuts: dict[object, list[str]]) -> Column:
-    """The cuts of the row's own group as an array, from a literal lookup."""
-    arrays = {g: F.array(*[F.lit(c) for c in cs]) for g, cs in cuts.items()}
-    if None in arrays or len(arrays) <= 4:
-        chain = F
-        for value, array in arrays.items():
-            chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), array)
-        return chain
-    return F.element_at(F.create_map(*[x for g, a in arrays.items() for x in (F.lit(g), a)]), F.col(group))
+def _with_key(df: DataFrame, key: Column) -> DataFrame:
+    """Hash once per row; later expressions refer to the column."""
+    return df.withColumn("_key", key)
 
 
 def mark_test_rows(
@@ -40,7 +34,7 @@ def mark_test_rows(
     )
     if not cuts:
         return df.withColumn("is_test", F.lit(False))
-    return df.withColumn("is_test", at_or_below(shuffled, cuts_of(label, cuts)[0]))
+    return df.withColumn("is_test", at_or_below(shuffled, group_lookup(label, cuts)[0]))
 
 
 def stratified_split(
@@ -66,11 +60,14 @@ def stratified_folds(
     if not cuts:
         return df.withColumn("fold", F.lit(1))
 
-    ends = cuts_of(label, cuts)
+    if k == 1:
+        return df.withColumn("fold", F.lit(1))
+    ends = F.col("_ends")
     chain = F
     for fold in range(1, k):
-        chain = chain.when(at_or_below(shuffled, ends[fold - 1]), F.lit(fold))
-    return df.withColumn("fold", F.lit(k) if chain is F else chain.otherwise(F.lit(k)))
+        chain = chain.when(at_or_below(F.col("_key"), ends[fold - 1]), F.lit(fold))
+    keyed = _with_key(df, shuffled).withColumn("_ends", group_lookup(label, cuts))
+    return keyed.withColumn("fold", chain.otherwise(F.lit(k))).drop("_key", "_ends")
 
 
 def _repeats(df: DataFrame, repeats: int) -> DataFrame:
@@ -89,7 +86,7 @@ def shuffle_splits(
         lambda n: [math.ceil(share * n)],
     )
     return _repeats(df, repeats).withColumn(
-        "is_test", at_or_below(shuffled, cuts_of("repeat", cuts)[0])
+        "is_test", at_or_below(shuffled, group_lookup("repeat", cuts)[0])
     )
 
 
@@ -111,8 +108,8 @@ def nested_samples(
         df.select(group, shuffled.alias("_key")), group, "_key", lambda n: sample_ranks(n, fractions)
     )
 
-    own = cuts_of(group, cuts)
     chain = F
     for number in range(1, len(fractions) + 1):
-        chain = chain.when(at_or_below(shuffled, own[number - 1]), F.lit(number))
-    return df.withColumn("sample_no", chain)
+        chain = chain.when(at_or_below(F.col("_key"), F.col("_cuts")[number - 1]), F.lit(number))
+    keyed = _with_key(df, shuffled).withColumn("_cuts", group_lookup(group, cuts))
+    return keyed.withColumn("sample_no", chain).drop("_key", "_cuts")

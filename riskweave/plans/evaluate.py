@@ -7,14 +7,15 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.metrics import class_metrics, classification_report, detailed_metrics, ratio
 from riskweave.operators.models import Sizes, fit_classifier, scored_rows
-from riskweave.operators.order_statistics import at_or_below, hash_key, key_cuts
-from riskweave.operators.splits import cuts_of, sample_ranks, shuffle_splits, stratified_folds
+from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
+from riskweave.operators.splits import sample_ranks, shuffle_splits, stratified_folds
 from riskweave.operators.validation import with_violations
 from riskweave.plans.score import score_records, with_exclusions
 from riskweave.schema import KEY, TARGET
@@ -95,7 +96,13 @@ def evaluate_classifier(
             scored_rows(model, test, label).withColumn("part", F.lit("test")),
         ]
     )
-    return model, detailed_metrics(parts, ["part"]).withColumn("model", F.lit(name))
+    # scored once, then read by every metric; what remains is one row per part
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        measured = detailed_metrics(parts, ["part"]).withColumn("model", F.lit(name))
+        return model, train.sparkSession.createDataFrame(measured.collect(), measured.schema)
+    finally:
+        parts.unpersist()
 
 
 def report_on(model: Model, test: DataFrame, label: str = TARGET) -> DataFrame:
@@ -177,7 +184,7 @@ def rule_learning_curve(
     train_keys = copies.where(~F.col("is_test")).select("repeat", shuffled.alias("_key"))
     cuts = key_cuts(train_keys, "repeat", "_key", lambda n: sample_ranks(n, list(fractions)))
 
-    own = cuts_of("repeat", cuts)
+    own = group_lookup("repeat", cuts)
     keyed = copies.withColumn("_key", shuffled).withColumn("_cuts", own)
 
     def in_sample(position: int) -> Column:

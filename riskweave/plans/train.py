@@ -16,7 +16,7 @@ from riskweave.operators.models import MODEL_NAMES, Sizes, scored_rows
 from riskweave.operators.metrics import classification_report
 from riskweave.operators.splits import stratified_folds, stratified_split
 from riskweave.operators.validation import require_columns
-from riskweave.plans.evaluate import evaluate_classifier
+from riskweave.plans.evaluate import evaluate_classifier, stack
 from riskweave.plans.features import base_pipeline, require_complete
 from riskweave.schema import KEY, TARGET
 from riskweave.sources.artifacts import save_artifacts
@@ -78,19 +78,16 @@ def train_all(
     train, test, features = prepare(credit, as_of, share, seed)
     train = stratified_folds(train, k, TARGET, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    spark = credit.sparkSession
 
     models: dict[str, Model] = {}
-    measured: list = []
-    schema = None
+    measured: list[DataFrame] = []
     for name in names:
         models[name], parts = evaluate_classifier(
             name, train, test, k=k, seed=seed, sizes=sizes, parallelism=parallelism
         )
-        schema = parts.schema
-        measured += parts.collect()  # one row per part: k + 2
+        measured.append(parts)  # one row per part: k + 2
 
-    parts = spark.createDataFrame(measured, schema)
+    parts = stack(measured)
     leaderboard = rank_models(result_rows(parts), primary, secondary)
     best = leaderboard.first()["model"]
     if folder:
