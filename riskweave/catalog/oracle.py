@@ -252,7 +252,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     ),
     "resized": (
         ["repeats"],
-        """select *, row_number() over (partition by repeat order by md5(loan_id||':'||repeat||':size')) as place,
+        """select *, row_number() over (partition by repeat order by md5(loan_id||':'||repeat||':123')) as place,
  count(*) over (partition by repeat) as train_n from repeats where not is_test""",
     ),
 }

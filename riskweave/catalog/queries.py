@@ -85,6 +85,9 @@ def record_batch(spark, d):
 @register
 def log_append(spark, d):
     location = scratch_path(spark, "log")
+    name = "prediction_log_" + location[-32:]
+    prediction_log.create_log(spark, name, location)
+    prediction_log.create_log(spark, name, location)
     rows = credit_table(spark, d, [*S.LOGGED_FEATURES, "tipo_laboral"])
     results = risk.with_risk(fixed_score(rows).withColumnRenamed("score", "probability"))
     # one row in seven arrives without a result and takes the defaults
@@ -93,8 +96,8 @@ def log_append(spark, d):
         {c: F.when(answered, F.col(c)) for c in ("prediction", "probability", "risk_level")}
     )
     for _ in range(2):  # the repeated append replaces its own batch
-        prediction_log.append_predictions(results, location, "batch-1", LOG_AS_OF)
-    log = prediction_log.read_log(spark, location)
+        prediction_log.insert_predictions(results, name, "batch-1", LOG_AS_OF)
+    log = spark.table(name)
     return log.select(
         F.get_json_object("input_data", "$.tipo_laboral").alias("tipo_laboral"),
         "prediction", "probability", "risk_level", *S.LOGGED_FEATURES, F.col("log_date").cast("string").alias("log_date"),

@@ -21,6 +21,7 @@ from riskweave.functions.risk import fallback_probability
 from riskweave.operators.ensembles import BaggedTrees, BoostedStumps
 from riskweave.operators.encoding import FEATURES
 from riskweave.schema import KEY
+from riskweave.session import shared_dir
 
 # Spark bounds tree depth; this is its largest, standing in for "unbounded".
 DEEPEST = 30
@@ -104,6 +105,7 @@ def fit_classifier(
     if name in BALANCED:
         per_class = {c: total / (len(counts) * n) for c, n in counts.items()}
     elif name == "gradient_boosting":
+        shared_dir(train.sparkSession)  # boosting checkpoints its growing lineage there
         per_class = {0: 1.0, 1: counts.get(0, 0) / max(counts.get(1, 0), 1)}
     else:
         per_class = None

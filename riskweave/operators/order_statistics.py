@@ -19,6 +19,7 @@ HEX_KEY_LENGTH = 32
 FIRST_DIGITS = 2
 MAX_COUNTERS = 262_144
 BUCKET_ROWS = 250_000
+MAX_BUCKETS = 16_384
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -174,7 +175,7 @@ def _axis_cuts(df: DataFrame, order: str, bucket_rows: int, rows: int) -> list[f
     """Quantile cut points of the order axis; none when one bucket is enough."""
     if rows <= bucket_rows:
         return []
-    pieces = min(-(-rows // bucket_rows), 4096)
+    pieces = min(-(-rows // bucket_rows), MAX_BUCKETS)
     shares = [i / pieces for i in range(1, pieces)]
     found = df.agg(F.percentile_approx(order, shares, 10 * pieces)).first()[0]
     return sorted(set(found))

@@ -70,24 +70,35 @@ def stratified_folds(
     return keyed.withColumn("fold", chain.otherwise(F.lit(k))).drop("_key", "_ends")
 
 
-def _repeats(df: DataFrame, repeats: int) -> DataFrame:
-    return df.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores before each is copied many times in place.
+
+    The copies are only counted, never shuffled, so the narrow rows are what
+    moves. Hashing by key keeps a recomputed partition identical.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def repeated(df: DataFrame, repeats: int, key: str = KEY, seed: int = 123) -> DataFrame:
+    """One copy of the rows per repeat, each with the ``_key`` that orders that repeat."""
+    copies = spread(df, key).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return _with_key(copies, hash_key(F.col(key), F.col("repeat"), seed))
+
+
+def test_size(n: int, share: float) -> int:
+    return math.ceil(share * n)
 
 
 def shuffle_splits(
     df: DataFrame, repeats: int = 50, share: float = 0.2, key: str = KEY, seed: int = 123
 ) -> DataFrame:
     """One copy of the rows per repeat, each with its own random test part."""
-    shuffled = hash_key(F.col(key), F.col("repeat"), seed)
     cuts = key_cuts(
-        _repeats(df.select(key), repeats).select("repeat", shuffled.alias("_key")),
-        "repeat",
-        "_key",
-        lambda n: [math.ceil(share * n)],
-    )
-    return _repeats(df, repeats).withColumn(
-        "is_test", at_or_below(shuffled, group_lookup("repeat", cuts)[0])
+        repeated(df.select(key), repeats, key, seed), "repeat", "_key", lambda n: [test_size(n, share)]
     )
+    copies = repeated(df, repeats, key, seed)
+    is_test = at_or_below(F.col("_key"), group_lookup("repeat", cuts)[0])
+    return copies.withColumn("is_test", is_test).drop("_key")
 
 
 def sample_ranks(n: int, fractions: list[float]) -> list[int]:

@@ -9,13 +9,13 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.metrics import class_metrics, classification_report, detailed_metrics, ratio
 from riskweave.operators.models import Sizes, fit_classifier, scored_rows
 from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
-from riskweave.operators.splits import sample_ranks, shuffle_splits, stratified_folds
+from riskweave.operators.splits import repeated, sample_ranks, stratified_folds, test_size
 from riskweave.operators.validation import with_violations
 from riskweave.plans.score import score_records, with_exclusions
 from riskweave.schema import KEY, TARGET
@@ -177,28 +177,32 @@ def rule_learning_curve(
 
     Its prediction of a row is the same in every repeat, so all repeats and
     sizes are counted in one aggregation over the split copies instead of one
-    fit each.
+    fit each. In a repeat's key order the test rows come first, then the
+    training rows, so a training size is a run of ranks.
     """
-    copies = shuffle_splits(predicted.select(KEY, label, "prediction"), repeats, share, seed=seed)
-    shuffled = hash_key(F.col(KEY), F.col("repeat"), "size")
-    train_keys = copies.where(~F.col("is_test")).select("repeat", shuffled.alias("_key"))
-    cuts = key_cuts(train_keys, "repeat", "_key", lambda n: sample_ranks(n, list(fractions)))
-
-    own = group_lookup("repeat", cuts)
-    keyed = copies.withColumn("_key", shuffled).withColumn("_cuts", own)
-
-    def in_sample(position: int) -> Column:
-        return ~F.col("is_test") & at_or_below(F.col("_key"), F.col("_cuts")[position])
-
-    positive = F.col(label) == 1
-    hit = positive & (F.col("prediction") == 1)
-    counts = keyed.groupBy("repeat").agg(
-        F.count(F.when(F.col("is_test") & positive, 1)).alias("test_pos"),
-        F.count(F.when(F.col("is_test") & hit, 1)).alias("test_hit"),
+
+    def ranks(n: int) -> list[int]:
+        held_out = test_size(n, share)
+        return [held_out, *[held_out + size for size in sample_ranks(n - held_out, list(fractions))]]
+
+    cuts = key_cuts(repeated(predicted.select(KEY), repeats, seed=seed), "repeat", "_key", ranks)
+    copies = repeated(predicted.select(KEY, label, "prediction"), repeats, seed=seed).withColumn(
+        "_cuts", group_lookup("repeat", cuts)
+    )
+    copies = copies.select(
+        "repeat",
+        (F.col(label) == 1).alias("positive"),
+        ((F.col(label) == 1) & (F.col("prediction") == 1)).alias("hit"),
+        at_or_below(F.col("_key"), F.col("_cuts")[0]).alias("is_test"),
+        *[at_or_below(F.col("_key"), F.col("_cuts")[i + 1]).alias(f"within_{i}") for i in range(len(fractions))],
+    )
+    counts = copies.groupBy("repeat").agg(
+        F.count(F.when(F.col("is_test") & F.col("positive"), 1)).alias("test_pos"),
+        F.count(F.when(F.col("is_test") & F.col("hit"), 1)).alias("test_hit"),
         *[
-            F.count(F.when(in_sample(i) & test, 1)).alias(f"{name}_{i}")
+            F.count(F.when(~F.col("is_test") & F.col(f"within_{i}") & test, 1)).alias(f"{name}_{i}")
             for i in range(len(fractions))
-            for name, test in (("pos", positive), ("hit", hit), ("n", F.lit(True)))
+            for name, test in (("pos", F.col("positive")), ("hit", F.col("hit")), ("n", F.lit(True)))
         ],
     )
     sizes = F.array(

@@ -75,14 +75,20 @@ def log_rows(scored: DataFrame, logged_at: str | datetime | None = None) -> Data
     return shaped.select(identifier.alias("id"), *[f.name for f in PREDICTION_LOG_SCHEMA if f.name != "id"])
 
 
+def _batch_rows(scored: DataFrame, batch: str, logged_at: str | datetime | None) -> DataFrame:
+    return (
+        log_rows(scored, logged_at)
+        .withColumn(DAY, as_day(F.col("timestamp")))
+        .withColumn(BATCH, F.lit(batch))
+    )
+
+
 def append_predictions(
     scored: DataFrame, location: str, batch: str, logged_at: str | datetime | None = None
 ) -> None:
-    """Append one named batch; writing the same batch again replaces it."""
-    rows = log_rows(scored, logged_at)
+    """Append one named batch to the log's files; the same batch again replaces it."""
     (
-        rows.withColumn(DAY, as_day(F.col("timestamp")))
-        .withColumn(BATCH, F.lit(batch))
+        _batch_rows(scored, batch, logged_at)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY, BATCH)
@@ -90,6 +96,18 @@ def append_predictions(
     )
 
 
+def insert_predictions(
+    scored: DataFrame, table: str, batch: str, logged_at: str | datetime | None = None
+) -> None:
+    """The same for a table made by ``create_log``."""
+    (
+        _batch_rows(scored, batch, logged_at)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .insertInto(table)
+    )
+
+
 def read_log(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.schema(LOG_TABLE_SCHEMA).parquet(location)
 
