@@ -664,6 +664,18 @@ SELECTS: dict[str, tuple[list[str], str]] = {
             f"select cast({a} as int) as actual, cast({b} as int) as predicted, n{a}{b} as n from ruledcounts" for a in (0, 1) for b in (0, 1)
         ),
     ),
+    "baseline_learning_curve": (
+        ["ruledsplit"],
+        """select fraction, round(avg(t),6) as train_score_mean, round(avg(v),6) as validation_score_mean,
+ round(stddev_pop(t),6) as train_score_std, round(stddev_pop(v),6) as validation_score_std, round(avg(t)-avg(v),6) as gap
+ from (with copies as (select label, prediction, repeat, row_number() over (partition by repeat order by md5(loan_id||':'||repeat||':123')) as place,
+  count(*) over (partition by repeat) as n, ceil(cast(0.2 as double)*count(*) over (partition by repeat)) as held
+  from ruledsplit, range(1, 51) r(repeat) where not is_test),
+ v as (select repeat, coalesce(count_if(label=1 and prediction=1)/nullif(count_if(label=1),0),0) as v from copies where place<=held group by repeat)
+ select repeat, fraction, coalesce(count_if(label=1 and prediction=1)/nullif(count_if(label=1),0),0) as t, any_value(v.v) as v
+ from copies join v using (repeat), (select unnest([0.1,0.325,0.55,0.775,1.0])::double as fraction) f
+ where place>held and place-held<=greatest(1,floor(fraction*(n-held))) group by repeat, fraction) group by fraction""",
+    ),
     "baseline_folds": (
         ["ruledfolds"],
         "select cast(fold as int) as fold, round(accuracy,6) as accuracy, round(precision_1,6) as precision, "

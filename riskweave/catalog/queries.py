@@ -629,17 +629,23 @@ def rule_learning_curve(spark, d):
 
 @register
 def baseline_report(spark, d):
-    return baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF, repeats=1).report
+    return baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF).report()
 
 
 @register
 def baseline_confusion(spark, d):
-    return baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF, repeats=1).confusion
+    return baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF).confusion()
+
+
+@register
+def baseline_learning_curve(spark, d):
+    curve = baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF).learning_curve()
+    return rounded(curve, 6, *curve.columns)
 
 
 @register
 def baseline_folds(spark, d):
-    folds = baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF, repeats=1).folds
+    folds = baseline.run_baseline(credit_table(spark, d), CREDIT_AS_OF).folds()
     return rounded(folds, 6, "accuracy", "precision", "recall", "f1")
 
 
@@ -689,7 +695,7 @@ def trained_on_table(name: str) -> Query:
         train_rows, test_rows, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
         train_rows = train_rows.persist()
         model = fit_classifier(name, train_rows, S.TARGET, sizes=QUERY_SIZES)
-        rows = scored_rows(model, test_rows, S.TARGET).withColumn("model", F.lit(name))
+        rows = scored_rows(model, test_rows, S.TARGET).withColumn("model", F.lit(name)).persist()
         return metrics.detailed_metrics(rows, ["model"])
 
     query.__name__ = f"train_{name}"

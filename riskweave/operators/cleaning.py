@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalars import credit_age_months, loan_month
-from riskweave.operators.order_statistics import exact_medians
+from riskweave.operators.order_statistics import medians_and_means
 from riskweave.schema import AGE_LIMIT, EXCLUDED_CREDIT_TYPES, MEAN_COLUMNS, MEDIAN_COLUMNS
 
 
@@ -136,9 +136,7 @@ class MissingValueFiller(Estimator, _FillParams, DefaultParamsReadable, DefaultP
     def _fit(self, dataset: DataFrame) -> MissingValueFillerModel:
         medians = self.getOrDefault(self.medianColumns)
         means = self.getOrDefault(self.meanColumns)
-        fills = exact_medians(dataset, medians)
-        row = dataset.agg(*[F.avg(c).alias(c) for c in means]).first()
-        fills |= {c: row[c] for c in means}
+        fills = medians_and_means(dataset, medians, means)
         known = {c: v for c, v in fills.items() if v is not None}
         return MissingValueFillerModel(columns=list(known), values=[float(v) for v in known.values()])
 

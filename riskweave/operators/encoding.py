@@ -20,10 +20,12 @@ class PopulationScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Centre to mean 0 and divide by the population deviation, as ``num__`` columns."""
 
     columns = Param(Params._dummy(), "columns", "numeric columns", TypeConverters.toListString)
+    complete = Param(Params._dummy(), "complete", "refuse missing values", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, columns=None):
+    def __init__(self, *, columns=None, complete=False):
         super().__init__()
+        self._setDefault(complete=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> PopulationScalerModel:
@@ -31,7 +33,11 @@ class PopulationScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         row = dataset.agg(
             *[F.avg(c).alias(f"m_{c}") for c in columns],
             *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
+            *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}") for c in columns],
         ).first()
+        missing = [f"{c} ({row[f'n_{c}']} rows)" for c in columns if row[f"n_{c}"]]
+        if missing and self.getOrDefault(self.complete):
+            raise ValueError(f"missing values in {', '.join(missing)}")
         means = [float(row[f"m_{c}"] or 0.0) for c in columns]
         # a constant column is only centred
         scales = [float(row[f"s_{c}"] or 1.0) for c in columns]
@@ -73,14 +79,14 @@ class FillMissingCategory(Transformer, DefaultParamsReadable, DefaultParamsWrita
 def encoding_stages(numeric: list[str] | None = None, categorical: list[str] | None = None) -> list:
     """Stages from cleaned columns to one ``features`` vector.
 
-    Known categories become unit vectors; unseen ones take the index "keep"
+    Training on a missing number fails and names the column. Known categories become unit vectors; unseen ones take the index "keep"
     reserves, which ``dropLast`` turns into all zeros.
     """
     numeric = list(numeric or NUMERIC_FEATURES)
     categorical = list(categorical or CATEGORICAL_FEATURES)
     indexed = [f"index__{c}" for c in categorical]
     return [
-        PopulationScaler(columns=numeric),
+        PopulationScaler(columns=numeric, complete=True),
         FillMissingCategory(columns=categorical),
         StringIndexer(
             inputCols=[f"filled__{c}" for c in categorical],

@@ -2,7 +2,7 @@
 
 ``key_cuts`` finds the hash keys that close given ranks by descending a radix
 histogram: every pass is one map-side combined count, and only bounded counter
-rows reach the driver. ``exact_medians`` does the same for numbers by counting
+rows reach the driver. ``medians_and_means`` does the same for numbers by counting
 distinct values and accumulating those counts over value ranges.
 """
 
@@ -181,57 +181,67 @@ def _axis_cuts(df: DataFrame, order: str, bucket_rows: int, rows: int) -> list[f
     return sorted(set(found))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> dict[str, float | None]:
-    """Exact medians (mean of the two middle values) of numeric columns.
+def medians_and_means(
+    df: DataFrame, medians: Sequence[str], means: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
+) -> dict[str, float | None]:
+    """Exact medians (mean of the two middle values) and means of numeric columns.
 
-    One pass counts each distinct value of every column; the middle ranks are
-    then read off the accumulated counts, so no task holds a whole column.
+    One pass over ``df`` counts each distinct value of the median columns and
+    sums up the mean columns; the middle ranks are then read off the accumulated
+    counts, so no task holds a whole column.
     """
-    melted = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.name", "cell.value")
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"), F.lit(c in medians).alias("ranked"))
+            for c in dict.fromkeys([*medians, *means])
+        ]
+    )
     counts = (
-        melted.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(cells))
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .groupBy("name", F.when(F.col("ranked"), F.col("value")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .persist()
     )
     try:
-        return _middle_values(counts, columns, bucket_rows)
+        sizes = {
+            r["name"]: r
+            for r in counts.groupBy("name")
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("rows"))
+            .collect()
+        }
+        found = {c: sizes[c]["total"] / sizes[c]["n"] for c in means if c in sizes}
+        ranked = {c: sizes[c] for c in medians if c in sizes}
+        if ranked:
+            found |= _middle_values(counts, ranked, bucket_rows)
+        return {c: found.get(c) for c in [*medians, *means]}
     finally:
         counts.unpersist()
 
 
-def _middle_values(counts: DataFrame, columns: Sequence[str], bucket_rows: int) -> dict[str, float | None]:
-    sizes = counts.groupBy("name").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).collect()
-    totals = {r["name"]: r["total"] for r in sizes}
-    if not totals:
-        return {c: None for c in columns}
+def _middle_values(counts: DataFrame, sizes: dict, bucket_rows: int) -> dict[str, float]:
     ranked = running_totals(
-        counts, ["name"], "value", {"n": "upto"}, bucket_rows=bucket_rows, rows=sum(r["rows"] for r in sizes)
+        counts.where(F.col("value").isNotNull()).select("name", "value", "n"),
+        ["name"],
+        "value",
+        {"n": "upto"},
+        bucket_rows=bucket_rows,
+        rows=sum(r["rows"] for r in sizes.values()),
     )
-    low = {c: (t + 1) // 2 for c, t in totals.items()}
-    high = {c: t // 2 + 1 for c, t in totals.items()}
     first = F.col("upto") - F.col("n")
 
-    def holds(rank: dict[str, int]) -> Column:
-        return reduce(
-            lambda a, b: a | b,
-            [(F.col("name") == c) & (first < r) & (F.col("upto") >= r) for c, r in rank.items()],
-        )
+    def holds(name: str, rank: int) -> Column:
+        return (F.col("name") == name) & (first < rank) & (F.col("upto") >= rank)
 
+    wanted = [holds(c, rank) for c, r in sizes.items() for rank in {(r["n"] + 1) // 2, r["n"] // 2 + 1}]
     middle = (
-        ranked.where(holds(low) | holds(high))
+        ranked.where(reduce(lambda a, b: a | b, wanted))
         .groupBy("name")
         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
         .collect()
     )
-    found = {r["name"]: (r["lo"] + r["hi"]) / 2 for r in middle}
-    return {c: found.get(c) for c in columns}
+    return {r["name"]: (r["lo"] + r["hi"]) / 2 for r in middle}
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> dict[str, float | None]:
+    return medians_and_means(df, columns, bucket_rows=bucket_rows)

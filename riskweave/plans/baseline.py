@@ -22,19 +22,6 @@ REPEATS = 50
 FOLDS = 10
 
 
-@dataclass
-class BaselineResult:
-    predicted: DataFrame
-    report: DataFrame
-    confusion: DataFrame
-    folds: DataFrame
-    fold_description: DataFrame
-    learning_curve: DataFrame
-
-    def release(self) -> None:
-        self.predicted.unpersist()
-
-
 def baseline_predictions(credit: DataFrame, as_of: str, **rules) -> DataFrame:
     """Cleaned rows with the rule-based prediction.
 
@@ -57,18 +44,37 @@ def baseline_folds(train: DataFrame, k: int = FOLDS, seed: int = 42) -> DataFram
     )
 
 
-def run_baseline(
-    credit: DataFrame, as_of: str, share: float = 0.2, seed: int = 42, repeats: int = REPEATS
-) -> BaselineResult:
+@dataclass
+class Baseline:
+    """Predictions of all cleaned rows and their split; results are made on demand."""
+
+    predicted: DataFrame
+    train: DataFrame
+    test: DataFrame
+    seed: int
+
+    def report(self) -> DataFrame:
+        return classification_report(self.test, label=TARGET)
+
+    def confusion(self) -> DataFrame:
+        return confusion_matrix(self.test, label=TARGET)
+
+    def folds(self, k: int = FOLDS) -> DataFrame:
+        return baseline_folds(self.train, k, self.seed)
+
+    def fold_description(self, k: int = FOLDS) -> DataFrame:
+        return describe_metrics(self.folds(k), BASELINE_REPORT)
+
+    def learning_curve(self, repeats: int = REPEATS) -> DataFrame:
+        return learning_curve_summary(rule_learning_curve(self.train, FRACTIONS, repeats))
+
+    def release(self) -> None:
+        self.predicted.unpersist()
+
+
+def run_baseline(credit: DataFrame, as_of: str, share: float = 0.2, seed: int = 42) -> Baseline:
+    """Clean, predict and split; three narrow columns are kept for the reports."""
     predicted = baseline_predictions(credit, as_of).select(KEY, TARGET, "prediction")
     predicted = predicted.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = stratified_split(predicted, share=share, seed=seed)
-    folds = baseline_folds(train, FOLDS, seed)
-    return BaselineResult(
-        predicted,
-        classification_report(test, label=TARGET),
-        confusion_matrix(test, label=TARGET),
-        folds,
-        describe_metrics(folds, BASELINE_REPORT),
-        learning_curve_summary(rule_learning_curve(train, FRACTIONS, repeats)),
-    )
+    return Baseline(predicted, train, test, seed)

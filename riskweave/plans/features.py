@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riskweave.operators.cleaning import (
     AsCategory,
@@ -15,7 +13,7 @@ from riskweave.operators.cleaning import (
     MissingValueFiller,
 )
 from riskweave.operators.encoding import encoding_stages
-from riskweave.schema import NUMERIC_FEATURES, SPARSE_COLUMNS, UNUSED_COLUMNS
+from riskweave.schema import SPARSE_COLUMNS, UNUSED_COLUMNS
 
 
 def base_stages(as_of: str) -> list:
@@ -38,11 +36,3 @@ def base_pipeline(as_of: str) -> Pipeline:
 def ml_pipeline(as_of: str) -> Pipeline:
     """Cleaning, then scaling and encoding into ``features``."""
     return Pipeline(stages=[*base_stages(as_of), *encoding_stages()])
-
-
-def require_complete(cleaned: DataFrame) -> None:
-    """Training cannot use a missing number: fail and name the columns."""
-    row = cleaned.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in NUMERIC_FEATURES]).first()
-    missing = [f"{c} ({row[c]} rows)" for c in NUMERIC_FEATURES if row[c]]
-    if missing:
-        raise ValueError(f"missing values in {', '.join(missing)}")

@@ -6,18 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.encoding import encoding_stages
 from riskweave.operators.leaderboard import rank_models, result_rows
 from riskweave.operators.models import MODEL_NAMES, Sizes, scored_rows
 from riskweave.operators.metrics import classification_report
 from riskweave.operators.splits import stratified_folds, stratified_split
 from riskweave.operators.validation import require_columns
 from riskweave.plans.evaluate import evaluate_classifier, stack
-from riskweave.plans.features import base_pipeline, require_complete
+from riskweave.plans.features import ml_pipeline
 from riskweave.schema import KEY, TARGET
 from riskweave.sources.artifacts import save_artifacts
 
@@ -39,13 +38,9 @@ class TrainingResult:
 
 
 def fit_features(train: DataFrame, as_of: str) -> PipelineModel:
-    """Fit cleaning and encoding on the training rows, refusing missing numbers."""
+    """Fit cleaning and encoding on the training rows."""
     require_columns(train)
-    base = base_pipeline(as_of).fit(train)
-    cleaned = base.transform(train)
-    require_complete(cleaned)
-    encoder = Pipeline(stages=encoding_stages()).fit(cleaned)
-    return PipelineModel(stages=[*base.stages, *encoder.stages])
+    return ml_pipeline(as_of).fit(train)
 
 
 def prepare(
