@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 register_pickle_by_value(sys.modules[__name__])
 
 
+NORMAL_DOF = 1e6
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, modified Lentz scheme."""
     tiny = 1e-300
@@ -54,6 +57,12 @@ def regularised_beta(a: float, b: float, x: float) -> float:
 
 def two_sided_p(t: float, dof: float) -> float:
     """P(|T| >= |t|) for Student's t with ``dof`` degrees of freedom."""
+    if dof > NORMAL_DOF:
+        # gamma functions of such size cancel badly; the normal tail with its
+        # first correction is exact to about 1 / dof**2
+        z = abs(t)
+        density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        return min(1.0, math.erfc(z / math.sqrt(2)) + density * (z**3 + z) / (2 * dof))
     return regularised_beta(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
