@@ -19,13 +19,16 @@ from riskweave.schema import AGE_LIMIT, EXCLUDED_CREDIT_TYPES, MEAN_COLUMNS, MED
 
 
 def below_limit(column: str, limit: float) -> Column:
-    """Rows below the limit; a missing value does not pass."""
-    return F.coalesce(F.col(column) < limit, F.lit(False))
+    """Rows below the limit; a missing value is neither and so does not pass a filter."""
+    return F.col(column) < limit
 
 
 def not_excluded(column: str, values: list[str]) -> Column:
-    """Rows outside the excluded values; a missing value passes."""
-    return ~F.coalesce(F.col(column).isin(values), F.lit(False))
+    """Rows outside the excluded values; a missing value passes.
+
+    Written without ``coalesce`` so that the scan can evaluate it.
+    """
+    return F.col(column).isNull() | ~F.col(column).isin(values)
 
 
 class _Stage(Transformer, DefaultParamsReadable, DefaultParamsWritable):

@@ -50,26 +50,30 @@ def drift_status(log: DataFrame, as_of: str | datetime) -> DataFrame:
 def drift_by_feature(log: DataFrame, as_of: str | datetime, features: list[str] | None = None) -> DataFrame:
     """Means, change, t-test and drift flag per feature; empty when data are too few.
 
-    One scan and one small shuffle: features become rows, and both windows are
-    aggregated side by side.
+    One scan without exploding rows: every task sends one row of partial
+    aggregates, and features become rows only after that.
     """
     features = [f for f in (features or LOGGED_FEATURES) if f in log.columns]
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
-    )
-    melted = _marked(log, as_of).select("is_recent", F.inline(cells))
     new, old = F.col("is_recent"), ~F.col("is_recent")
-
-    def window(test, prefix: str) -> list:
-        value = F.when(test, F.col("value"))
-        return [
-            F.count(F.when(test, 1)).alias(f"{prefix}_rows"),
-            F.count(value).alias(f"{prefix}_n"),
-            F.avg(value).alias(f"{prefix}_mean"),
-            F.var_samp(value).alias(f"{prefix}_var"),
-        ]
-
-    stats = melted.groupBy("feature").agg(*window(new, "recent"), *window(old, "older"))
+    kinds = {"n": F.count, "mean": F.avg, "var": F.var_samp}
+    sides = {"recent": new, "older": old}
+    totals = _marked(log, as_of).agg(
+        *[F.count(F.when(test, 1)).alias(f"{side}_rows") for side, test in sides.items()],
+        *[
+            kind(F.when(test, F.col(f).cast("double"))).alias(f"{side}_{name}__{f}")
+            for f in features
+            for side, test in sides.items()
+            for name, kind in kinds.items()
+        ],
+    )
+    rows = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            *[F.col(f"{side}_{name}__{f}").alias(f"{side}_{name}") for side in sides for name in kinds],
+        )
+        for f in features
+    ]
+    stats = totals.select("recent_rows", "older_rows", F.inline(F.array(*rows)))
     enough = (
         (F.col("recent_rows") >= MIN_RECENT_ROWS)
         & (F.col("recent_rows") + F.col("older_rows") >= MIN_TOTAL_ROWS)

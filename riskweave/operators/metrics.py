@@ -30,15 +30,20 @@ def f1(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall)
 
 
-def confusion_counts(df: DataFrame, within: Sequence[str] = (), label=LABEL, prediction=PREDICTION) -> DataFrame:
+def _tally(test: Column, copies: str | None) -> Column:
+    """Rows that pass, or the copies they stand for when rows are already counted."""
+    if copies is None:
+        return F.count(F.when(test, 1))
+    return F.sum(F.when(test, F.col(copies)).otherwise(0))
+
+
+def confusion_counts(
+    df: DataFrame, within: Sequence[str] = (), label=LABEL, prediction=PREDICTION, copies: str | None = None
+) -> DataFrame:
     """Wide confusion counts n00, n01, n10, n11 (actual, predicted) per group."""
     y, p = F.col(label), F.col(prediction)
     return df.groupBy(*within).agg(
-        *[
-            F.count(F.when((y == a) & (p == b), 1)).alias(f"n{a}{b}")
-            for a in (0, 1)
-            for b in (0, 1)
-        ]
+        *[_tally((y == a) & (p == b), copies).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
     )
 
 
@@ -92,9 +97,11 @@ def overall_metrics(df: DataFrame, within: Sequence[str] = (), label=LABEL, pred
     )
 
 
-def class_metrics(df: DataFrame, within: Sequence[str] = (), label=LABEL, prediction=PREDICTION) -> DataFrame:
+def class_metrics(
+    df: DataFrame, within: Sequence[str] = (), label=LABEL, prediction=PREDICTION, copies: str | None = None
+) -> DataFrame:
     """Accuracy and precision, recall, F1 of both classes, one row per group."""
-    return _with_rates(confusion_counts(df, within, label, prediction)).select(
+    return _with_rates(confusion_counts(df, within, label, prediction, copies)).select(
         *within,
         "accuracy",
         *[f"{name}_{c}" for c in (0, 1) for name in ("precision", "recall", "f1")],
@@ -125,21 +132,29 @@ def classification_report(
     return rated.select(*within, F.inline(F.array(*rows)))
 
 
-def threshold_counts(df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE) -> DataFrame:
-    """Positives and negatives per distinct score: all that the curves need."""
-    scored = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return scored.groupBy(*within, F.col(score).cast("double").alias("threshold")).agg(
-        F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
-        F.count(F.when(F.col(label) != 1, 1)).alias("neg"),
+def threshold_counts(
+    df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, copies: str | None = None
+) -> DataFrame:
+    """Positives and negatives per distinct score: all that the curves need.
+
+    Rows that are already counted keep their missing scores as one empty group:
+    a filter would be pushed below that count and keep it from being shared.
+    """
+    present = F.col(score).isNotNull()
+    rows = df if copies else df.where(present & F.col(label).isNotNull())
+    return rows.groupBy(*within, F.col(score).cast("double").alias("threshold")).agg(
+        _tally(present & (F.col(label) == 1), copies).alias("pos"),
+        _tally(present & (F.col(label) != 1), copies).alias("neg"),
     )
 
 
 def cumulative_counts(
-    df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS,
+    copies: str | None = None,
 ) -> DataFrame:
     """True and false positives at every distinct threshold, from the highest down."""
     return running_totals(
-        threshold_counts(df, within, label, score),
+        threshold_counts(df, within, label, score, copies),
         within,
         "threshold",
         {"pos": "tp", "neg": "fp"},
@@ -149,90 +164,91 @@ def cumulative_counts(
 
 
 def curve_areas(
-    df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS,
+    copies: str | None = None,
 ) -> DataFrame:
     """Exact ROC AUC (trapezoids) and average precision per group.
 
     ROC AUC is null when a group has one class only; average precision is 0
     when it has no positives.
     """
-    curve = cumulative_counts(df, within, label, score, bucket_rows)
+    curve = cumulative_counts(df, within, label, score, bucket_rows, copies)
     positives, negatives = F.sum("pos"), F.sum("neg")
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    steps = F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp")))
     return curve.groupBy(*within).agg(
         F.try_divide(area, positives.cast("double") * negatives).alias("roc_auc"),
         ratio(steps, positives).alias("pr_auc"),
     )
 
 
-def _with_totals(curve: DataFrame, within: Sequence[str]) -> DataFrame:
-    """Append each group's class totals; one tiny row per evaluation."""
-    totals = curve.groupBy(*within).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+def _totals(df: DataFrame, within: Sequence[str], label: str, score: str) -> DataFrame:
+    """Each group's class totals; one tiny row per evaluation."""
+    totals = threshold_counts(df, within, label, score).groupBy(*within)
+    totals = totals.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    if within:
+        return totals
+    return df.sparkSession.createDataFrame(totals.collect(), totals.schema)
+
+
+def _curve(df, within, label, score, bucket_rows, start: dict[str, Column], point: dict[str, Column]) -> DataFrame:
+    """Points at every threshold, and the fixed point at the end where nothing is predicted positive."""
+    totals = _totals(df, within, label, score)
+    counts = cumulative_counts(df, within, label, score, bucket_rows)
     if within:
-        return curve.join(totals, list(within))
-    row = totals.first()
-    return curve.withColumns({k: F.lit(row[k]).cast("long") for k in ("all_pos", "all_neg")})
+        counts = counts.join(totals, list(within))
+    else:
+        row = totals.first()
+        counts = counts.withColumns({k: F.lit(row[k]).cast("long") for k in ("all_pos", "all_neg")})
+    points = counts.select(*within, "threshold", *[c.alias(k) for k, c in point.items()])
+    ends = totals.where(F.col("all_pos") + F.col("all_neg") > 0).select(
+        *within, F.lit(None).cast("double").alias("threshold"), *[c.alias(k) for k, c in start.items()]
+    )
+    return points.unionByName(ends)
 
 
 def roc_curve(
     df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """fpr and tpr at every distinct threshold plus the (0, 0) start (null threshold)."""
-    curve = _with_totals(cumulative_counts(df, within, label, score, bucket_rows), within)
-    points = curve.select(
-        *within,
-        "threshold",
-        F.try_divide(F.col("fp").cast("double"), F.col("all_neg").cast("double")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")).alias("tpr"),
+    return _curve(
+        df, within, label, score, bucket_rows,
+        {"fpr": F.lit(0.0), "tpr": F.lit(0.0)},
+        {
+            "fpr": F.try_divide(F.col("fp").cast("double"), F.col("all_neg").cast("double")),
+            "tpr": F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")),
+        },
     )
-    return points.unionByName(_end_point(df, within, {"fpr": 0.0, "tpr": 0.0}))
 
 
 def precision_recall_curve(
     df: DataFrame, within: Sequence[str] = (), label=LABEL, score=SCORE, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Precision and recall per threshold, the (1, 0) end point, and the baseline mean(y)."""
-    curve = _with_totals(cumulative_counts(df, within, label, score, bucket_rows), within)
     baseline = F.col("all_pos") / (F.col("all_pos") + F.col("all_neg"))
-    points = curve.select(
-        *within,
-        "threshold",
-        ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")), F.lit(1.0)).alias("recall"),
-        baseline.alias("baseline"),
-    )
-    base = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*within)
-        .agg(F.avg((F.col(label) == 1).cast("double")).alias("baseline"))
-        .select(
-            *within,
-            F.lit(None).cast("double").alias("threshold"),
-            F.lit(1.0).alias("precision"),
-            F.lit(0.0).alias("recall"),
-            "baseline",
-        )
-    )
-    return points.unionByName(base)
-
-
-def _end_point(df: DataFrame, within: Sequence[str], values: dict[str, float]) -> DataFrame:
-    groups = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.select(
-        *within,
-        F.lit(None).cast("double").alias("threshold"),
-        *[F.lit(v).alias(k) for k, v in values.items()],
+    recall = F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double"))
+    return _curve(
+        df, within, label, score, bucket_rows,
+        {"precision": F.lit(1.0), "recall": F.lit(0.0), "baseline": baseline},
+        {
+            "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+            "recall": F.coalesce(recall, F.lit(1.0)),
+            "baseline": baseline,
+        },
     )
 
 
 def detailed_metrics(
     df: DataFrame, within: Sequence[str], label=LABEL, prediction=PREDICTION, score=SCORE
 ) -> DataFrame:
-    """Class metrics joined with the curve areas: one row per group."""
-    return class_metrics(df, within, label, prediction).join(
-        curve_areas(df, within, label, score), list(within), "left"
-    )
+    """Class metrics joined with the curve areas: one row per group.
+
+    Rows are first counted per (group, label, prediction, score); both kinds of
+    metric are rolled up from those counts, which Spark shuffles once.
+    """
+    cells = df.groupBy(*within, label, prediction, score).agg(F.count(F.lit(1)).alias("copies"))
+    areas = curve_areas(cells, within, label, score, copies="copies")
+    return class_metrics(cells, within, label, prediction, "copies").join(areas, list(within), "left")
 
 
 def segment_performance(df: DataFrame, segment: str = "tipo_laboral", label=LABEL, prediction=PREDICTION) -> DataFrame:

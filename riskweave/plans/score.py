@@ -27,7 +27,7 @@ def exclusion_reasons(filled: list[str]) -> Column:
     """Why the feature pipeline would drop a record, or could not use it."""
     needed = [c for c in NUMERIC_FEATURES if c not in {*filled, "edad_cliente", "antiguedad_credito_meses"}]
     tests = {
-        "age": ~below_limit("edad_cliente", AGE_LIMIT),
+        "age": ~F.coalesce(below_limit("edad_cliente", AGE_LIMIT), F.lit(False)),
         "credit_type": ~not_excluded("tipo_credito", EXCLUDED_CREDIT_TYPES),
         "missing::fecha_prestamo": F.col("fecha_prestamo").isNull(),
         **{f"missing::{c}": F.col(c).isNull() for c in needed},

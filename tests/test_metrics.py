@@ -106,3 +106,21 @@ def test_leaderboard_score_is_never_negative(spark):
     assert {r["model"]: r["credit_score"] for r in leaderboard.rank_models(df, "p", "s").collect()} == {
         "a": 0.0, "b": pytest.approx(0.9),
     }
+
+
+def test_detailed_metrics_count_rows_without_score(spark):
+    rows = [("g", 1, 1, 0.9), ("g", 0, 0, 0.1), ("g", 1, 0, None), ("h", 1, 1, None)]
+    df = spark.createDataFrame(rows, "part string, label int, prediction int, score double")
+    found = {r["part"]: r for r in metrics.detailed_metrics(df, ["part"]).collect()}
+    assert found["g"]["accuracy"] == pytest.approx(2 / 3) and found["g"]["roc_auc"] == 1.0
+    assert found["h"]["accuracy"] == 1.0 and found["h"]["roc_auc"] is None
+
+
+def test_detailed_metrics_shuffle_the_rows_once(spark):
+    df = spark.range(1000).select(
+        F.col("id").cast("double").alias("score"),
+        *[(F.col("id") % n == 0).cast("int").alias(c) for c, n in (("label", 2), ("prediction", 3), ("part", 5))],
+    )
+    found = metrics.detailed_metrics(df, ["part"])
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
