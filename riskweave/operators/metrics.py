@@ -7,6 +7,7 @@ evaluations (model, fold, part). All of them are computed in the same pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
@@ -248,7 +249,11 @@ def detailed_metrics(
     """
     cells = df.groupBy(*within, label, prediction, score).agg(F.count(F.lit(1)).alias("copies"))
     areas = curve_areas(cells, within, label, score, copies="copies")
-    return class_metrics(cells, within, label, prediction, "copies").join(areas, list(within), "left")
+    # null-safe keys: a group may be null, and no filter is pushed into one branch only
+    areas = areas.withColumnsRenamed({w: f"_{w}" for w in within})
+    same = reduce(lambda a, b: a & b, [F.col(w).eqNullSafe(F.col(f"_{w}")) for w in within])
+    classes = class_metrics(cells, within, label, prediction, "copies")
+    return classes.join(areas, same, "left").drop(*[f"_{w}" for w in within])
 
 
 def segment_performance(df: DataFrame, segment: str = "tipo_laboral", label=LABEL, prediction=PREDICTION) -> DataFrame:
