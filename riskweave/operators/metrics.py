@@ -183,6 +183,13 @@ def curve_areas(
     )
 
 
+def _join_groups(left: DataFrame, right: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Per-group rows onto ``left``; null-safe, so a null group stays and no branch gets a filter of its own."""
+    renamed = right.withColumnsRenamed({w: f"_{w}" for w in within})
+    same = reduce(lambda a, b: a & b, [F.col(w).eqNullSafe(F.col(f"_{w}")) for w in within])
+    return left.join(renamed, same, "left").drop(*[f"_{w}" for w in within])
+
+
 def _totals(df: DataFrame, within: Sequence[str], label: str, score: str) -> DataFrame:
     """Each group's class totals; one tiny row per evaluation."""
     totals = threshold_counts(df, within, label, score).groupBy(*within)
@@ -197,7 +204,7 @@ def _curve(df, within, label, score, bucket_rows, start: dict[str, Column], poin
     totals = _totals(df, within, label, score)
     counts = cumulative_counts(df, within, label, score, bucket_rows)
     if within:
-        counts = counts.join(totals, list(within))
+        counts = _join_groups(counts, totals, within)
     else:
         row = totals.first()
         counts = counts.withColumns({k: F.lit(row[k]).cast("long") for k in ("all_pos", "all_neg")})
@@ -249,11 +256,7 @@ def detailed_metrics(
     """
     cells = df.groupBy(*within, label, prediction, score).agg(F.count(F.lit(1)).alias("copies"))
     areas = curve_areas(cells, within, label, score, copies="copies")
-    # null-safe keys: a group may be null, and no filter is pushed into one branch only
-    areas = areas.withColumnsRenamed({w: f"_{w}" for w in within})
-    same = reduce(lambda a, b: a & b, [F.col(w).eqNullSafe(F.col(f"_{w}")) for w in within])
-    classes = class_metrics(cells, within, label, prediction, "copies")
-    return classes.join(areas, same, "left").drop(*[f"_{w}" for w in within])
+    return _join_groups(class_metrics(cells, within, label, prediction, "copies"), areas, within)
 
 
 def segment_performance(df: DataFrame, segment: str = "tipo_laboral", label=LABEL, prediction=PREDICTION) -> DataFrame:

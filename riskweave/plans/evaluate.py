@@ -12,7 +12,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.metrics import class_metrics, classification_report, detailed_metrics, ratio
+from riskweave.operators.metrics import class_metrics, classification_report, confusion_matrix, detailed_metrics, ratio
 from riskweave.operators.models import Sizes, fit_classifier, scored_rows
 from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
 from riskweave.operators.splits import repeated, sample_ranks, stratified_folds, test_size
@@ -26,6 +26,9 @@ Fit = Callable[[DataFrame], Model]
 MODEL_REPORT = ["roc_auc", "average_precision", "recall", "precision", "f1"]
 BASELINE_REPORT = ["accuracy", "precision", "recall", "f1"]
 
+# Training sizes of the models' learning curves.
+MODEL_FRACTIONS = [i / 10 for i in range(1, 11)]
+
 # What an evaluation records for a row that cannot be scored.
 UNSCORED = {"prediction": 0, "probability": 0.5, "risk_level": "Error", "recommendation": "Error"}
 
@@ -110,10 +113,15 @@ def report_on(model: Model, test: DataFrame, label: str = TARGET) -> DataFrame:
     return classification_report(scored_rows(model, test, label))
 
 
+def confusion_on(model: Model, test: DataFrame, label: str = TARGET) -> DataFrame:
+    """Confusion matrix of a fitted model on the test table."""
+    return confusion_matrix(scored_rows(model, test, label))
+
+
 def learning_curve(
     fit: Fit,
     train: DataFrame,
-    fractions: Sequence[float],
+    fractions: Sequence[float] = tuple(MODEL_FRACTIONS),
     k: int = 5,
     label: str = TARGET,
     seed: int = 42,
@@ -125,7 +133,7 @@ def learning_curve(
     smaller ones.
     """
     spark = train.sparkSession
-    folded = stratified_folds(train, k, label, seed=seed)
+    folded = stratified_folds(train.drop("fold"), k, label, seed=seed)
     shuffled = hash_key(F.col(KEY), "sample", seed)
     others = F.filter(F.array(*[F.lit(i) for i in range(1, k + 1)]), lambda i: i != F.col("fold"))
     keyed = folded.select(F.explode(others).alias("held_out"), shuffled.alias("_key"))

@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.leaderboard import rank_models, result_rows
-from riskweave.operators.models import MODEL_NAMES, Sizes, scored_rows
-from riskweave.operators.metrics import classification_report
+from riskweave.operators.models import MODEL_NAMES, Sizes, fit_classifier
 from riskweave.operators.splits import stratified_folds, stratified_split
 from riskweave.operators.validation import require_columns
-from riskweave.plans.evaluate import evaluate_classifier, stack
+from riskweave.plans.evaluate import evaluate_classifier, learning_curve, learning_curve_summary, report_on, stack
 from riskweave.plans.features import ml_pipeline
 from riskweave.schema import KEY, TARGET
 from riskweave.sources.artifacts import save_artifacts
@@ -31,6 +30,7 @@ class TrainingResult:
     train: DataFrame
     test: DataFrame
     report: DataFrame
+    curves: dict[str, DataFrame]
 
     def release(self) -> None:
         self.train.unpersist()
@@ -68,24 +68,37 @@ def train_all(
     seed: int = 42,
     sizes: Sizes = Sizes(),
     parallelism: int = 1,
+    curve_fractions: Sequence[float] = (),
 ) -> TrainingResult:
-    """Train, evaluate and rank the classifiers; save them if ``folder`` is given."""
+    """Train, evaluate and rank the classifiers; save them if ``folder`` is given.
+
+    With ``curve_fractions`` each classifier also gets its learning curve, which
+    costs a fit per size and fold.
+    """
     train, test, features = prepare(credit, as_of, share, seed)
     train = stratified_folds(train, k, TARGET, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
 
     models: dict[str, Model] = {}
     measured: list[DataFrame] = []
+    curves: dict[str, DataFrame] = {}
     for name in names:
         models[name], parts = evaluate_classifier(
             name, train, test, k=k, seed=seed, sizes=sizes, parallelism=parallelism
         )
         measured.append(parts)  # one row per part: k + 2
+        if curve_fractions:
+            curves[name] = learning_curve_summary(
+                learning_curve(
+                    lambda rows, name=name: fit_classifier(name, rows, TARGET, seed, sizes),
+                    train, curve_fractions, k, seed=seed,
+                )
+            )
 
     parts = stack(measured)
     leaderboard = rank_models(result_rows(parts), primary, secondary)
     best = leaderboard.first()["model"]
     if folder:
         save_artifacts(folder, models, best, features)
-    report = classification_report(scored_rows(models[best], test, TARGET))
-    return TrainingResult(leaderboard, best, models, parts, features, train, test, report)
+    report = report_on(models[best], test)
+    return TrainingResult(leaderboard, best, models, parts, features, train, test, report, curves)

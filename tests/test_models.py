@@ -97,7 +97,7 @@ def trained(spark, sf_dir):
     rows = credit_table(spark, sf_dir)
     result = train.train_all(
         rows, CREDIT_AS_OF, folder=folder, names=["linear_svc", "naive_bayes"], k=2, sizes=SMALL,
-        primary="test_f1_0", secondary="test_accuracy",
+        primary="test_f1_0", secondary="test_accuracy", curve_fractions=[0.5],
     )
     yield rows, result, folder
     result.release()
@@ -109,6 +109,8 @@ def test_training_job(trained):
     assert [r["position"] for r in board] == [1, 2] and board[0]["model"] == result.best_name
     assert {r["part"] for r in result.parts.collect()} == {"train", "test", "fold_1", "fold_2"}
     assert result.report.count() == 5
+    assert [c.first()["fraction"] for c in result.curves.values()] == [0.5, 0.5]
+    assert evaluate.confusion_on(result.models["naive_bayes"], result.test).count() == 4
 
 
 def test_first_candidate_is_loaded_and_described(spark, trained):
