@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -739,16 +739,24 @@ def model_learning_curve(spark, d):
 def training_leaderboard(spark, d):
     result = train.train_all(
         credit_table(spark, d), CREDIT_AS_OF, names=["logistic", "naive_bayes", "decision_tree"],
-        primary="test_f1_0", secondary="test_accuracy", k=3, sizes=QUERY_SIZES,
+        primary="test_f1_0", secondary="test_accuracy", k=2, sizes=QUERY_SIZES,
     )
     return result.leaderboard
 
 
+def saved_model(spark, d, name: str) -> tuple[DataFrame, str]:
+    """All loans, and the folder of one classifier trained on them."""
+    rows = credit_table(spark, d)
+    train_rows, _, fitted = train.prepare(rows, CREDIT_AS_OF)
+    model = fit_classifier(name, train_rows.persist(), S.TARGET, sizes=QUERY_SIZES)
+    folder = scratch_path(spark, "models")
+    artifacts.save_artifacts(folder, {name: model}, name, fitted)
+    return rows, folder
+
+
 @register
 def loaded_model_scoring(spark, d):
-    folder = scratch_path(spark, "models")
-    rows = credit_table(spark, d)
-    train.train_all(rows, CREDIT_AS_OF, folder=folder, names=["linear_svc"], k=2, sizes=QUERY_SIZES)
+    rows, folder = saved_model(spark, d, "linear_svc")
     _, model, fitted = artifacts.load_first(folder)
     done, _ = score.score_batch(rows, fitted, model)
     return summaries.scoring_summary(done)
@@ -756,10 +764,7 @@ def loaded_model_scoring(spark, d):
 
 @register
 def loaded_model_description(spark, d):
-    folder = scratch_path(spark, "models")
-    train.train_all(
-        credit_table(spark, d), CREDIT_AS_OF, folder=folder, names=["logistic"], k=2, sizes=QUERY_SIZES
-    )
+    _, folder = saved_model(spark, d, "logistic")
     _, model, fitted = artifacts.load_first(folder)
     return artifacts.describe_model(spark, model, fitted)
 
