@@ -105,3 +105,17 @@ class SortedHashes:
             at[behind] += 1
             behind = behind[(at[behind] < last) & (self.keys[at[behind]] < wanted[behind])]
         return np.where((self.keys[at] == wanted) & (at < last), at, -1)
+
+
+class PackedKeys:
+    """Positions of 64-bit keys of any kind in an ascending array: a sorted hash array of the scrambled keys."""
+
+    def __init__(self, keys: np.ndarray):
+        scrambled = mix(keys.copy())
+        order = np.argsort(scrambled)
+        self.hashes = SortedHashes(scrambled[order])
+        self.place = np.append(order, -1).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each wanted key in the array given, or -1."""
+        return self.place[self.hashes.find(mix(wanted.copy()))]
