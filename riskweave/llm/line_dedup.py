@@ -292,7 +292,7 @@ def lines_removed(
     marked, _ = later_lines(spark, docs, percent, id_column, text)
     found = _by_text(marked.distinct()).filter(F.size("removed_lines") > 0)
     joined, names = _joined(docs, found, id_column, text)
-    gone, n_lines = names[2], names[4]
+    gone, n_lines, kept = names[2], names[4], docs.columns
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -301,8 +301,8 @@ def lines_removed(
                 if numbers:
                     out = set(numbers)
                     texts[k] = "\n".join([line for i, line in enumerate(texts[k].split("\n")) if i not in out])
-            columns = [pa.array(texts, pa.string()) if c == text else part.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text else part.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
 
     left = joined.filter(F.col(gone).isNull() | (F.size(gone) < F.col(n_lines)))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns], gone).mapInArrow(batches, docs.schema)

@@ -3,18 +3,71 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.llm import secrets
 from riskweave.llm.bpe import token_digests, with_token_ids
 from riskweave.llm.decontaminate import benchmark_hits
+from riskweave.llm.language_id import fit_languages, with_languages
+from riskweave.llm.line_dedup import line_report
+from riskweave.llm.lm_scoring import text_scores
+from riskweave.llm.nearest import nearest
+from riskweave.llm.scratch import saved
 from riskweave.llm.simhash import simhash_components
+from riskweave.llm.token_counts import TokenRollup, signed, word_count
+from riskweave.llm.toxicity import fit_toxicity, with_toxicity
+from riskweave.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(parts: int) -> Column:
+    """The crc32 of the id, written as text, modulo ``parts``; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def _held_out(parts: int, remainder: int) -> Column:
+    return F.coalesce(_remainder(parts) == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = fit_languages(spark, docs.select("doc_id", "text", "lang"), _remainder(4) != 2)
+    return with_languages(spark, docs.select("doc_id", _held_out(4, 2), "text"), found, keep_text=False)
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(spark, rows, F.col("vec_id") % 20 == 0, count=20)
+
+
+OP2_SQL = """
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) != 2
+    found = secrets.scan(spark, docs, training=training)
+    return found.select(
+        F.col("id").alias("doc_id"), "place", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        F.col("label").alias("format_label"), "score", "is_secret",
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = benchmark_hits(spark, docs, _table(spark, sf_dir, "benchmark"), width=10, keep_text=False)
@@ -52,6 +105,95 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_report(spark, docs, percent=80)
+    return found.select(
+        "doc_id", "n_lines", "n_links", F.size("removed_lines").cast("long").alias("n_removed"),
+        F.array_join("removed_lines", ",").alias("removed_lines"),
+    )
+
+
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(
+    translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM lines
+), named AS (
+  SELECT doc_id, line, s, dense_rank() OVER (ORDER BY s) AS c FROM sets WHERE len(s) > 0
+), classes AS (
+  SELECT c, any_value(s) AS s, len(any_value(s)) AS n, min((doc_id, line)) AS place FROM named GROUP BY c
+), tokens AS (
+  SELECT c, n, unnest(s) AS t FROM classes
+), ordered AS (
+  SELECT c, n, t, row_number() OVER (PARTITION BY c ORDER BY f, t) AS p FROM tokens JOIN (SELECT t, count(*) AS f FROM tokens GROUP BY t) USING (t)
+), prefixes AS (
+  SELECT c, n, t FROM ordered WHERE p <= n - (80 * n + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT a.c AS a, b.c AS b FROM prefixes a JOIN prefixes b ON a.t = b.t AND a.c <> b.c AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n
+), links AS (
+  SELECT a, b, y.place FROM pairs JOIN classes x ON a = x.c JOIN classes y ON b = y.c
+  WHERE len(list_intersect(x.s, y.s)) * 180 >= 80 * (x.n + y.n)
+), bounds AS (
+  SELECT c, least(any_value(classes.place), coalesce(min(links.place), any_value(classes.place))) AS first, count(links.b) AS n_links
+  FROM classes LEFT JOIN links ON a = c GROUP BY c
+), marked AS (
+  SELECT doc_id, line, n_links, (doc_id, line) > first AS later FROM named JOIN bounds USING (c)
+), found AS (
+  SELECT doc_id, count(*) AS n_lines, sum(n_links) AS n_links, count(*) FILTER (later) AS n_removed,
+    string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (later) AS removed_lines FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(removed_lines, '') AS removed_lines FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    found = fit_toxicity(spark, docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), _remainder(5) != 0)
+    return with_toxicity(spark, docs.select("doc_id", _held_out(5, 0), "text"), found, keep_text=False)
+
+
+#: Tokens of the two versions that op7 counts with: runs without white space, and runs of letters, digits and non-ASCII.
+TOKENIZERS = {"blanks-1": r"[^\x20\x09-\x0D]+", "words-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents counted by the first version; the toxic ones withdrawn; those of low
+    quality recounted by the second; and the withdrawal committed again."""
+    first, second = TOKENIZERS
+    counted = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", *[word_count(F.col("text"), p).alias(v) for v, p in TOKENIZERS.items()])
+    counted = saved(spark, counted, "counted")
+    marks = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    toxic = counted.join(marks.filter("toxic = 1"), "doc_id", "left_semi")
+    revised = counted.join(marks.filter("toxic = 0 and quality = 0"), "doc_id", "left_semi")
+    rollup = TokenRollup(spark, scratch_path(spark, "token-counts"))
+    rollup.commit("inserts", signed(counted, 1, first, first))
+    rollup.commit("withdrawals", signed(toxic, -1, first, first))
+    rollup.commit("revisions", signed(revised, -1, first, first), signed(revised, 1, second, second))
+    rollup.commit("withdrawals", signed(toxic, -1, first, first))
+    return rollup.totals()
+
+
+OP7_SQL = r"""
+WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+state AS (
+  SELECT source, lang, CASE WHEN toxic = 0 AND quality = 0 THEN 'words-2' ELSE 'blanks-1' END AS tokenizer, coalesce(text, '') AS text
+  FROM documents LEFT JOIN marks USING (doc_id) WHERE coalesce(toxic, 0) <> 1
+)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs,
+  sum(len(regexp_extract_all(text, CASE tokenizer WHEN 'words-2' THEN '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' ELSE '[^\x20\x09-\x0D]+' END)))::BIGINT AS tokens
+FROM state GROUP BY ALL
+"""
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text_scores(spark, docs.select("doc_id", _held_out(7, 2), "text"), _remainder(7) != 2)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_components(spark, docs, width=4, distance=4).drop("component_label")
@@ -63,11 +205,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bpe": op10_bpe,
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op2_nearest_neighbours": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op7_token_counts": OP7_SQL,
 }

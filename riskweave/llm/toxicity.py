@@ -71,12 +71,11 @@ def likelihood_differences(model: CharModel, data: np.ndarray, offsets: np.ndarr
     return result
 
 
-def _fit_decision(features: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, scale and weights of a ridge logistic regression, by Newton steps."""
-    centre, scale = features.mean(axis=0), np.maximum(features.std(axis=0), 1e-9)
-    x = np.column_stack([np.ones(len(features)), (features - centre) / scale])
+def _ridge(x: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression, intercept first, by Newton steps."""
+    x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
-    ridge = np.diag([0.0, *[1.0] * (x.shape[1] - 1)]) + 1e-9 * np.eye(x.shape[1])
+    ridge = np.diag([1e-9, *[1.0] * (x.shape[1] - 1)])
     for _ in range(60):
         p = _logistic(x @ w)
         gradient = x.T @ (weight * (p - truth)) + ridge @ w
@@ -84,7 +83,21 @@ def _fit_decision(features: np.ndarray, truth: np.ndarray, weight: np.ndarray) -
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return centre, scale, w
+    return w
+
+
+def _fit_decision(features: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, scale and weights of the decision. A likelier toxic text never scores lower: features that would get a
+    negative weight are left out, one after the other."""
+    centre, scale = features.mean(axis=0), np.maximum(features.std(axis=0), 1e-9)
+    x, used = (features - centre) / scale, list(range(features.shape[1]))
+    w = _ridge(x, truth, weight)
+    while used and w[1:].min() < 0:
+        used.pop(int(w[1:].argmin()))
+        w = _ridge(x[:, used], truth, weight)
+    weights = np.zeros(1 + features.shape[1])
+    weights[0], weights[[1 + k for k in used]] = w[0], w[1:]
+    return centre, scale, weights
 
 
 def fit_toxicity(
