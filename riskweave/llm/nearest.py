@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.scratch import saved
 
 #: Vectors of a query block and of a candidate block; a tile is one of each.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 8192
 #: Queries of a tile that are multiplied at once.
 STRIP = 256

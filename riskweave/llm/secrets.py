@@ -66,10 +66,9 @@ def dictionary_grams(spark: SparkSession, docs: DataFrame, text: str = "text") -
 
 
 def _grams(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """``rows`` times the n-grams (gram) of the padded string in ``column``."""
+    """``rows`` times the overlapping n-grams (gram) of the padded string in ``column``, in one pass over it."""
     padded = F.concat(F.lit(" "), F.col(column), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.length(padded) - size + 1)
-    return rows.withColumn("gram", F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(size)))))
+    return rows.withColumn("gram", F.explode(F.regexp_extract_all(padded, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))))
 
 
 def _share(value: Column, pattern: str) -> Column:
