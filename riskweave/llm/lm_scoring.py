@@ -21,7 +21,7 @@ MAX_NODES = 600_000
 #: Most frequent words whose counts are broadcast; the counts of all others are joined.
 BROADCAST_WORDS = 300_000
 #: Distinct keys whose counts a task holds before it hands them on.
-HELD_KEYS = 3_000_000
+HELD_KEYS = 1_000_000
 #: Start and end of a text; no byte of UTF-8.
 EDGE = 0xFF
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
