@@ -58,17 +58,18 @@ def dictionary_grams(spark: SparkSession, docs: DataFrame, text: str = "text") -
     DICTIONARY_COUNT times or more in all texts. At most 27 squared and 27 cubed rows, a blank standing for a word's edge."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(r"(?<![a-z0-9])[a-z]{2,24}(?![a-z0-9])"), F.lit(0))).alias("word"))
     words = saved(spark, words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= DICTIONARY_COUNT), "dictionary")
-    pairs = _grams(words.select("word", "n"), "word", 2).groupBy("gram").agg(F.sum("n").alias("n"))
+    pairs = _grams(words, "n", "word", 2).groupBy("gram").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.left("gram", F.lit(1))))
     pairs = pairs.select("gram", F.log(F.col("n") / total).alias("weight"))
-    triples = _grams(words.select("word", "n"), "word", 3).select("gram").distinct()
+    triples = _grams(words, "n", "word", 3).select("gram").distinct()
     return saved(spark, pairs, "pairs"), saved(spark, triples, "triples")
 
 
-def _grams(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """``rows`` times the overlapping n-grams (gram) of the padded string in ``column``, in one pass over it."""
+def _grams(rows: DataFrame, key: str, column: str, size: int) -> DataFrame:
+    """(key, gram) of the overlapping n-grams of the padded string in ``column``, in one pass over it; the string itself
+    does not go with them."""
     padded = F.concat(F.lit(" "), F.col(column), F.lit(" "))
-    return rows.withColumn("gram", F.explode(F.regexp_extract_all(padded, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))))
+    return rows.select(key, F.explode(F.regexp_extract_all(padded, F.lit(f"(?=(.{{{size}}}))"), F.lit(1))).alias("gram"))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -80,17 +81,19 @@ def features(spark: SparkSession, found: DataFrame, pairs: DataFrame, triples: D
 
     Letter transitions and dictionary coverage are worked out once for each different value.
     """
-    values = found.select("value").distinct().withColumn("low", F.lower(F.regexp_replace("value", "[^A-Za-z0-9]", " ")))
-    two = _grams(values, "low", 2).join(pairs, "gram", "left").groupBy("value").agg(
-        F.avg(F.coalesce("weight", F.lit(-12.0))).alias("transitions"))
-    three = _grams(values, "low", 3).join(triples.withColumn("known", F.lit(1.0)), "gram", "left").groupBy("value").agg(
-        F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage"))
+    found = found.withColumn("digest", F.md5(F.col("value").cast("binary")))
+    values = found.groupBy("digest").agg(F.lower(F.regexp_replace(F.first("value"), "[^A-Za-z0-9]", " ")).alias("low"))
+    two = _grams(values, "digest", "low", 2).groupBy("digest", "gram").agg(F.count(F.lit(1)).alias("n")).join(pairs, "gram", "left")
+    two = two.groupBy("digest").agg((F.sum(F.col("n") * F.coalesce("weight", F.lit(-12.0))) / F.sum("n")).alias("transitions"))
+    three = _grams(values, "digest", "low", 3).groupBy("digest", "gram").agg(F.count(F.lit(1)).alias("n"))
+    three = three.join(triples.withColumn("known", F.col("gram")), "gram", "left").groupBy("digest").agg(
+        (F.sum(F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[+/_=\\-]+", "-")
     words = F.array_compact(F.concat(
         F.transform(F.slice(F.reverse(F.split(F.lower("before"), "[^a-z]+")), 1, 4), lambda w: F.when(w != "", F.concat(F.lit("before "), w))),
         F.transform(F.slice(F.split(F.lower("after"), "[^a-z]+"), 1, 4), lambda w: F.when(w != "", F.concat(F.lit("after "), w))),
     ))
-    return found.join(two, "value").join(three, "value").withColumns({
+    return found.join(two, "digest").join(three, "digest").drop("digest").withColumns({
         "length": F.length("value").cast("double"), "digits": _share(F.col("value"), "[0-9]"), "uppers": _share(F.col("value"), "[A-Z]"),
         "lowers": _share(F.col("value"), "[a-z]"), "signs": _share(F.col("value"), "[+/_=-]"), "runs": F.length(classes).cast("double"),
         "changes": F.length(classes) / F.length("value"), "slashes": F.regexp_count("value", F.lit("/")).cast("double"),
