@@ -328,6 +328,17 @@ _STABILITY = (
 _FOLD_DETAILED = f"(select r.*, a.roc_auc, a.pr_auc from {_rates('foldcounts', 'fold')} r join foldareas a using (fold))"
 _METRIC_NAMES = {"roc_auc": "roc_auc", "average_precision": "pr_auc", "recall": "recall_1", "precision": "precision_1", "f1": "f1_1"}
 
+NUMBERS = (
+    "saldo_principal", "saldo_mora", "puntaje_datacredito", "edad_cliente", "antiguedad_credito_meses", "capital_prestado", "plazo_meses",
+    "salario_cliente", "total_otros_prestamos", "cuota_pactada", "huella_consulta", "cant_creditosvigentes", "creditos_sectorFinanciero",
+)
+CATEGORIES = ("mes_prestamo", "tipo_credito", "tipo_laboral")
+
+
+def _standardised(column: str) -> str:
+    return f"({column}-avg({column}) over ())/stddev_pop({column}) over ()"
+
+
 # query -> (common table expressions it uses, final select)
 SELECTS: dict[str, tuple[list[str], str]] = {
     "credit_load": (["credit"], "select * from credit"),
@@ -336,11 +347,13 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "record_batch": (["credit"], "select * from credit"),
     "log_append": (
         ["scored"],
-        f"""select tipo_laboral, prediction, probability, risk_level, capital_prestado, plazo_meses, edad_cliente, salario_cliente,
- puntaje_datacredito, '2024-01-31' as log_date from (
- select * replace (case when loan_id%7=0 then 0 else prediction end as prediction,
+        f"""select md5(loan_id||':|2024-01-31 00:00:00|'||input_data) as id, '2024-01-31 00:00:00' as timestamp, input_data,
+ prediction, probability, risk_level, capital_prestado, plazo_meses, edad_cliente, salario_cliente, puntaje_datacredito, '2024-01-31' as log_date from (
+select * replace (case when loan_id%7=0 then 0 else prediction end as prediction,
   case when loan_id%7=0 then 'Unknown' else risk_level end as risk_level,
-  case when loan_id%7=0 then 0.5 else probability end as probability)
+  case when loan_id%7=0 then 0.5 else probability end as probability),
+ '{{'||concat_ws(',', '"capital_prestado":'||capital_prestado, '"plazo_meses":'||plazo_meses, '"edad_cliente":'||edad_cliente,
+  '"tipo_laboral":"'||tipo_laboral||'"', '"salario_cliente":'||salario_cliente, '"puntaje_datacredito":'||puntaje_datacredito)||'}}' as input_data
  from (select *, {BANDS} from (select *, score as probability from scored)))""",
     ),
     "log_recent_week": (["last7"], "select * exclude (input_data) from last7 order by timestamp desc, id"),
@@ -404,7 +417,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "surviving_labels": (["credit"], "select loan_id, Pago_atiempo from credit where edad_cliente<100"),
     "attach_label": (
         ["credit"],
-        "select loan_id, capital_prestado, case when loan_id%3<>0 then Pago_atiempo end as Pago_atiempo from credit",
+        "select loan_id, capital_prestado, case when edad_cliente<100 then Pago_atiempo end as Pago_atiempo from credit",
     ),
     "attach_predictions": (
         ["scored"],
@@ -565,6 +578,13 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         "select feature, rn as recent_n, hn as older_n, round(rm,6) as recent_mean, round(hm,6) as older_mean, "
         "round(change_pct,6) as change_pct, round(t_stat,6) as t_stat, drift_detected from drifted",
     ),
+    "drift_p_values": (
+        ["drifted"],
+        """select feature, round(t_stat,6) as t_stat, round(least(1, 2*exp(lgamma((v+1)/2)-lgamma(v/2))/sqrt(pi())*area),6) as p_value
+ from (select feature, t_stat, v, step*list_sum([power(cos(low+(i-0.5)*step), v-1) for i in range(1, 40001)]) as area
+  from (select *, (least(pi()/2, low+40/sqrt(v))-low)/40000 as step
+   from (select feature, t_stat, rn+hn-2.0::double as v, atan(abs(t_stat)/sqrt(rn+hn-2)) as low from drifted)))""",
+    ),
     "drift_totals": (["drifted"], "select count(*) as features_analysed, count_if(drift_detected) as features_drifted from drifted"),
     "drift_status": (
         ["last14"],
@@ -600,21 +620,33 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "base_features": (["base"], "select * replace (round(puntaje_datacredito,6) as puntaje_datacredito) from base"),
     "reloaded_base_features": (["base"], "select * replace (round(puntaje_datacredito,6) as puntaje_datacredito) from base"),
     "standardised_columns": (
-        ["credit"],
-        "select loan_id, "
-        + ", ".join(
-            f"round(({c}-avg({c}) over ())/stddev_pop({c}) over (),6) as num__{c}"
-            for c in ("capital_prestado", "plazo_meses", "huella_consulta")
-        )
-        + " from credit",
+        ["base"],
+        "select loan_id, " + ", ".join(f"round({_standardised(c)},6) as num__{c}" for c in NUMBERS) + " from base",
     ),
     "design_matrix_totals": (
         ["base"],
         " union all ".join(
-            f"select 'cat__{c}_'||{c} as feature, cast(count(*) as double) as total from base group by {c}"
-            for c in ("mes_prestamo", "tipo_credito", "tipo_laboral")
+            [f"select 'cat__{c}_'||{c} as feature, cast(count(*) as double) as total from base group by {c}" for c in CATEGORIES]
+            + [f"select 'num__{c}' as feature, round(sum(z),3)+0.0::double as total from (select {_standardised(c)} as z from base)" for c in NUMBERS]
         ),
     ),
+    "design_matrix": (
+        ["base"],
+        "select loan_id, cast(unnest(range(0, len(v))) as int) as place, unnest(v) as value from (select loan_id, list_concat(["
+        + ", ".join(f"round({_standardised(c)},6)+0.0::double" for c in NUMBERS) + "], "
+        + ", ".join(
+            f"list_transform((select list(x order by x) from (select distinct {c} as x from base)), lambda x: case when x={c} then 1.0::double else 0.0::double end)"
+            for c in CATEGORIES
+        ) + ") as v from base)",
+    ),
+    "loaded_model_description": (
+        ["base", "split"],
+        "select 'LogisticRegressionModel' as model_name, 'pyspark.ml.classification' as model_type, "
+        f"cast({len(NUMBERS)}+" + "+".join(f"count(distinct {c})" for c in CATEGORIES) + " as int) as features_count, "
+        "'DropColumns,MissingValueFillerModel,KeepBelow,LoanDateFeatures,AsCategory,DropColumns,ExcludeCategories,"
+        "PopulationScalerModel,FillMissingCategory,StringIndexerModel,OneHotEncoderModel,VectorAssembler' as stages "
+        "from base join split using (loan_id) where not is_test",
+    ),
     "stratified_split": (["split"], "select * from split"),
     "stratified_folds": (["folds"], "select loan_id, label as Pago_atiempo, fold from folds"),
     "shuffle_splits": (
@@ -698,6 +730,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
         + _bands_of("case when prediction=1 then 0.5 else 0.3 end")
         + ") s using (loan_id)",
     ),
+    "first_stored_model": (["ruled"], "select loan_id, 'model_logistic' as name, prediction from ruled"),
     "stored_model_evaluation": (["ruled"], "select loan_id, prediction, cast(null as double) as probability from ruled"),
     "streamed_scoring": (
         ["excluded", "ruled"],

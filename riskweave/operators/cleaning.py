@@ -160,23 +160,6 @@ class MissingValueFillerModel(Model, DefaultParamsReadable, DefaultParamsWritabl
         return dataset.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.fills().items()})
 
 
-class LabelAttacher(_Stage):
-    """Left-join the label column from a stored label table onto transformed rows."""
-
-    labelPath = Param(Params._dummy(), "labelPath", "Parquet path of the labels", TypeConverters.toString)
-    keyColumn = Param(Params._dummy(), "keyColumn", "join key", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, labelPath=None, keyColumn="loan_id"):
-        super().__init__()
-        self._setDefault(keyColumn="loan_id")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        labels = dataset.sparkSession.read.parquet(self.getOrDefault(self.labelPath))
-        return attach_labels(dataset, labels, self.getOrDefault(self.keyColumn))
-
-
 def attach_labels(rows: DataFrame, labels: DataFrame, key: str = "loan_id") -> DataFrame:
     """Labels onto rows by key; rows without one get null."""
     return rows.join(labels, key, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import keyword_only
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.order_statistics import hash_key
-from riskweave.session import shared_dir
+from riskweave.session import materialised, shared_dir
 
 
 class _VoteParams(Params):
@@ -93,55 +94,63 @@ class BaggedTrees(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultPara
     """Deep trees, each on a bootstrap sample of rows and a subset of features.
 
     A row's number of draws is a Poisson variate of a hash of its id and the
-    round, used as the row's weight. Rows are neither copied nor moved, and a
-    recomputed partition draws the same sample again.
+    round, used as the row's weight. The rows are written once and read by every
+    member; members are fitted a few at a time, and a recomputed partition draws
+    the same sample again.
     """
 
     idCol = Param(Params._dummy(), "idCol", "row id that seeds the draws", TypeConverters.toString)
     rowShare = Param(Params._dummy(), "rowShare", "draws per row", TypeConverters.toFloat)
     featureShare = Param(Params._dummy(), "featureShare", "share of features", TypeConverters.toFloat)
     maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", TypeConverters.toInt)
+    parallelism = Param(Params._dummy(), "parallelism", "members fitted at a time", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
         self, *, featuresCol="features", labelCol="label", idCol="loan_id", rounds=100,
-        rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42,
+        rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42, parallelism=4,
     ):
         super().__init__()
         self._set(**self._input_kwargs)
         self._setDefault(
             featuresCol="features", labelCol="label", idCol="loan_id", rounds=100,
-            rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42,
+            rowShare=0.8, featureShare=0.8, maxDepth=30, seed=42, parallelism=4,
         )
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         get = self.getOrDefault
         features, label = get(self.featuresCol), get(self.labelCol)
-        width = len(dataset.select(features).first()[0])
+        rows = materialised(dataset.select(features, label, get(self.idCol)), "bagging")
+        width = len(rows.select(features).first()[0])
         chosen = np.random.RandomState(get(self.seed))
-        stages, outputs, slices = [], [], []
-        for i in range(get(self.rounds)):
-            picked = sorted(chosen.permutation(width)[: max(1, int(get(self.featureShare) * width))].tolist())
-            sliced, output = f"bag_features_{i}", f"bag_probability_{i}"
-            slicer = VectorSlicer(inputCol=features, outputCol=sliced, indices=picked)
+        picks = [
+            sorted(chosen.permutation(width)[: max(1, int(get(self.featureShare) * width))].tolist()) for _ in range(get(self.rounds))
+        ]
+
+        def member(i: int) -> list:
+            slicer = VectorSlicer(inputCol=features, outputCol=f"bag_features_{i}", indices=picks[i])
             # 13 hex digits of the hash as a uniform number in [0, 1)
             u = F.conv(F.substring(hash_key(F.col(get(self.idCol)), get(self.seed), i), 1, 13), 16, 10).cast("double") / float(16**13)
-            drawn = dataset.withColumn("bag_draws", poisson_draws(u, get(self.rowShare))).where("bag_draws > 0")
+            drawn = rows.withColumn("bag_draws", poisson_draws(u, get(self.rowShare))).where("bag_draws > 0")
             tree = DecisionTreeClassifier(
-                featuresCol=sliced, labelCol=label, weightCol="bag_draws", maxDepth=get(self.maxDepth),
-                seed=get(self.seed) + i, probabilityCol=output, rawPredictionCol="", predictionCol="",
+                featuresCol=f"bag_features_{i}", labelCol=label, weightCol="bag_draws", maxDepth=get(self.maxDepth),
+                seed=get(self.seed) + i, probabilityCol=f"bag_probability_{i}", rawPredictionCol="", predictionCol="",
             )
-            stages += [slicer, tree.fit(slicer.transform(drawn))]
-            outputs.append(output)
-            slices.append(sliced)
+            return [slicer, tree.fit(slicer.transform(drawn))]
+
+        with ThreadPool(get(self.parallelism)) as pool:
+            stages = [stage for pair in pool.map(member, range(get(self.rounds))) for stage in pair]
+        outputs = [f"bag_probability_{i}" for i in range(get(self.rounds))]
+        slices = [f"bag_features_{i}" for i in range(get(self.rounds))]
         return PipelineModel(stages=[*stages, MeanProbability(memberCols=outputs, scratchCols=slices)])
 
 
 class BoostedStumps(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultParamsWritable):
     """Discrete two-class boosting of depth-1 trees.
 
-    Reweighting is a narrow column expression; a reliable checkpoint every few
-    rounds keeps that expression short.
+    Reweighting is a narrow column expression. The rows of a round are kept until
+    those of the next are, and a reliable checkpoint every few rounds keeps the
+    expression short.
     """
 
     checkpointInterval = Param(Params._dummy(), "checkpointInterval", "rounds between checkpoints", TypeConverters.toInt)
@@ -156,7 +165,7 @@ class BoostedStumps(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultPa
         get = self.getOrDefault
         features, label = get(self.featuresCol), get(self.labelCol)
         shared_dir(dataset.sparkSession)
-        rows = dataset.select(features, label).withColumn("boost_weight", F.lit(1.0))
+        rows = dataset.select(features, label).withColumn("boost_weight", F.lit(1.0)).persist()
         stages, outputs, weights = [], [], []
         for i in range(get(self.rounds)):
             output = f"boost_vote_{i}"
@@ -181,7 +190,9 @@ class BoostedStumps(Estimator, _EnsembleParams, DefaultParamsReadable, DefaultPa
             weights.append(math.log((1 - error) / error))
             # wrong rows gain, right ones lose, and the total weight stays the same
             factor = F.when(wrong, 1 / (2 * error)).otherwise(1 / (2 * (1 - error)))
-            rows = voted.select(features, label, (F.col("boost_weight") * factor).alias("boost_weight"))
-            if (i + 1) % get(self.checkpointInterval) == 0:
-                rows = rows.checkpoint()
+            kept, rows = rows, voted.select(features, label, (F.col("boost_weight") * factor).alias("boost_weight"))
+            rows = rows.checkpoint() if (i + 1) % get(self.checkpointInterval) == 0 else rows.persist()
+            rows.count()
+            kept.unpersist()
+        rows.unpersist()
         return PipelineModel(stages=[*stages, WeightedVote(memberCols=outputs, scratchCols=[], weights=weights)])

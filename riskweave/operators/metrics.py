@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.risk import CLASS_NAMES, class_name
 from riskweave.operators.encoding import feature_names
 from riskweave.operators.order_statistics import BUCKET_ROWS, running_totals
+from riskweave.session import materialised
 
 LABEL = "label"
 PREDICTION = "prediction"
@@ -154,13 +155,12 @@ def cumulative_counts(
     copies: str | None = None,
 ) -> DataFrame:
     """True and false positives at every distinct threshold, from the highest down."""
+    return _accumulated(threshold_counts(df, within, label, score, copies), within, bucket_rows)
+
+
+def _accumulated(counts: DataFrame, within: Sequence[str], bucket_rows: int) -> DataFrame:
     return running_totals(
-        threshold_counts(df, within, label, score, copies),
-        within,
-        "threshold",
-        {"pos": "tp", "neg": "fp"},
-        descending=True,
-        bucket_rows=bucket_rows,
+        counts, within, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, bucket_rows=bucket_rows
     )
 
 
@@ -190,19 +190,22 @@ def _join_groups(left: DataFrame, right: DataFrame, within: Sequence[str]) -> Da
     return left.join(renamed, same, "left").drop(*[f"_{w}" for w in within])
 
 
-def _totals(df: DataFrame, within: Sequence[str], label: str, score: str) -> DataFrame:
+def _totals(counts: DataFrame, within: Sequence[str]) -> DataFrame:
     """Each group's class totals; one tiny row per evaluation."""
-    totals = threshold_counts(df, within, label, score).groupBy(*within)
-    totals = totals.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    totals = counts.groupBy(*within).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if within:
         return totals
-    return df.sparkSession.createDataFrame(totals.collect(), totals.schema)
+    return counts.sparkSession.createDataFrame(totals.collect(), totals.schema)
 
 
 def _curve(df, within, label, score, bucket_rows, start: dict[str, Column], point: dict[str, Column]) -> DataFrame:
-    """Points at every threshold, and the fixed point at the end where nothing is predicted positive."""
-    totals = _totals(df, within, label, score)
-    counts = cumulative_counts(df, within, label, score, bucket_rows)
+    """Points at every threshold, and the fixed point at the end where nothing is predicted positive.
+
+    The counts per threshold are computed once, for the totals as for the curve.
+    """
+    counts = materialised(threshold_counts(df, within, label, score), "thresholds")
+    totals = _totals(counts, within)
+    counts = _accumulated(counts, within, bucket_rows)
     if within:
         counts = _join_groups(counts, totals, within)
     else:
@@ -252,9 +255,10 @@ def detailed_metrics(
     """Class metrics joined with the curve areas: one row per group.
 
     Rows are first counted per (group, label, prediction, score); both kinds of
-    metric are rolled up from those counts, which Spark shuffles once.
+    metric are rolled up from those counts, which are computed once.
     """
     cells = df.groupBy(*within, label, prediction, score).agg(F.count(F.lit(1)).alias("copies"))
+    cells = materialised(cells, "cells")
     areas = curve_areas(cells, within, label, score, copies="copies")
     return _join_groups(class_metrics(cells, within, label, prediction, "copies"), areas, within)
 

@@ -31,6 +31,7 @@ DEEPEST = 30
 class Sizes:
     """Iteration counts and ensemble sizes; the defaults are the full-size models."""
 
+    # fixed values
     logistic_iterations: int = 2000
     svc_iterations: int = 5000
     forest_trees: int = 300

@@ -8,6 +8,7 @@ distinct values and accumulating those counts over value ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -15,11 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.session import materialised
+
 HEX_KEY_LENGTH = 32
-FIRST_DIGITS = 2
 MAX_COUNTERS = 262_144
 BUCKET_ROWS = 250_000
-MAX_BUCKETS = 16_384
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -29,15 +30,17 @@ def hash_key(*parts: Column | str | int) -> Column:
 
 
 def key_cuts(
-    keyed: DataFrame, group: str, key: str, ranks: Callable[[int], Sequence[int]]
+    keyed: DataFrame, group: str, key: str, ranks: Callable[[int], Sequence[int]], groups: int = 2
 ) -> dict[object, list[str]]:
     """For each group, largest keys such that ``at_or_below`` holds for exactly r rows.
 
     ``ranks`` maps a group's row count to ascending ranks r. Groups must be few
-    (classes, repeats); their sizes may be as skewed as they like. Rows that
-    share one key cannot be separated and stay on the same side of a cut.
+    (classes, repeats; ``MAX_COUNTERS`` counters in all, else an error); their
+    sizes may be as skewed as they like. Rows that share one key cannot be
+    separated and stay on the same side of a cut. ``groups`` is how many groups
+    are expected; the first pass counts by as many digits as that allows.
     """
-    depth = FIRST_DIGITS
+    depth = _digits(groups, HEX_KEY_LENGTH)
     counters = _count_prefixes(keyed, group, key, depth)
     sizes: dict[object, int] = {}
     for g, _, n in counters:
@@ -59,7 +62,11 @@ def key_cuts(
 
 
 def _count_prefixes(keyed: DataFrame, group: str, key: str, depth: int):
-    return keyed.groupBy(group, F.substring(key, 1, depth).alias("prefix")).count().collect()
+    counted = keyed.groupBy(group, F.substring(key, 1, depth).alias("prefix")).count()
+    counters = counted.limit(4 * MAX_COUNTERS + 1).collect()
+    if len(counters) > 4 * MAX_COUNTERS:
+        raise ValueError(f"{group} has too many groups for counters on the driver")
+    return counters
 
 
 def _digits(open_searches: int, left: int) -> int:
@@ -71,13 +78,10 @@ def _digits(open_searches: int, left: int) -> int:
 
 def group_lookup(group: str, values: dict[object, list[str]]) -> Column:
     """The row's own group's text values as an array, from literals."""
-    arrays = {g: F.array(*[F.lit(v) for v in vs]) for g, vs in values.items()}
-    if None in arrays or len(arrays) <= 4:
-        chain = F
-        for value, array in arrays.items():
-            chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), array)
-        return chain
-    return F.element_at(F.create_map(*[x for g, a in arrays.items() for x in (F.lit(g), a)]), F.col(group))
+    chain = F
+    for value, texts in values.items():
+        chain = chain.when(F.col(group).eqNullSafe(F.lit(value)), F.array(*[F.lit(t) for t in texts]))
+    return chain
 
 
 def _in_open_search(group: str, key: str, todo, depth: int) -> Column:
@@ -119,24 +123,19 @@ def running_totals(
     measures: dict[str, str],
     descending: bool = False,
     bucket_rows: int = BUCKET_ROWS,
-    rows: int | None = None,
 ) -> DataFrame:
     """Cumulative sums of ``measures`` along ``order`` inside each ``within`` group.
 
     ``df`` holds at most one row per (within, order) value and ``order`` is a
-    double. A group may be arbitrarily large: above ``bucket_rows`` distinct
-    order values the axis is cut at quantiles, each (group, bucket) accumulates
-    in its own task, and the totals of the earlier buckets are added as offsets.
-    ``rows`` is the row count of ``df`` if the caller has it; else it is counted.
+    double; it is computed once, into the shared folder. The axis is cut at
+    quantiles into at least two buckets of about ``bucket_rows`` rows, every
+    (group, bucket) accumulates in its own task, and the totals of the earlier
+    buckets are added as offsets; so a group may be arbitrarily large.
     """
-    cuts = _axis_cuts(df, order, bucket_rows, df.count() if rows is None else rows)
+    df = materialised(df, "distinct-values")
+    cuts = _axis_cuts(df, order, bucket_rows)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     keys = list(within)
-    if not cuts:
-        local = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-        local = local.orderBy(direction).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(m).over(local).alias(out) for m, out in measures.items()])
-
     splits = [float("-inf"), *cuts, float("inf")]
     rank = F.col("_bucket") if not descending else -F.col("_bucket")
     bucketed = (
@@ -171,14 +170,12 @@ def running_totals(
     )
 
 
-def _axis_cuts(df: DataFrame, order: str, bucket_rows: int, rows: int) -> list[float]:
-    """Quantile cut points of the order axis; none when one bucket is enough."""
-    if rows <= bucket_rows:
-        return []
-    pieces = min(-(-rows // bucket_rows), MAX_BUCKETS)
+def _axis_cuts(df: DataFrame, order: str, bucket_rows: int) -> list[float]:
+    """Quantile cut points of the order axis, one at least; their digests are merged in a tree."""
+    pieces = max(2, -(-df.count() // bucket_rows))
     shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(order, shares, 10 * pieces)).first()[0]
-    return sorted(set(found))
+    found = df.approxQuantile(order, shares, 1 / (10 * pieces))
+    return sorted({cut for cut in found if math.isfinite(cut)}) or [0.0]
 
 
 def medians_and_means(
@@ -207,7 +204,7 @@ def medians_and_means(
         sizes = {
             r["name"]: r
             for r in counts.groupBy("name")
-            .agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("rows"))
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
             .collect()
         }
         found = {c: sizes[c]["total"] / sizes[c]["n"] for c in means if c in sizes}
@@ -226,7 +223,6 @@ def _middle_values(counts: DataFrame, sizes: dict, bucket_rows: int) -> dict[str
         "value",
         {"n": "upto"},
         bucket_rows=bucket_rows,
-        rows=sum(r["rows"] for r in sizes.values()),
     )
     first = F.col("upto") - F.col("n")
 
@@ -241,7 +237,3 @@ def _middle_values(counts: DataFrame, sizes: dict, bucket_rows: int) -> dict[str
         .collect()
     )
     return {r["name"]: (r["lo"] + r["hi"]) / 2 for r in middle}
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> dict[str, float | None]:
-    return medians_and_means(df, columns, bucket_rows=bucket_rows)

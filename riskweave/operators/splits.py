@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
 from riskweave.schema import KEY, TARGET
+from riskweave.session import materialised
 
 
 def _half_up(x: float) -> int:
@@ -29,9 +30,8 @@ def mark_test_rows(
 ) -> DataFrame:
     """Append ``is_test``: exactly round(share * n) rows of every class."""
     shuffled = hash_key(F.col(key), seed)
-    cuts = key_cuts(
-        df.select(label, shuffled.alias("_key")), label, "_key", lambda n: [_half_up(share * n)]
-    )
+    narrow = materialised(df.select(label, shuffled.alias("_key")), "keys")
+    cuts = key_cuts(narrow, label, "_key", lambda n: [_half_up(share * n)])
     if not cuts:
         return df.withColumn("is_test", F.lit(False))
     return df.withColumn("is_test", at_or_below(shuffled, group_lookup(label, cuts)[0]))
@@ -56,7 +56,8 @@ def stratified_folds(
 ) -> DataFrame:
     """Append ``fold`` 1..k, balanced inside every class."""
     shuffled = hash_key(F.col(key), seed)
-    cuts = key_cuts(df.select(label, shuffled.alias("_key")), label, "_key", lambda n: fold_ends(n, k))
+    narrow = materialised(df.select(label, shuffled.alias("_key")), "keys")
+    cuts = key_cuts(narrow, label, "_key", lambda n: fold_ends(n, k))
     if not cuts:
         return df.withColumn("fold", F.lit(1))
 
@@ -71,12 +72,13 @@ def stratified_folds(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores before each is copied many times in place.
+    """Rows over all cores before each is copied many times in place, if fewer partitions than cores hold them.
 
     The copies are only counted, never shuffled, so the narrow rows are what
     moves. Hashing by key keeps a recomputed partition identical.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def repeated(df: DataFrame, repeats: int, key: str = KEY, seed: int = 123) -> DataFrame:
@@ -93,9 +95,8 @@ def shuffle_splits(
     df: DataFrame, repeats: int = 50, share: float = 0.2, key: str = KEY, seed: int = 123
 ) -> DataFrame:
     """One copy of the rows per repeat, each with its own random test part."""
-    cuts = key_cuts(
-        repeated(df.select(key), repeats, key, seed), "repeat", "_key", lambda n: [test_size(n, share)]
-    )
+    keys = materialised(df.select(key), "keys")
+    cuts = key_cuts(repeated(keys, repeats, key, seed), "repeat", "_key", lambda n: [test_size(n, share)], repeats)
     copies = repeated(df, repeats, key, seed)
     is_test = at_or_below(F.col("_key"), group_lookup("repeat", cuts)[0])
     return copies.withColumn("is_test", is_test).drop("_key")
@@ -104,23 +105,3 @@ def shuffle_splits(
 def sample_ranks(n: int, fractions: list[float]) -> list[int]:
     """Row counts of nested samples, at least one row each."""
     return [max(1, int(f * n)) for f in fractions]
-
-
-def nested_samples(
-    df: DataFrame, fractions: list[float], group: str, key: str = KEY, seed: int = 42
-) -> DataFrame:
-    """Append ``sample_no``: the smallest of the nested samples a row belongs to.
-
-    Sample i of a group holds the rows with ``sample_no <= i``; null means the
-    row is in none of them.
-    """
-    shuffled = hash_key(F.col(key), F.lit("sample"), seed)
-    cuts = key_cuts(
-        df.select(group, shuffled.alias("_key")), group, "_key", lambda n: sample_ranks(n, fractions)
-    )
-
-    chain = F
-    for number in range(1, len(fractions) + 1):
-        chain = chain.when(at_or_below(F.col("_key"), F.col("_cuts")[number - 1]), F.lit(number))
-    keyed = _with_key(df, shuffled).withColumn("_cuts", group_lookup(group, cuts))
-    return keyed.withColumn("sample_no", chain).drop("_key", "_cuts")

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.heuristic import HeuristicClassifier
-from riskweave.operators.leaderboard import describe_metrics
 from riskweave.operators.metrics import class_metrics, classification_report, confusion_matrix
 from riskweave.operators.splits import stratified_folds, stratified_split
-from riskweave.plans.evaluate import BASELINE_REPORT, learning_curve_summary, rule_learning_curve
+from riskweave.plans.evaluate import learning_curve_summary, rule_learning_curve
 from riskweave.plans.features import base_pipeline
 from riskweave.schema import KEY, TARGET
+from riskweave.session import materialised
 
 # Training sizes, repeats and folds of the baseline's evaluation.
 FRACTIONS = [0.1, 0.325, 0.55, 0.775, 1.0]
@@ -62,19 +61,13 @@ class Baseline:
     def folds(self, k: int = FOLDS) -> DataFrame:
         return baseline_folds(self.train, k, self.seed)
 
-    def fold_description(self, k: int = FOLDS) -> DataFrame:
-        return describe_metrics(self.folds(k), BASELINE_REPORT)
-
     def learning_curve(self, repeats: int = REPEATS) -> DataFrame:
         return learning_curve_summary(rule_learning_curve(self.train, FRACTIONS, repeats))
 
-    def release(self) -> None:
-        self.predicted.unpersist()
-
 
 def run_baseline(credit: DataFrame, as_of: str, share: float = 0.2, seed: int = 42) -> Baseline:
-    """Clean, predict and split; three narrow columns are kept for the reports."""
+    """Clean, predict and split; three narrow columns are written for the reports."""
     predicted = baseline_predictions(credit, as_of).select(KEY, TARGET, "prediction")
-    predicted = predicted.persist(StorageLevel.MEMORY_AND_DISK)
+    predicted = materialised(predicted, "baseline")
     train, test = stratified_split(predicted, share=share, seed=seed)
     return Baseline(predicted, train, test, seed)

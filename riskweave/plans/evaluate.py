@@ -19,6 +19,7 @@ from riskweave.operators.splits import repeated, sample_ranks, stratified_folds,
 from riskweave.operators.validation import with_violations
 from riskweave.plans.score import score_records, with_exclusions
 from riskweave.schema import KEY, TARGET
+from riskweave.session import materialised
 
 Fit = Callable[[DataFrame], Model]
 
@@ -137,7 +138,7 @@ def learning_curve(
     shuffled = hash_key(F.col(KEY), "sample", seed)
     others = F.filter(F.array(*[F.lit(i) for i in range(1, k + 1)]), lambda i: i != F.col("fold"))
     keyed = folded.select(F.explode(others).alias("held_out"), shuffled.alias("_key"))
-    cuts = key_cuts(keyed, "held_out", "_key", lambda n: sample_ranks(n, list(fractions)))
+    cuts = key_cuts(keyed, "held_out", "_key", lambda n: sample_ranks(n, list(fractions)), k)
     rows = []
     for fold, fold_cuts in sorted(cuts.items()):
         validation = folded.where(F.col("fold") == fold)
@@ -193,8 +194,9 @@ def rule_learning_curve(
         held_out = test_size(n, share)
         return [held_out, *[held_out + size for size in sample_ranks(n - held_out, list(fractions))]]
 
-    cuts = key_cuts(repeated(predicted.select(KEY), repeats, seed=seed), "repeat", "_key", ranks)
-    copies = repeated(predicted.select(KEY, label, "prediction"), repeats, seed=seed).withColumn(
+    predicted = materialised(predicted.select(KEY, label, "prediction"), "predicted")
+    cuts = key_cuts(repeated(predicted.select(KEY), repeats, seed=seed), "repeat", "_key", ranks, repeats)
+    copies = repeated(predicted, repeats, seed=seed).withColumn(
         "_cuts", group_lookup("repeat", cuts)
     )
     copies = copies.select(
@@ -237,7 +239,7 @@ def evaluate_labelled(
 ) -> DataFrame:
     """Every labelled record with its result; rejected and excluded ones fall back."""
     wanted = [*records.columns, *UNSCORED]
-    checked = with_exclusions(with_violations(records), features)
+    checked = materialised(with_exclusions(with_violations(records), features), "checked")
     usable = (F.size("violations") == 0) & (F.size("excluded_because") == 0)
     scored = score_records(
         checked.where(usable).drop("violations", "excluded_because"), features, model

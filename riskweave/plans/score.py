@@ -8,36 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.risk import class_one_probability, with_risk
-from riskweave.operators.cleaning import MissingValueFillerModel, below_limit, not_excluded
+from riskweave.operators.cleaning import ExcludeCategories, KeepBelow, MissingValueFillerModel, below_limit, not_excluded
 from riskweave.operators.validation import require_columns
-from riskweave.schema import AGE_LIMIT, EXCLUDED_CREDIT_TYPES, NUMERIC_FEATURES
+from riskweave.schema import NUMERIC_FEATURES
 
 RECORD = "_record"
+#: Reason given for a record that a stage on the column drops; other columns name themselves.
+EXCLUSION_NAMES = {"edad_cliente": "age", "tipo_credito": "credit_type"}
 
 
 def filled_columns(features: PipelineModel | None) -> list[str]:
     """Columns whose missing values the fitted pipeline replaces."""
+    return [c for stage in _stages(features) if isinstance(stage, MissingValueFillerModel) for c in stage.fills()]
+
+
+def _stages(features: PipelineModel | None) -> list:
+    """All stages of a fitted pipeline; those of pipelines inside it stand in their place."""
+    found = []
     for stage in features.stages if features else []:
-        if isinstance(stage, MissingValueFillerModel):
-            return list(stage.fills())
-    return []
+        found += _stages(stage) if isinstance(stage, PipelineModel) else [stage]
+    return found
 
 
-def exclusion_reasons(filled: list[str]) -> Column:
-    """Why the feature pipeline would drop a record, or could not use it."""
-    needed = [c for c in NUMERIC_FEATURES if c not in {*filled, "edad_cliente", "antiguedad_credito_meses"}]
-    tests = {
-        "age": ~F.coalesce(below_limit("edad_cliente", AGE_LIMIT), F.lit(False)),
-        "credit_type": ~not_excluded("tipo_credito", EXCLUDED_CREDIT_TYPES),
-        "missing::fecha_prestamo": F.col("fecha_prestamo").isNull(),
-        **{f"missing::{c}": F.col(c).isNull() for c in needed},
-    }
-    return F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
+def exclusion_reasons(features: PipelineModel | None = None) -> Column:
+    """Why the fitted feature pipeline would drop a record, or could not use it.
+
+    Limits and categories are those of its own stages; without a pipeline, those of the schema.
+    """
+    stages = _stages(features) if features else [KeepBelow(), ExcludeCategories()]
+    needed = [c for c in NUMERIC_FEATURES if c not in {*filled_columns(features), "edad_cliente", "antiguedad_credito_meses"}]
+    tests = []
+    for stage in stages:
+        if isinstance(stage, KeepBelow):
+            column = stage.getOrDefault(stage.column)
+            name = EXCLUSION_NAMES.get(column, column)
+            tests.append((name, ~F.coalesce(below_limit(column, stage.getOrDefault(stage.limit)), F.lit(False))))
+        elif isinstance(stage, ExcludeCategories):
+            column = stage.getOrDefault(stage.column)
+            name = EXCLUSION_NAMES.get(column, column)
+            tests.append((name, ~not_excluded(column, stage.getOrDefault(stage.values))))
+    if not any(isinstance(s, KeepBelow) and s.getOrDefault(s.column) == "edad_cliente" for s in stages):
+        needed = ["edad_cliente", *needed]
+    tests.append(("missing::fecha_prestamo", F.col("fecha_prestamo").isNull()))
+    tests += [(f"missing::{c}", F.col(c).isNull()) for c in needed]
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
 
 
 def with_exclusions(records: DataFrame, features: PipelineModel | None = None) -> DataFrame:
     require_columns(records)
-    return records.withColumn("excluded_because", exclusion_reasons(filled_columns(features)))
+    return records.withColumn("excluded_because", exclusion_reasons(features))
 
 
 def split_excluded(records: DataFrame, features: PipelineModel | None = None) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from riskweave.operators.validation import require_columns
 from riskweave.plans.evaluate import evaluate_classifier, learning_curve, learning_curve_summary, report_on, stack
 from riskweave.plans.features import ml_pipeline
 from riskweave.schema import KEY, TARGET
+from riskweave.session import materialised
 from riskweave.sources.artifacts import save_artifacts
 
 
@@ -47,7 +48,8 @@ def prepare(
     credit: DataFrame, as_of: str, share: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Train and test design tables (key, label, features) and the fitted features."""
-    train_raw, test_raw = stratified_split(credit.where(F.col(TARGET).isNotNull()), share=share, seed=seed)
+    rows = materialised(credit.where(F.col(TARGET).isNotNull()), "credit")
+    train_raw, test_raw = stratified_split(rows, share=share, seed=seed)
     features = fit_features(train_raw, as_of)
 
     def design(rows: DataFrame) -> DataFrame:

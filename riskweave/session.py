@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "riskweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,17 +27,39 @@ def build_session(app: str = "riskweave", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the cluster.
 
-    Only a session without that setting (a test, a laptop) gets a temporary one.
+    Only a local master, where there is one machine, may leave it unset: then a folder beside its tables is used.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="riskweave-")
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Paths handed out by ``scratch_path`` and not cleared yet.
+_handed_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared folder and read back: computed once, safe from lost executors, not held in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this program has written under the shared folder; no result read from there may be used again."""
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -48,8 +48,14 @@ def inputs_json(columns: list[str]) -> Column:
 
 
 def log_rows(scored: DataFrame, logged_at: str | datetime | None = None) -> DataFrame:
-    """Scored records in log form, with defaults for missing results."""
+    """Scored records in log form, with defaults for missing results.
+
+    The id is made of the record's key, the time and the inputs; records without a
+    key column are refused, as equal ones could not be told apart.
+    """
     columns = scored.columns
+    if KEY not in columns:
+        raise ValueError(f"the log needs the record key {KEY}")
 
     def of(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in columns else F.lit(default)
@@ -58,7 +64,6 @@ def log_rows(scored: DataFrame, logged_at: str | datetime | None = None) -> Data
         at = F.lit(as_timestamp(logged_at).isoformat(sep=" ")).cast("timestamp")
     else:
         at = F.col("timestamp").cast("timestamp") if "timestamp" in columns else F.current_timestamp()
-    identity = [F.col(KEY).cast("string")] if KEY in columns else []
     shaped = scored.select(
         at.alias("timestamp"),
         inputs_json(columns).alias("input_data"),
@@ -69,7 +74,7 @@ def log_rows(scored: DataFrame, logged_at: str | datetime | None = None) -> Data
             (F.col(c) if c in columns else F.lit(None)).cast(PREDICTION_LOG_SCHEMA[c].dataType).alias(c)
             for c in LOGGED_FEATURES
         ],
-        F.concat_ws(":", *identity, F.lit("")).alias("_identity"),
+        F.concat(F.coalesce(F.col(KEY).cast("string"), F.lit("")), F.lit(":")).alias("_identity"),
     )
     identifier = F.md5(F.concat_ws("|", "_identity", F.col("timestamp").cast("string"), "input_data"))
     return shaped.select(identifier.alias("id"), *[f.name for f in PREDICTION_LOG_SCHEMA if f.name != "id"])

@@ -50,9 +50,12 @@ def start_scoring(
 ) -> StreamingQuery:
     """Score valid records into the log; put the others aside with their reasons.
 
-    Each micro-batch replaces its own partitions, so a repeated batch leaves the
-    same result. By default all waiting records are processed, then it stops.
+    Each micro-batch replaces its own partitions. Its time is fixed in the stream's
+    offset log, so a batch that is repeated later, even on another day, leaves the
+    same rows with the same ids. By default all waiting records are processed,
+    then it stops.
     """
+    records = records.withColumn("timestamp", F.current_timestamp())
 
     def handle(batch: DataFrame, number: int) -> None:
         checked = with_exclusions(with_violations(batch), features)
@@ -80,15 +83,9 @@ def log_stream(spark: SparkSession, location: str) -> DataFrame:
     return spark.readStream.schema(LOG_TABLE_SCHEMA).parquet(location)
 
 
-def windowed_daily_counts(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Running counts per day of event time; late rows within ``delay`` still count."""
-    return (
-        log.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        .withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", "1 day"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(as_day(F.col("window.start")).alias("day"), "n")
-    )
+def running_daily_counts(log: DataFrame) -> DataFrame:
+    """Running counts per day of event time, however late its rows come; the state is one row a day."""
+    return log.groupBy(as_day(F.col("timestamp").cast("timestamp")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def start_daily_counts(
@@ -110,7 +107,7 @@ def start_daily_counts(
         )
 
     return (
-        windowed_daily_counts(log)
+        running_daily_counts(log)
         .writeStream.outputMode("update")
         .foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)

@@ -109,14 +109,6 @@ def test_saved_pipeline_gives_the_same_features(spark, sf_dir):
     assert first == again.orderBy(S.KEY).collect()
 
 
-def test_label_attacher(spark):
-    path = scratch_path(spark, "labels")
-    spark.createDataFrame([(1, 0)], "loan_id long, Pago_atiempo int").write.parquet(path)
-    rows = spark.createDataFrame([(1,), (2,)], "loan_id long")
-    out = cleaning.LabelAttacher(labelPath=path).transform(rows)
-    assert values(out, "Pago_atiempo", "loan_id") == {1: 0, 2: None}
-
-
 def test_stage_round_trip(spark):
     for stage in (
         cleaning.DropColumns(columns=["a"]),

@@ -1,16 +1,18 @@
 """Classifiers, ensembles, evaluation jobs, artifacts and scoring."""
 
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave import schema as S
-from riskweave.operators import metrics
+from riskweave.operators import cleaning, metrics
 from riskweave.operators.ensembles import BaggedTrees, BoostedStumps, poisson_draws
 from riskweave.operators.models import MODEL_NAMES, Sizes, build_classifier, fit_classifier, scored_rows
+from riskweave.operators.heuristic import HeuristicClassifier
 from riskweave.plans import evaluate, score, train
+from riskweave.plans.features import base_pipeline
 from riskweave.session import scratch_path
 from riskweave.sources import artifacts
 from riskweave.sources.derived import CREDIT_AS_OF, credit_table
@@ -161,3 +163,18 @@ def test_importances_carry_names(spark):
     rows = VectorAssembler(inputCols=["flat", "good"], outputCol="features").transform(rows)
     model = fit_classifier("decision_tree", rows, "y", sizes=SMALL)
     assert metrics.top_importances(model, rows, limit=1).first()["feature"] == "good"
+
+
+@pytest.mark.parametrize("stages", ["usual", "younger", "other types"])
+def test_scored_and_excluded_make_the_whole_input(spark, sf_dir, stages):
+    """Limits come from the fitted stages, whatever they are."""
+    rows = credit_table(spark, sf_dir)
+    pipeline = base_pipeline(CREDIT_AS_OF)
+    if stages == "younger":
+        pipeline = Pipeline(stages=[cleaning.KeepBelow(limit=60.0) if isinstance(s, cleaning.KeepBelow) else s for s in pipeline.getStages()])
+    if stages == "other types":
+        pipeline = Pipeline(stages=[cleaning.ExcludeCategories(values=["04"]) if isinstance(s, cleaning.ExcludeCategories) else s for s in pipeline.getStages()])
+    fitted = pipeline.fit(rows)
+    scored, excluded = score.score_batch(rows, fitted, PipelineModel(stages=[HeuristicClassifier()]))
+    assert scored.count() + excluded.count() == rows.count()
+    assert scored.select(S.KEY).intersect(excluded.select(S.KEY)).isEmpty() and not excluded.isEmpty()

@@ -65,7 +65,7 @@ def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     present = [v for v in values if v is not None]
     expected = statistics.median(present) if present else None
-    assert orders.exact_medians(df, ["v"], bucket_rows=5)["v"] == expected
+    assert orders.medians_and_means(df, ["v"], bucket_rows=5)["v"] == expected
 
 
 def test_medians_of_all_null_constant_and_nan_columns(spark):
@@ -93,13 +93,6 @@ def test_folds_do_not_depend_on_row_order(spark):
     assert one == other
 
 
-def test_nested_samples_grow(spark):
-    rows = spark.range(400).withColumn("g", F.lit(1))
-    sampled = splits.nested_samples(rows, [0.1, 0.5, 1.0], "g", "id")
-    counts = [sampled.where(F.col("sample_no") <= i).count() for i in (1, 2, 3)]
-    assert counts == [40, 200, 400]
-
-
 def test_shuffle_splits_differ_between_repeats(spark):
     copies = splits.shuffle_splits(spark.range(100), repeats=3, key="id")
     tests = [{r["id"] for r in copies.where(f"repeat = {i} and is_test").collect()} for i in (1, 2, 3)]
@@ -111,4 +104,4 @@ def test_empty_tables(spark):
     empty = spark.range(0).withColumn("y", F.lit(1))
     assert splits.mark_test_rows(empty, "y", "id").count() == 0
     assert splits.stratified_folds(empty, 5, "y", "id").count() == 0
-    assert orders.exact_medians(empty.select(F.col("id").cast("double").alias("v")), ["v"]) == {"v": None}
+    assert orders.medians_and_means(empty.select(F.col("id").cast("double").alias("v")), ["v"]) == {"v": None}

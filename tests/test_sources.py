@@ -14,12 +14,12 @@ from riskweave.sources import credit, prediction_log
 from riskweave.sources.derived import credit_table
 
 SAMPLE = {
-    "tipo_credito": "04", "fecha_prestamo": "2025-01-07", "capital_prestado": 1852560.0, "plazo_meses": 12,
-    "edad_cliente": 32, "tipo_laboral": "Empleado", "salario_cliente": 3500000, "total_otros_prestamos": 1000000,
-    "cuota_pactada": 128650, "puntaje": 95.23, "puntaje_datacredito": 795.0, "cant_creditosvigentes": 0,
-    "huella_consulta": 2, "saldo_mora": 0.0, "saldo_total": 0.0, "saldo_principal": 0.0, "saldo_mora_codeudor": 0.0,
-    "creditos_sectorFinanciero": 0, "creditos_sectorCooperativo": 0, "creditos_sectorReal": 0,
-    "promedio_ingresos_datacredito": 916148.0, "tendencia_ingresos": "Creciente",
+    "tipo_credito": "12", "fecha_prestamo": "2023-11-20", "capital_prestado": 940000.5, "plazo_meses": 36,
+    "edad_cliente": 51, "tipo_laboral": "Independiente", "salario_cliente": 2100000, "total_otros_prestamos": 350000,
+    "cuota_pactada": 41000, "puntaje": 60.5, "puntaje_datacredito": 702.0, "cant_creditosvigentes": 3,
+    "huella_consulta": 1, "saldo_mora": 10.0, "saldo_total": 250.0, "saldo_principal": 200.0, "saldo_mora_codeudor": 0.0,
+    "creditos_sectorFinanciero": 2, "creditos_sectorCooperativo": 1, "creditos_sectorReal": 1,
+    "promedio_ingresos_datacredito": 1800000.0, "tendencia_ingresos": "Decreciente",
 }
 
 

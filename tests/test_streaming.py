@@ -54,3 +54,46 @@ def test_daily_counts_follow_late_arrivals(spark, sf_dir):
     arrive(log.where("timestamp >= '2024-01-10'"), "two")
     streamed = {r["day"]: r["n"] for r in spark.read.parquet(f"{folder}/counts").collect()}
     assert streamed == {r["day"]: r["n"] for r in summaries.daily_counts(log).collect()}
+
+
+def test_a_row_many_days_late_is_counted(spark):
+    folder = scratch_path(spark, "late")
+
+    def arrive(days, batch):
+        rows = spark.createDataFrame([(str(i), f"{day} 10:00:00") for i, day in enumerate(days)], "id string, at string")
+        rows = rows.select("id", F.col("at").cast("timestamp").alias("timestamp"))
+        rows.withColumn("log_date", F.to_date("timestamp")).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(
+            "log_date", "batch"
+        ).parquet(f"{folder}/log")
+        streams.start_daily_counts(streams.log_stream(spark, f"{folder}/log"), f"{folder}/counts", f"{folder}/progress").awaitTermination()
+        return {str(r["day"]): r["n"] for r in spark.read.parquet(f"{folder}/counts").collect()}
+
+    arrive(["2024-01-01", "2024-01-10"], "one")
+    assert arrive(["2024-01-02"] * 7 + ["2024-01-10"], "two") == {"2024-01-01": 1, "2024-01-02": 7, "2024-01-10": 2}
+    assert arrive(["2024-01-01"], "three")["2024-01-01"] == 2
+
+
+def test_a_batch_replayed_on_another_day_leaves_the_same_rows(spark, sf_dir, monkeypatch):
+    """The time comes with the batch, so that the handler's own clock does not matter."""
+    rows = credit_table(spark, sf_dir).limit(200)
+    features = base_pipeline(CREDIT_AS_OF).fit(rows)
+    handlers = []
+
+    class Recorder:
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: (handlers.append(args[0]) if name == "foreachBatch" else None, self)[1]
+
+    class Records:
+        def withColumn(self, name, value):
+            assert name == "timestamp"
+            self.writeStream = Recorder()
+            return self
+
+    folder = scratch_path(spark, "replay")
+    streams.start_scoring(Records(), features, PipelineModel(stages=[HeuristicClassifier()]), f"{folder}/log", f"{folder}/rejected", f"{folder}/progress")
+    batch = rows.withColumn("timestamp", F.lit("2024-03-01 23:59:59").cast("timestamp"))
+    handlers[0](batch, 0)
+    first = sorted(read_log(spark, f"{folder}/log").collect())
+    handlers[0](batch, 0)
+    assert sorted(read_log(spark, f"{folder}/log").collect()) == first and first
+    assert {str(r["log_date"]) for r in first} == {"2024-03-01"}
