@@ -119,3 +119,31 @@ class PackedKeys:
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Index of each wanted key in the array given, or -1."""
         return self.place[self.hashes.find(mix(wanted.copy()))]
+
+
+class KeyCounts:
+    """Counts of 64-bit keys, merged as they come."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        found, counts = np.unique(keys, return_counts=True)
+        self.held.append((found, counts))
+        self.size += len(found)
+
+    def merge(self) -> None:
+        if len(self.held) > 1:
+            keys, counts = (np.concatenate(x) for x in zip(*self.held))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.held = [(keys[first], np.add.reduceat(counts, first))]
+            self.size = len(first)
+
+    def taken(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The merged keys and counts, which are let go."""
+        self.merge()
+        held, self.held, self.size = self.held, [], 0
+        return held

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm.flat import BLANKS, LOWER, U64, mix, row_chunks, span_hashes, text_buffers, word_spans
+from riskweave.llm.flat import BLANKS, LOWER, U64, KeyCounts, SortedHashes, mix, row_chunks, span_hashes, text_buffers, word_spans
 from riskweave.llm.scratch import fresh_name, saved
 
 #: Least Jaccard similarity, in hundredths, so that all bounds are whole numbers.
 PERCENT = 80
-#: Counters of the token frequencies that give the rarity order; several tokens may share one.
-COUNTERS = 1 << 16
+#: Most frequent tokens whose frequencies give the rarity order; all others count as rare, in the order of their hashes.
+FREQUENT_TOKENS = 1 << 18
+#: Least occurrences in a task that make a token a candidate for them; and the tokens a task holds.
+LEAST_IN_TASK, HELD_TOKENS = 3, 1_000_000
+#: Rows of a token that are paired in one task; the pairs of more frequent prefix tokens are joined.
+PAIRED_ROWS = 512
 #: Bits that mark the line classes whose tokens the verification needs; classes may share one.
-MARKS = 1 << 21
+MARKS = 1 << 24
 LAST_ID = (1 << 63) - 1
 NEWLINE = 10
 
@@ -31,17 +37,29 @@ def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, starts, ends), row, line
 
 
+class Rarity:
+    """Logarithmic class of each token's frequency, at most 63; 0 for what is not among the frequent ones."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.known = SortedHashes(tokens[order])
+        self.classes = np.append(np.minimum(63, 1 + 2 * np.log2(counts[order] + 1)), 0).astype(np.uint8)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.classes[self.known.find(tokens)]
+
+
 class LineSets:
     """The token sets of all lines with words of some rows, each set ordered by rarity."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: Rarity):
         hashes, row, line = _line_words(data, offsets)
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
         owner = np.cumsum(fresh) - 1
         at = np.flatnonzero(fresh)
         self.row, self.line = row[at], line[at]
-        rank = rarity[hashes & U64(COUNTERS - 1)]
+        rank = rarity.of(hashes)
         if len(at) < 1 << 24:
             order = np.argsort(owner.astype(U64) << U64(40) | rank.astype(U64) << U64(34) | hashes >> U64(30))
             owner, rank, hashes = owner[order], rank[order], hashes[order]
@@ -59,6 +77,8 @@ class LineSets:
         self.sizes = np.diff(self.edges)
         self.k1 = self._digest(0xC2B2AE3D27D4EB4F)
         self.k2 = self._digest(0x165667B19E3779F9)
+        bits = U64(1) << (self.tokens >> U64(58))
+        self.signs = np.bitwise_or.reduceat(bits, self.edges[:-1]) if len(self.sizes) else np.zeros(0, U64)
 
     def _digest(self, salt: int) -> np.ndarray:
         if not len(self.sizes):
@@ -78,30 +98,47 @@ def _lists(values: np.ndarray, edges: np.ndarray, chosen: np.ndarray, lengths: n
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _long(values[at]))
 
 
-def _rarity(texts: DataFrame) -> np.ndarray:
-    """Logarithmic class of the frequency of each token counter: 0 for the rarest, at most 63."""
+def _rarity(texts: DataFrame) -> Rarity:
+    """Frequencies of the most frequent tokens of all texts; at most FREQUENT_TOKENS of them reach the driver.
+
+    A task hands on what it has met LEAST_IN_TASK times. The order decides what the join has to look at, never what it
+    finds, so that tokens a task forgets cost time only.
+    """
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = KeyCounts()
         for part in parts:
             data, offsets = text_buffers(part.column("text"))
             for first, last in row_chunks(offsets):
                 low = LOWER[data[offsets[first] : offsets[last]]]
                 starts, ends, _ = word_spans(low, offsets[first : last + 1] - offsets[first], BLANKS)
-                hashes = span_hashes(low, starts, ends) & U64(COUNTERS - 1)
-                total += np.bincount(hashes.astype(np.int64), minlength=COUNTERS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["counter", "n"])
-
-    rows = texts.select("text").mapInArrow(counted, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most COUNTERS rows
-    found = np.zeros(COUNTERS)
-    found[table.column("counter").to_numpy()] = table.column("n").to_numpy()
-    return np.minimum(63, 2 * np.log2(found + 1)).astype(np.uint8)
-
-
-def _line_table(spark: SparkSession, texts: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(id, th, line, k1, k2, n, prefix) of every line with words; prefix only where a task first sees a class."""
+                total.add(span_hashes(low, starts, ends))
+                if total.size > HELD_TOKENS:
+                    total.merge()
+                    if total.size > HELD_TOKENS // 2:
+                        total.held = [(k[n > 1], n[n > 1]) for k, n in total.held]
+                        total.size = sum(len(k) for k, _ in total.held)
+        for keys, counts in total.taken():
+            often = counts >= LEAST_IN_TASK
+            yield pa.RecordBatch.from_arrays([_long(keys[often]), pa.array(counts[often])], names=["token", "n"])
+
+    rows = texts.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = saved(texts.sparkSession, rows, "tokens")
+    room, least = FREQUENT_TOKENS, 1 << 40
+    sizes = rows.groupBy(F.floor(4 * F.log2("n")).alias("size")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("tokens")).collect()
+    for size in sorted(sizes, key=lambda size: -size["n"]):
+        if size["tokens"] > room:
+            break
+        room, least = room - size["tokens"], size["n"]
+    table = rows.filter(F.col("n") >= least).toArrow()
+    return Rarity(table.column("token").to_numpy().view(U64), table.column("n").to_numpy())
+
+
+def _line_table(spark: SparkSession, texts: DataFrame, rarity: Rarity, percent: int) -> DataFrame:
+    """(id, th, line, k1, k2, n, sign, prefix) of every line with words; prefix only where a task first sees a class.
+
+    sign has a bit for each token, several tokens sharing one.
+    """
     held = spark.sparkContext.broadcast(rarity)
 
     def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,87 +158,207 @@ def _line_table(spark: SparkSession, texts: DataFrame, rarity: np.ndarray, perce
                 prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
                 columns = [pa.array(ids[first:last][sets.row]), pa.array(hashes[first:last][sets.row]),
                            pa.array(sets.line, pa.int32()), _long(sets.k1), _long(sets.k2),
-                           pa.array(sets.sizes, pa.int32()), _lists(sets.tokens, sets.edges, firsts, prefix)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "line", "k1", "k2", "n", "prefix"])
+                           pa.array(sets.sizes, pa.int32()), _long(sets.signs), _lists(sets.tokens, sets.edges, firsts, prefix)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "line", "k1", "k2", "n", "sign", "prefix"])
 
-    schema = "id long, th long, line int, k1 long, k2 long, n int, prefix array<long>"
+    schema = "id long, th long, line int, k1 long, k2 long, n int, sign long, prefix array<long>"
     return saved(spark, texts.mapInArrow(listed, schema), "lines")
 
 
-def _shared_only(rows: DataFrame) -> DataFrame:
-    """Of (token, k1, n, place) rows, sorted by token and k1 within partitions: those whose token has several k1."""
+def _fits(x: list, y: list, percent: int, least: Callable, ones: Callable) -> tuple:
+    """Conditions of a pair, x the smaller: prefix, length, position, and that the signs leave enough common tokens.
 
-    def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last distinct row, and whether its token has been met before it
+    ``x`` and ``y`` are (n, place, sign); numpy arrays and columns are treated alike.
+    """
+    (nx, px, sx), (ny, py, sy) = x, y
+    whole, needed = 100 + percent, (nx + ny) * percent
+    return (
+        # the smaller set needs a shorter prefix: size minus the overlap that two sets of its size would need
+        (nx - px) * whole >= nx * 2 * percent,
+        nx * 100 >= ny * percent,
+        least(nx - px, ny - py) * whole >= needed,
+        (nx - ones(sx, sy)) * whole >= needed,
+        (ny - ones(sy, sx)) * whole >= needed,
+    )
+
+
+def _paired(rows: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b, token, n) candidates among the n rows of each token, and, with a null b, the rows of tokens with over
+    ``limit``.
+
+    ``rows`` are (token, k1, n, place, sign). Each task reads them in the order of tokens and sizes, holds the rows of
+    one token until it knows all of them or that they are too many, and compares rows that lie one, two, three ... apart.
+    """
+    names, out = ["token", "k1", "n", "place", "sign"], ["a", "b", "token", "n", "place", "sign"]
+
+    def ones(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((x & ~y).view(U64)).astype(np.int64)
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        token, k1, n, place, sign = columns
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))[: len(token)]
+        group = np.repeat(np.diff(np.append(heads, len(token))), np.diff(np.append(heads, len(token))))
+        left, found = np.arange(len(token)), []
+        for apart in range(1, len(token)):
+            left = left[left + apart < len(token)]
+            near = (token[left] == token[left + apart]) & (n[left] * 100 >= n[left + apart] * percent)
+            left = left[near]
+            if not len(left):
+                break
+            y = left + apart
+            fits = k1[left] != k1[y]
+            for test in _fits([n[left], place[left], sign[left]], [n[y], place[y], sign[y]], percent, np.minimum, ones):
+                fits &= test
+            x, y = k1[left[fits]], k1[y[fits]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), token[left[fits]], group[left[fits]]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        nothing = pa.nulls(both.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([*map(pa.array, both), nothing, nothing], names=out)
+
+    def passed_on(columns: list[np.ndarray]) -> pa.RecordBatch:
+        token, k1, n, place, sign = map(pa.array, columns)
+        return pa.RecordBatch.from_arrays([k1, pa.nulls(len(k1), pa.int64()), token, n, place, sign], names=out)
+
+    def compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 5
+        crowded = None  # token whose rows are passed on
         for part in parts:
-            columns = [part.column(c).to_numpy(zero_copy_only=False) for c in ("token", "k1", "n", "place")]
-            if not len(columns[0]):
+            columns = [np.concatenate([h, part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, names)]
+            token = columns[0]
+            if not len(token):
                 continue
-            met = False
-            if held is not None:
-                columns = [np.concatenate([[h], c]) for h, c in zip(held[0], columns)]
-                met = held[1]
-            new = np.ones(len(columns[0]), bool)
-            new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-            columns = [c[new] for c in columns]
-            same = columns[0][1:] == columns[0][:-1]
-            before = np.concatenate([[met], same])
-            shared = before[:-1] | same
-            held = [c[-1] for c in columns], bool(before[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][shared]) for c in columns], names=["token", "k1", "n", "place"])
-        if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(c[None]) for c in map(np.asarray, held[0])], names=["token", "k1", "n", "place"])
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "k1")
-    return dealt.mapInArrow(kept, "token long, k1 long, n int, place int")
-
-
-def _candidates(lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that pass the prefix, positional and length filters."""
-    rows = lines.filter(F.size("prefix") > 0).select("k1", "n", F.posexplode("prefix").alias("place", "token"))
-    rows = _shared_only(rows.select("token", "k1", "n", "place"))
-    rows = saved(lines.sparkSession, rows, "prefixes")
-    x = rows.select(F.col("token"), F.col("k1").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    # the smaller set needs a shorter prefix: size minus the overlap that two sets of its size would need
-    x = x.filter(F.col("pa") <= F.col("na") - F.ceil(F.col("na") * (2 * percent) / (100 + percent)))
-    y = rows.select(F.col("token").alias("t"), F.col("k1").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    close = F.col("na") * 100 >= F.col("nb") * percent
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    enough = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return x.join(y, (F.col("token") == F.col("t")) & smaller & close & enough).select("a", "b").distinct()
-
-
-def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """Links ((k1, k2), (l1, l2)) of the candidate pairs, by the exact Jaccard similarity of their token sets."""
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
-    slots = ends.select(F.col("k").bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")).distinct().toArrow()
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.append(starts, len(token)))
+            many = sizes > limit
+            if crowded is not None and token[0] == crowded:
+                many[0] = True
+            many = np.repeat(many, sizes)
+            last = np.zeros(len(token), bool)
+            last[starts[-1] :] = True
+            yield pairs([c[~many & ~last] for c in columns])
+            yield passed_on([c[many] for c in columns])
+            crowded = int(token[-1]) if many[-1] else None
+            held = [c[~many & last] for c in columns]
+        yield pairs(held)
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n")
+    return dealt.mapInArrow(compared, "a long, b long, token long, n long, place long, sign long")
+
+
+def _candidates(lines: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Pairs (a, b) of classes that pass the filters on some common prefix token, with the most frequent such token, at
+    which most of a group of similar lines meet; without one if it is a crowded token."""
+    rows = lines.filter(F.size("prefix") > 0).select("k1", "n", "sign", F.posexplode("prefix").alias("place", "token"))
+    found = saved(lines.sparkSession, _paired(rows.select("token", "k1", "n", "place", "sign"), percent, limit), "candidates")
+    crowded = found.filter("b is null").select("token", "a", "n", "place", "sign").distinct()
+    x = crowded.select("token", "a", *[F.col(c).alias(f"x_{c}") for c in ("n", "place", "sign")])
+    y = crowded.select(F.col("token").alias("t"), F.col("a").alias("b"), *[F.col(c).alias(f"y_{c}") for c in ("n", "place", "sign")])
+    tests = _fits(
+        [F.col(f"x_{c}") for c in ("n", "place", "sign")], [F.col(f"y_{c}") for c in ("n", "place", "sign")], percent,
+        F.least, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))),
+    )
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("a") < F.col("b")))
+    joined = x.join(y, reduce(and_, tests, (F.col("token") == F.col("t")) & smaller))
+    joined = joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(None).cast("struct<n:bigint,token:bigint>").alias("at"))
+    met = found.filter("b is not null").select("a", "b", F.struct("n", "token").alias("at"))
+    return met.union(joined).groupBy("a", "b").agg(F.max("at").alias("at")).select("a", "b", F.col("at.token").alias("token"))
+
+
+def _marks(slots: DataFrame) -> np.ndarray:
+    """Bits of the slots in the one column of ``slots``: at most MARKS numbers come to the driver."""
     marked = np.zeros(MARKS, bool)
-    marked[slots.column("slot").to_numpy()] = True
-    held = spark.sparkContext.broadcast((rarity, np.packbits(marked)))
+    marked[slots.distinct().toArrow().column(0).to_numpy()] = True
+    return np.packbits(marked)
+
+
+def _marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _slot(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")
+
+
+def _sets(
+    spark: SparkSession, texts: DataFrame, classes: DataFrame, pairs: DataFrame, rarity: Rarity
+) -> DataFrame:
+    """(k1, k2, tokens) of the classes in ``pairs`` (a, b), and of few others; a row may be repeated.
+
+    The sets are made anew from the texts that the classes first stand in.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    firsts = classes.join(ends, F.col("k1") == F.col("k"), "left_semi")
+    place = F.col("place.th").bitwiseXOR(F.col("k1")).bitwiseAND(F.lit(MARKS - 1)).cast("int").alias("slot")
+    at_first, in_text = _marks(firsts.select(place)), _marks(firsts.select(_slot("place.th")))
+    held = spark.sparkContext.broadcast((rarity, at_first, in_text))
 
     def fetched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, marked = held.value[0], np.unpackbits(held.value[1]).astype(bool)
+        rarity, at_first, in_text = held.value
         for part in parts:
+            part = part.filter(pa.array(_marked(in_text, part.column("th").to_numpy(zero_copy_only=False) & (MARKS - 1))))
             data, offsets = text_buffers(part.column("text"))
+            hashes = part.column("th").to_numpy(zero_copy_only=False)
             for first, last in row_chunks(offsets):
                 low = LOWER[data[offsets[first] : offsets[last]]]
                 sets = LineSets(low, offsets[first : last + 1] - offsets[first], rarity)
-                wanted = marked[(sets.k1 & U64(MARKS - 1)).astype(np.int64)]
-                firsts = np.zeros(len(sets.k1), bool)
-                firsts[np.unique(sets.k1, return_index=True)[1]] = True
-                wanted &= firsts
-                lists = _lists(sets.tokens, sets.edges, wanted, sets.sizes).filter(pa.array(wanted))
+                slot = (hashes[first:last][sets.row] ^ sets.k1.view(np.int64)) & (MARKS - 1)
+                once = np.zeros(len(sets.k1), bool)
+                of_row = sets.k1 + sets.row.astype(U64) * U64(0x9FB21C651E98DF25)
+                once[np.unique(of_row, return_index=True)[1]] = True
+                wanted = np.flatnonzero(_marked(at_first, slot) & once)
+                lengths = sets.sizes[wanted]
+                bounds = np.concatenate([[0], np.cumsum(lengths)])
+                all_at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths) + np.repeat(sets.edges[:-1][wanted], lengths)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _long(sets.tokens[all_at]))
                 columns = [_long(sets.k1[wanted]), _long(sets.k2[wanted]), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "tokens"])
 
-    found = texts.select("text").mapInArrow(fetched, "k1 long, k2 long, tokens array<long>")
-    sets = saved(spark, found.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens")), "sets")
+    return texts.select("text", "th").mapInArrow(fetched, "k1 long, k2 long, tokens array<long>")
+
+
+def _verified(
+    spark: SparkSession, texts: DataFrame, classes: DataFrame, pairs: DataFrame, rarity: Rarity, percent: int
+) -> DataFrame:
+    """Links (a, a2, b, b2) of the candidate pairs, by the exact Jaccard similarity of their token sets.
+
+    The sets of a token's pairs meet at that token, so that each set travels once for all its pairs there; the pairs of
+    crowded tokens are joined with both sets.
+    """
+    local, crowded = pairs.filter("token is not null"), pairs.filter("token is null")
+    needed = local.select("token", F.explode(F.array("a", "b")).alias("k")).distinct()
+    met = needed.join(_sets(spark, texts, classes, local, rarity), F.col("k") == F.col("k1"))
+    met = met.select("token", F.lit(0).alias("kind"), "k1", "k2", "tokens")
+    asked = local.select("token", F.lit(1).alias("kind"), F.col("a").alias("k1"), F.col("b").alias("k2"), F.lit(None).cast("array<long>").alias("tokens"))
+
+    def compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, known = None, {}  # the sets of the token, by k1
+        for part in parts:
+            found = []
+            columns = [part.column(c).to_pylist() for c in ("token", "kind", "k1", "k2", "tokens")]
+            for here, kind, k1, k2, tokens in zip(*columns):
+                if here != token:
+                    token, known = here, {}
+                if kind == 0:
+                    known.setdefault(k1, {})[k2] = frozenset(tokens)
+                    continue
+                for a2, x in known[k1].items():
+                    for b2, y in known[k2].items():
+                        if len(x & y) * (100 + percent) >= (len(x) + len(y)) * percent:
+                            found.append((k1, a2, k2, b2))
+            ends = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "a2", "b", "b2"])
+
+    dealt = met.union(asked).repartition("token").sortWithinPartitions("token", "kind")
+    links = dealt.mapInArrow(compared, "a long, a2 long, b long, b2 long")
+    if crowded.isEmpty():
+        return links
+    sets = _sets(spark, texts, classes, crowded, rarity).groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
+    sets = saved(spark, sets, "sets")
     x = sets.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("tokens").alias("x"))
     y = sets.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     alike = shared * (100 + percent) >= (F.size("x") + F.size("y")) * percent
-    return pairs.join(x, "a").join(y, "b").filter(alike).select("a", "a2", "b", "b2")
+    return links.union(crowded.join(x, "a").join(y, "b").filter(alike).select("a", "a2", "b", "b2"))
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -213,7 +370,8 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def later_lines(
-    spark: SparkSession, docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text"
+    spark: SparkSession, docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text",
+    limit: int = PAIRED_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """The lines that repeat an earlier one, and the line links.
 
@@ -230,9 +388,10 @@ def later_lines(
     texts = _texts(docs, id_column, text)
     rarity = _rarity(texts)
     lines = _line_table(spark, texts, rarity, percent)
-    links = saved(spark, _verified(spark, texts, saved(spark, _candidates(lines, percent), "pairs"), rarity, percent), "links")
     place = F.struct("id", "line", "th")
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"))
+    pairs = saved(spark, _candidates(lines, percent, limit), "pairs")
+    classes = saved(spark, lines.groupBy("k1", "k2").agg(F.min(place).alias("place")), "classes")
+    links = saved(spark, _verified(spark, texts, classes, pairs, rarity, percent), "links")
     both = links.union(links.select("b", "b2", "a", "a2"))
     ends = classes.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), "place")
     least = both.join(ends, ["b", "b2"]).groupBy(F.col("a").alias("k1"), F.col("a2").alias("k2")).agg(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.flat import BLANKS, LOWER, U64, PackedKeys, SortedHashes, row_chunks, span_hashes, text_buffers, word_spans
+from riskweave.llm.flat import BLANKS, LOWER, U64, KeyCounts, PackedKeys, SortedHashes, row_chunks, span_hashes, text_buffers, word_spans
 from riskweave.llm.kneser_ney import row_sums
 from riskweave.llm.scratch import fresh_name, saved
 
@@ -48,42 +48,20 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.n
     return packed, edges
 
 
-class _KeyCounts:
-    """Counts of 64-bit keys, merged as they come."""
-
-    def __init__(self) -> None:
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        found, counts = np.unique(keys, return_counts=True)
-        self.held.append((found, counts))
-        self.size += len(found)
-
-    def merge(self) -> None:
-        if len(self.held) > 1:
-            keys, counts = (np.concatenate(x) for x in zip(*self.held))
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.held = [(keys[first], np.add.reduceat(counts, first))]
-            self.size = len(first)
-
-    def batches(self, kind: int) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for keys, counts in self.held:
-            for a in range(0, len(keys), 200_000):
-                piece = keys[a : a + 200_000]
-                columns = [pa.array(np.full(len(piece), kind, np.int32)), pa.array(piece.view(np.int64)), pa.array(counts[a : a + 200_000])]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
-        self.held, self.size = [], 0
+def _batches(total: KeyCounts, kind: int) -> Iterator[pa.RecordBatch]:
+    """The counts as rows; nothing is held any more."""
+    for keys, counts in total.taken():
+        for a in range(0, len(keys), 200_000):
+            piece = keys[a : a + 200_000]
+            columns = [pa.array(np.full(len(piece), kind, np.int32)), pa.array(piece.view(np.int64)), pa.array(counts[a : a + 200_000])]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
 
 
 def _training_counts(texts: DataFrame, order: int) -> DataFrame:
     """(kind, key, n): counts of the packed byte n-grams (kind 0) and of the word hashes (kind 1) of all ``texts``."""
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [_KeyCounts(), _KeyCounts()]
+        totals = [KeyCounts(), KeyCounts()]
         for part in parts:
             data, offsets = text_buffers(part.column("text"))
             for first, last in row_chunks(offsets):
@@ -95,9 +73,9 @@ def _training_counts(texts: DataFrame, order: int) -> DataFrame:
                     if total.size > HELD_KEYS:
                         total.merge()
                         if total.size > HELD_KEYS // 2:
-                            yield from total.batches(kind)
+                            yield from _batches(total, kind)
         for kind, total in enumerate(totals):
-            yield from total.batches(kind)
+            yield from _batches(total, kind)
 
     return texts.mapInArrow(counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 

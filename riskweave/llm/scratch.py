@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.session import scratch_path
 
 
+#: Spark's setting that removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back."""
+    """``df`` written as Parquet under the shared folder and read back; the shuffle files of the writing query go."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
