@@ -66,8 +66,8 @@ def tile_nearest(queries: Quantised, query_ids: np.ndarray, block: Quantised, bl
         low = near - slack
         own = query_ids[rows, None] == block_ids[None, :]
         low[own] = -np.inf
-        keep = min(count + 1, low.shape[1])
-        floor = -np.partition(-low, keep - 1, axis=1)[:, min(count, low.shape[1]) - 1]
+        last = min(count, low.shape[1]) - 1  # only this place of the partition is sure to hold its value
+        floor = -np.partition(-low, last, axis=1)[:, last]
         row, place = np.nonzero((near + slack >= floor[:, None]) & ~own)
         scores = exact_products(queries.exact[a + row], block.exact[place])
         order = np.lexsort((block_ids[place], -scores, row))

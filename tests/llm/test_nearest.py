@@ -5,7 +5,7 @@ import pytest
 from check_oracle import difference, oracle_connection
 from pyspark.sql import functions as F
 
-from riskweave.llm.nearest import nearest
+from riskweave.llm.nearest import Quantised, nearest, tile_nearest
 from riskweave.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 
@@ -36,3 +36,19 @@ def test_blocks_ties_and_unusable_vectors(spark, blocks, monkeypatch):
                 expected[q] = [(i, -s) for s, i in near]
     assert found == expected
     assert nearest(spark, table.filter("false"), F.lit(True)).count() == 0
+
+
+def test_floor_needs_no_more_than_partition_promises(monkeypatch):
+    """A partition whose other places are in descending order, as numpy allows, loses no neighbour."""
+
+    def rough(values, kth, axis):
+        values = np.sort(values, axis=axis)
+        return np.concatenate([values[:, :kth][:, ::-1], values[:, kth : kth + 1], values[:, kth + 1 :][:, ::-1]], axis=1)
+
+    rng = np.random.default_rng(2)
+    queries, block = rng.normal(size=(5, 16)), rng.normal(size=(300, 16))
+    query_ids, block_ids = np.arange(1000, 1005), np.arange(300)
+    monkeypatch.setattr("riskweave.llm.nearest.np.partition", rough)
+    for count in (1, 20, 299, 300, 400):
+        found = {k: ids.tolist() for k, ids, _ in tile_nearest(Quantised(queries), query_ids, Quantised(block), block_ids, count)}
+        assert found == {k: np.argsort(-(block @ queries[k]))[:count].tolist() for k in range(5)}
