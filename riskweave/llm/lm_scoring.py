@@ -1,4 +1,4 @@
-"""Language-model scoring: prediction by partial matching over a pretrained trie of byte contexts, and a word baseline."""
+"""Language-model scoring: prediction by partial matching over the whole trie of byte contexts, and a word baseline."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,13 @@ from riskweave.llm.kneser_ney import row_sums
 from riskweave.llm.scratch import fresh_name, saved
 
 ORDER = 5
-#: Most nodes of the deepest level of the trie; the rarest are cut off, whole counts at a time, until they fit.
-MAX_NODES = 600_000
+#: Most frequent n-grams whose log probabilities are broadcast; those of all others are joined.
+MAX_NODES = 3_000_000
+#: Bytes of context that n-grams are dealt by; the levels of the trie with fewer, 256 to the power of this nodes at
+#: most, are broadcast, the deeper ones are built whole for each part.
+DEALT_BY = 3
+#: Distinct n-grams of a part, about.
+PART_GRAMS = 400_000
 #: Most frequent words whose counts are broadcast; the counts of all others are joined.
 BROADCAST_WORDS = 300_000
 #: Distinct keys whose counts a task holds before it hands them on.
@@ -48,36 +54,45 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.n
     return packed, edges
 
 
+GRAMS, WORDS, OTHER_GRAMS = range(3)
+
+
 def _batches(total: KeyCounts, kind: int) -> Iterator[pa.RecordBatch]:
     """The counts as rows; nothing is held any more."""
     for keys, counts in total.taken():
         for a in range(0, len(keys), 200_000):
-            piece = keys[a : a + 200_000]
-            columns = [pa.array(np.full(len(piece), kind, np.int32)), pa.array(piece.view(np.int64)), pa.array(counts[a : a + 200_000])]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
+            piece, times = keys[a : a + 200_000], counts[a : a + 200_000]
+            learned = np.zeros_like(times) if kind == OTHER_GRAMS else times
+            columns = [pa.array(np.full(len(piece), kind % OTHER_GRAMS, np.int32)), pa.array(piece.view(np.int64)), pa.array(learned), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n", "times"])
 
 
-def _training_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(kind, key, n): counts of the packed byte n-grams (kind 0) and of the word hashes (kind 1) of all ``texts``."""
+def _counts(texts: DataFrame, order: int) -> DataFrame:
+    """(kind, key, n, times): the packed byte n-grams (kind 0) of all ``texts`` (text, learned) and the word hashes
+    (kind 1) of the learned ones; how often they occur in the learned ones, and in all that are counted."""
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [KeyCounts(), KeyCounts()]
-        for part in parts:
-            data, offsets = text_buffers(part.column("text"))
-            for first, last in row_chunks(offsets):
-                low, here = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
-                totals[0].add(byte_stream(low, here, order)[0])
-                starts, ends, _ = word_spans(low, here, BLANKS)
-                totals[1].add(span_hashes(low, starts, ends))
-                for kind, total in enumerate(totals):
-                    if total.size > HELD_KEYS:
-                        total.merge()
-                        if total.size > HELD_KEYS // 2:
-                            yield from _batches(total, kind)
+        totals = [KeyCounts(), KeyCounts(), KeyCounts()]
+        for whole in parts:
+            learned = whole.column("learned")
+            for part, use in ((whole.filter(learned), True), (whole.filter(pc.invert(learned)), False)):
+                data, offsets = text_buffers(part.column("text"))
+                for first, last in row_chunks(offsets):
+                    low, here = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
+                    totals[GRAMS if use else OTHER_GRAMS].add(byte_stream(low, here, order)[0])
+                    if use:
+                        starts, ends, _ = word_spans(low, here, BLANKS)
+                        totals[WORDS].add(span_hashes(low, starts, ends))
+                    for kind, total in enumerate(totals):
+                        if total.size > HELD_KEYS:
+                            total.merge()
+                            if total.size > HELD_KEYS // 2:
+                                yield from _batches(total, kind)
         for kind, total in enumerate(totals):
             yield from _batches(total, kind)
 
-    return texts.mapInArrow(counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(counted, "kind int, key long, n long, times long")
+    return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 class ContextTrie:
@@ -151,22 +166,71 @@ class ContextTrie:
         return result
 
 
-def _trie(counts: DataFrame, order: int, max_nodes: int) -> ContextTrie:
-    """The trie of the n-grams in ``counts`` (key, n) that occur as often as lets its deepest level hold ``max_nodes``."""
-    kinds = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()
-    left, cut = sum(k["grams"] for k in kinds), 1
-    for k in sorted(kinds, key=lambda k: k["n"]):
-        if left <= max_nodes:
-            break
-        left, cut = left - k["grams"], k["n"] + 1
-    levels = []
-    for depth in range(order + 1):
+def _gram_logs(spark: SparkSession, grams: DataFrame, order: int) -> DataFrame:
+    """(key, times, log): natural log probability of the last byte of each n-gram of ``grams`` (key, n, times) after the
+    bytes before it, by the whole trie of the counts n.
+
+    The nodes that an n-gram meets end in the bytes of its context, so those of the levels from DEALT_BY on are all in
+    its part when n-grams are dealt by the last DEALT_BY bytes of their contexts.
+    """
+    dealt_by = min(DEALT_BY, order)
+    learned = grams.filter("n > 0")
+    shallow = []
+    for depth in range(dealt_by):
         key = F.col("key").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1))
-        table = counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).filter(F.col("n") >= cut).toArrow()
-        grams, n = table.column("key").to_numpy().view(U64), table.column("n").to_numpy()
-        sort = np.argsort(grams)
-        levels.append((grams[sort], n[sort]))
-    return ContextTrie(order, levels)
+        table = learned.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        keys, n = table.column("key").to_numpy().view(U64), table.column("n").to_numpy()
+        sort = np.argsort(keys)
+        shallow.append((keys[sort], n[sort]))
+    held = spark.sparkContext.broadcast(shallow)
+
+    def looked_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = list(parts)
+        if not taken:
+            return
+        table = pa.Table.from_batches(taken)
+        keys, n = table.column("key").to_numpy().view(U64), table.column("n").to_numpy()
+        sort = np.argsort(keys)
+        sort = sort[n[sort] > 0]
+        levels = list(held.value)
+        for depth in range(dealt_by, order + 1):
+            short = keys & _mask(depth + 1)
+            place = sort[np.argsort(short[sort], kind="stable")]
+            new = np.flatnonzero(np.concatenate([[True], short[place][1:] != short[place][:-1]])) if len(place) else place
+            levels.append((short[place][new], np.add.reduceat(n[place], new) if len(place) else n[place]))
+        trie = ContextTrie(order, levels)
+        times = table.column("times").combine_chunks()
+        for a in range(0, len(keys), 200_000):
+            piece = keys[a : a + 200_000]
+            columns = [pa.array(piece.view(np.int64)), times.slice(a, len(piece)), pa.array(trie.logs_of(piece))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "times", "log"])
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-grams.count() // PART_GRAMS))
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * dealt_by)) - 1))
+    return grams.repartition(parts, context).mapInArrow(looked_up, "key long, times long, log double")
+
+
+def _often(counts: DataFrame, column: str, room: int) -> int:
+    """The least ``column`` from which on at most ``room`` rows of ``counts`` have it."""
+    sizes = counts.groupBy(F.least(column, F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    often = 100_001
+    for size in sorted(sizes, key=lambda size: -size["n"]):
+        if size["rows"] > room:
+            break
+        room, often = room - size["rows"], size["n"]
+    return often
+
+
+def _missed(keys: np.ndarray, owner: np.ndarray, rows: int) -> list[pa.Array]:
+    """Lists of the distinct keys of each owning row, and of how often they occur."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    place = np.flatnonzero(new)
+    times = np.diff(np.append(place, len(keys))).astype(np.int32)
+    bounds = pa.array(np.searchsorted(owner[place], np.arange(rows + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(bounds, pa.array(keys[place].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times))]
 
 
 def text_scores(
@@ -181,68 +245,62 @@ def text_scores(
     ones in proportion to the number of different symbols seen (method C), symbols already ruled out being excluded.
     base_score adds log10((c + 1) / (N + V + 1)) over words and one end: c counts the token in the training texts, N
     all their tokens, V the different ones; n_known counts tokens with c > 0. Words are told apart by 64-bit hashes.
-    Counts of the ``broadcast_words`` most frequent words are broadcast, all others joined. Rows stay as they are,
+    The trie holds every context of the training texts. Counts of the ``broadcast_words`` most frequent words and log
+    probabilities of the ``max_nodes`` most frequent n-grams are broadcast, all others joined. Rows stay as they are,
     repeated or not; columns named like the results are replaced; an empty table gives an empty result, and without
     training texts every byte has probability 1/256.
     """
     if not 1 <= order <= 6:
         raise ValueError("order must lie between 1 and 6")
-    learned = docs.filter(F.coalesce(training, F.lit(False))).select(F.col(f"`{text}`").alias("text"))
-    counts = saved(spark, _training_counts(learned, order), "counts")
-    trie = _trie(counts.filter("kind = 0").select("key", "n"), order, max_nodes)
+    learns = F.coalesce(training, F.lit(False))
+    body, use = F.col(f"`{text}`").alias("text"), learns.alias("learned")
+    counts = saved(spark, _counts(docs.select(body, use), order), "counts")
+    grams = saved(spark, _gram_logs(spark, counts.filter("kind = 0").drop("kind"), order), "grams")
     words = counts.filter("kind = 1").select("key", "n")
-    texts = learned.count()
+    texts = docs.filter(learns).count()
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, kinds = totals["n"] + texts, totals["v"] + (texts > 0)
-    sizes = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    room, often = broadcast_words, 100_001
-    for size in sorted(sizes, key=lambda size: -size["n"]):
-        if size["words"] > room:
-            break
-        room, often = room - size["words"], size["n"]
+    often, often_gram = _often(words, "n", broadcast_words), _often(grams, "times", max_nodes)
     frequent = words.filter(F.col("n") >= often).toArrow()
     keys, counted = frequent.column("key").to_numpy().view(U64), frequent.column("n").to_numpy()
     sort = np.argsort(keys)
     logs = np.log10(counted[sort] + 1.0)
-    held = spark.sparkContext.broadcast((trie, SortedHashes(keys[sort]), np.append(logs, 0.0)))
+    frequent = grams.filter(F.col("times") >= often_gram).select("key", "log").toArrow()
+    nodes, node_logs = PackedKeys(frequent.column("key").to_numpy().view(U64)), np.append(frequent.column("log").to_numpy(), 0.0)
+    held = spark.sparkContext.broadcast((nodes, node_logs, SortedHashes(keys[sort]), np.append(logs, 0.0)))
+    del frequent, nodes, node_logs
     end_log = float(np.log10(texts + 1.0))
 
     kept = [c for c in docs.columns if c != text and c.lower() not in RESULTS]
     row, body = fresh_name(docs, "row_number"), fresh_name(docs, "body")
     added = [(row, T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()),
-             ("rare", T.ArrayType(T.LongType(), False)), ("times", T.ArrayType(T.IntegerType(), False))]
+             ("rare", T.ArrayType(T.LongType(), False)), ("times", T.ArrayType(T.IntegerType(), False)),
+             ("rare_grams", T.ArrayType(T.LongType(), False)), ("gram_times", T.ArrayType(T.IntegerType(), False))]
     names = [row, *[fresh_name(docs, name) for name, _ in added[1:]]]
     out = T.StructType([docs.schema[c] for c in kept])
     for name, (_, kind) in zip(names, added):
         out = out.add(name, kind)
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known, logs = held.value
+        nodes, node_logs, known, logs = held.value
         number = TaskContext.get().partitionId() << 33
         for part in parts:
             data, offsets = text_buffers(part.column(body))
             for first, last in row_chunks(offsets):
                 rows = last - first
                 low, here = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
-                packed, edges = byte_stream(low, here, trie.order)
-                score = row_sums(trie.logs_of(packed)[:, None], edges)[:, 0] / np.log(10)
+                packed, edges = byte_stream(low, here, order)
+                at = nodes.find(packed)
+                score = row_sums(node_logs[at][:, None], edges)[:, 0] / np.log(10)
+                rare_grams = _missed(packed[at < 0], np.repeat(np.arange(rows), np.diff(edges))[at < 0], rows)
                 starts, ends, heads = word_spans(low, here, BLANKS)
                 hashes = span_hashes(low, starts, ends)
                 at = known.find(hashes)
                 found = row_sums(np.column_stack([logs[at], at >= 0]), heads)
-                owner = np.repeat(np.arange(rows), np.diff(heads))[at < 0]
-                rare = hashes[at < 0]
-                order = np.lexsort((rare, owner))
-                owner, rare = owner[order], rare[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1])
-                place = np.flatnonzero(new)
-                times = np.diff(np.append(place, len(rare))).astype(np.int32)
-                bounds = pa.array(np.searchsorted(owner[place], np.arange(rows + 1)).astype(np.int32))
+                rare = _missed(hashes[at < 0], np.repeat(np.arange(rows), np.diff(heads))[at < 0], rows)
                 results = [
                     pa.array(number + np.arange(rows)), pa.array(np.diff(heads) + 1), pa.array(found[:, 1].astype(np.int64)),
-                    pa.array(found[:, 0]), pa.array(score),
-                    pa.ListArray.from_arrays(bounds, pa.array(rare[place].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times)),
+                    pa.array(found[:, 0]), pa.array(score), *rare, *rare_grams,
                 ]
                 number += rows
                 given = [part.column(c).slice(first, rows) for c in kept]
@@ -250,11 +308,21 @@ def text_scores(
 
     scores = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(body)).mapInArrow(scored, out)
     scores = saved(spark, scores, "scores")
-    tokens, n_known, base, score, rare, times = names[1:]
-    pairs = scores.select(F.col(row).alias("r"), F.explode(F.arrays_zip(rare, times)).alias("w"))
-    pairs = pairs.select("r", F.col("w").getField(rare).alias("k"), F.col("w").getField(times).alias("times"))
-    joined = pairs.join(words.filter(F.col("n") < often), F.col("k") == F.col("key")).groupBy("r").agg(
-        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs")
+    tokens, n_known, base, score, *lists = names[1:]
+
+    def pairs(kind: int, keys: str, times: str) -> DataFrame:
+        found = scores.filter(F.size(keys) > 0).select(F.col(row).alias("r"), F.explode(F.arrays_zip(keys, times)).alias("w"))
+        return found.select("r", F.lit(kind).alias("of"), F.col("w").getField(keys).alias("k"), F.col("w").getField(times).alias("times"))
+
+    values = words.filter(F.col("n") < often).select(F.lit(WORDS).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
+    values = values.unionByName(
+        grams.filter(F.col("times") < often_gram).select(F.lit(GRAMS).alias("kind"), "key", (F.col("log") / float(np.log(10))).alias("value"))
+    )
+    missed = pairs(WORDS, *lists[:2]).unionByName(pairs(GRAMS, *lists[2:]))
+    missed = missed.join(values, (F.col("k") == F.col("key")) & (F.col("of") == F.col("kind")))
+    word, part = F.col("kind") == WORDS, F.col("times") * F.col("value")
+    joined = missed.groupBy("r").agg(
+        F.sum(F.when(word, F.col("times"))).alias("more"), F.sum(F.when(word, part)).alias("logs"), F.sum(F.when(~word, part)).alias("gram_logs")
     )
     whole = scores.join(joined, F.col(row) == F.col("r"), "left")
     denominator = float(np.log10(n_train + kinds + 1.0))
@@ -262,5 +330,5 @@ def text_scores(
     return whole.select(
         *[F.col(f"`{c}`") for c in kept], F.col(tokens).alias("n_tokens"),
         (F.col(n_known) + F.coalesce("more", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), total.alias("base_score"), F.col(score).alias("score"),
+        F.lit(n_train).cast("long").alias("train_tokens"), total.alias("base_score"), (F.col(score) + F.coalesce("gram_logs", F.lit(0.0))).alias("score"),
     )

@@ -91,3 +91,14 @@ def test_query_on_given_tables(spark, sf_dir):
         assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (tokens, known, total)
         assert out[i].base_score == pytest.approx(base, rel=1e-9) and out[i].held_out == (crc32(str(i).encode()) % 7 == 2)
     assert sum(r.score for r in out.values() if r.held_out) > sum(r.base_score for r in out.values() if r.held_out)
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+@pytest.mark.parametrize("nodes", [0, 20])
+def test_every_context_counts_whatever_is_broadcast(spark, order, nodes):
+    texts = [f"some text {i} about things {i * i}" for i in range(40)] + ["seen once: \u03a9\u03bc\u03ad\u03b3\u03b1", "seen once: \u03a9\u03bc\u03ad", "things unseen"]
+    rows = [(i, t, i % 5 != 1) for i, t in enumerate(texts)]
+    model = DirectPpm([t.encode() for _, t, use in rows if use], order)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    out = {r.doc_id: r.score for r in text_scores(spark, docs, F.col("learn"), order=order, max_nodes=nodes).collect()}
+    assert out == pytest.approx({i: model.log10(t.encode()) for i, t, _ in rows}, abs=1e-6)
