@@ -14,8 +14,6 @@ from riskweave.llm.flat import U64, SortedHashes, mix, row_chunks, text_buffers
 from riskweave.llm.scratch import saved
 
 SPACE = 32
-#: Most distinct top-order n-grams of a model; the rarest are cut off, whole counts at a time, until they fit.
-MAX_GRAMS = 600_000
 #: Rows whose n-gram counts a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
 
@@ -152,9 +150,10 @@ class CharModel:
     Orders from ``own_from`` on have counts of each class; lower ones are shared by all classes.
     """
 
-    def __init__(self, grams: list[str], labels: np.ndarray, counts: np.ndarray, classes: int, order: int, own_from: int = 1):
+    def __init__(self, grams: list[str] | pa.ChunkedArray, labels: np.ndarray, counts: np.ndarray, classes: int, order: int, own_from: int = 1):
         self.order, self.classes = order, classes
-        codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, order)
+        data, _ = text_buffers(pa.array(grams, pa.string()) if isinstance(grams, list) else grams)
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).reshape(-1, order)
         keys, codes, of = _grouped(codes)
         table = np.zeros((len(codes), classes))
         np.add.at(table, (of, labels), counts)
@@ -215,22 +214,8 @@ def row_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit_model(
-    spark: SparkSession, rows: DataFrame, classes: int, order: int, own_from: int = 1, max_grams: int = MAX_GRAMS
-) -> CharModel:
-    """The model of ``rows`` (label, text). Only its n-grams reach the driver, ``max_grams`` of them at most.
-
-    The cut-off is the least count for which they fit, found from the number of n-grams of each count.
-    """
-    counted = saved(spark, gram_counts(rows, order), "grams")
-    kinds = counted.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()
-    left, cut = sum(k["grams"] for k in kinds), 1
-    for k in sorted(kinds, key=lambda k: k["n"]):
-        if left <= max_grams:
-            break
-        left, cut = left - k["grams"], k["n"] + 1
-    if left > max_grams:
-        raise ValueError(f"{left} n-grams occur 1000 times or more; the model holds {max_grams}")
-    table = counted.filter(F.col("n") >= cut).toArrow()
+def fit_model(spark: SparkSession, rows: DataFrame, classes: int, order: int, own_from: int = 1) -> CharModel:
+    """The model of ``rows`` (label, text), a sample of bounded size. All its n-grams reach the driver, none is cut off."""
+    table = saved(spark, gram_counts(rows, order), "grams").toArrow()
     labels, counts = (table.column(c).to_numpy() for c in ("label", "n"))
-    return CharModel(table.column("gram").to_pylist(), labels, counts, classes, order, own_from)
+    return CharModel(table.column("gram"), labels, counts, classes, order, own_from)

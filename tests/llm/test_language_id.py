@@ -108,3 +108,16 @@ def test_edge_rows(spark):
     assert fit_languages(spark, docs, F.lit(False)) is None
     assert {r.lang_pred for r in with_languages(spark, docs, None, keep_text=False).collect()} == {"und"}
     assert with_languages(spark, docs.filter("false"), found).count() == 0
+
+
+def test_large_class_leaves_a_small_one_its_counts(spark):
+    symbols = np.random.default_rng(3).integers(0x4E00, 0x9F00, 650_000)
+    texts = [["".join(map(chr, symbols))], ["small river house"]]
+    rows = spark.createDataFrame([(k, t) for k, ts in enumerate(texts) for t in ts], "label int, text string")
+    model = fit_model(spark, rows, 2, 2)
+    tables = [brute_counts(ts, 2) for ts in texts]
+    assert len(model.grams[-1].keys) - 1 == len({*tables[0], *tables[1]}) > 600_000
+    symbols, at, *_ = symbol_stream(np.frombuffer(b"small house", np.uint8), np.array([0, 11]), 2)
+    logs = model.position_logs(symbols, at)
+    for label in (0, 1):
+        assert np.allclose(logs[:, label], brute_logs(tables, 2, 1, stream_of("small house", 2), label), atol=1e-4)
