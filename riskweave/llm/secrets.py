@@ -26,8 +26,15 @@ NUMBERS = (
 )
 
 # fixed values: formats and names by which findings are labelled when no labels are given
-KEY_ID = r"^AKIA[A-Z0-9]{16}$"
-HEX_TOKEN = r"^[0-9a-f]{32,64}$"
+KEY_ID = (
+    r"^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{40,}|glpat-[\w\-]{20,}|npm_[A-Za-z0-9]{36}"
+    r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|[spr]k_(live|test)_[A-Za-z0-9]{16,}|AIza[\w\-]{35}|eyJ[\w\-]{13,})$"
+)
+HEX_TOKEN = r"(?i)^[0-9a-f]{32,}$"
+#: Base64, of either alphabet: upper and lower case and digits.
+BASE64_TOKEN = r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_\-]{20,}={0,2}$"
+#: The signature of a web token follows its other parts after a dot.
+SIGNATURE, DOT = r"^[\w\-]{43,}$", r"^\.$"
 KEY_NAMES = r"(?i)(token|secret|passw(or)?d|api[_-]?key|key)[\"']?\s*[:=]\s*[\"']?$"
 
 
@@ -104,9 +111,12 @@ def features(spark: SparkSession, found: DataFrame, pairs: DataFrame, triples: D
 
 
 def labelled_by_format(found: DataFrame) -> DataFrame:
-    """``found`` with label 1 for what has the form of a key or stands, as a token, behind a key's name; else 0."""
-    secret = F.col("value").rlike(KEY_ID) | (F.col("value").rlike(HEX_TOKEN) & F.col("before").rlike(KEY_NAMES))
-    return found.withColumn("label", secret.cast("int"))
+    """``found`` with label 1 for what has the form of a key or stands, as a token, behind a key's name; null for what else
+    stands behind one, and for what may be a web token's signature; else 0."""
+    value, named = F.col("value"), F.col("before").rlike(KEY_NAMES)
+    secret = value.rlike(KEY_ID) | ((value.rlike(HEX_TOKEN) | value.rlike(BASE64_TOKEN)) & named)
+    unknown = named | (value.rlike(SIGNATURE) & F.col("before").rlike(DOT))
+    return found.withColumn("label", F.when(secret, 1).when(~unknown, 0))
 
 
 def fit_forest(spark: SparkSession, labelled: DataFrame, bound: int = TRAINING_FINDINGS) -> PipelineModel | None:

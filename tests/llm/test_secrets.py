@@ -43,3 +43,20 @@ def test_edge_rows(spark):
     given = {r.value: r.is_secret for r in secrets.scan(spark, docs, labelled).collect()}
     assert given[key] and not given["a" * 200_000]
     assert secrets.scan(spark, docs.filter("false")).count() == 0
+
+
+def test_planted_keys_of_other_formats(spark):
+    planted = [
+        "9233A8EC" * 5, "0123456789aBcDeF" * 2, "c2VjcmV0IHZhbHVlIG51bWJlciA3/w==", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY", "gh" + "p_" + "a1B2c3" * 6,
+        "eyJhbGciOiJIUzI1NiJ9", "sk" + "_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "AS" + "IA" + "Q7" * 8,
+    ]
+    rows = [(k, "TOKEN = \"", "\"") for k in planted] + [
+        ("some_other_variable", "key = ", ""), ("x" * 43, ".", " "), ("9233A8EC" * 5, "commit ", ""), ("site-packages/module", "lib/", "")]
+    found = secrets.labelled_by_format(spark.createDataFrame(rows, "value string, before string, after string"))
+    labels = [r.label for r in found.collect()]
+    assert labels == [1] * len(planted) + [None, None, 0, 0]
+    docs = spark.createDataFrame(
+        [(i, f'TOKEN = "{i * 7919:08X}{i * 104729 + 11:016X}{i * 1299709:016X}" but site-packages/module{i}/lib and a plain-hyphenated-name-{i}') for i in range(200)],
+        "doc_id long, text string")
+    out = secrets.scan(spark, docs).collect()
+    assert all(r.is_secret == (r.place == 1) for r in out)
