@@ -178,3 +178,16 @@ def test_scored_and_excluded_make_the_whole_input(spark, sf_dir, stages):
     scored, excluded = score.score_batch(rows, fitted, PipelineModel(stages=[HeuristicClassifier()]))
     assert scored.count() + excluded.count() == rows.count()
     assert scored.select(S.KEY).intersect(excluded.select(S.KEY)).isEmpty() and not excluded.isEmpty()
+
+
+def test_registered_training_has_full_size(monkeypatch):
+    from types import SimpleNamespace
+
+    from riskweave.catalog import queries
+    from riskweave.operators.models import Sizes
+
+    calls = []
+    monkeypatch.setattr(queries, "credit_table", lambda spark, d: "credit")
+    monkeypatch.setattr(queries.train, "train_all", lambda *given, **named: calls.append((given, named)) or SimpleNamespace(leaderboard="board"))
+    assert queries.training_leaderboard(None, "") == "board" and calls == [(("credit", queries.CREDIT_AS_OF), {})]
+    assert queries.QUERY_SIZES == Sizes()
