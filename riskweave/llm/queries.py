@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.llm import secrets
 from riskweave.llm.bpe import token_digests, with_token_ids
 from riskweave.llm.decontaminate import benchmark_hits
+from riskweave.llm.fill_middle import fill_in_middle_digests, with_fill_in_middle
 from riskweave.llm.language_id import fit_languages, with_languages
 from riskweave.llm.line_dedup import line_report
 from riskweave.llm.lm_scoring import text_scores
@@ -204,6 +205,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(with_token_ids(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle_digests(with_fill_in_middle(docs, seed=42, share=50, spm_share=80))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+    ('0x' || h[17:24])::BIGINT % 100 AS c3, ('0x' || h[25:32])::BIGINT % 100 AS c4 FROM d
+), cut AS (
+  SELECT doc_id, t, n, array_to_string(u[1 : least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1 : n], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 50 THEN 'plain' WHEN c4 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM cut
+"""
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -215,6 +241,7 @@ LLM_QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bpe": op10_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -222,4 +249,5 @@ LLM_ORACLES: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op7_token_counts": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
