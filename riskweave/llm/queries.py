@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from riskweave.llm import secrets
 from riskweave.llm.bpe import token_digests, with_token_ids
 from riskweave.llm.decontaminate import benchmark_hits
+from riskweave.llm.divergence import source_divergence
 from riskweave.llm.fill_middle import fill_in_middle_digests, with_fill_in_middle
 from riskweave.llm.language_id import fit_languages, with_languages
 from riskweave.llm.line_dedup import line_report
 from riskweave.llm.lm_scoring import text_scores
 from riskweave.llm.nearest import nearest
+from riskweave.llm.piece_bpe import piece_digests, with_piece_ids
 from riskweave.llm.scratch import saved
 from riskweave.llm.simhash import simhash_components
 from riskweave.llm.token_counts import TokenRollup, signed, word_count
@@ -230,6 +232,50 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 """
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digests(with_piece_ids(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return source_divergence(spark, docs, least=10, ranks=10)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN counted c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source
+), shares AS (
+  SELECT k.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (total + 2 * v) AS p
+  FROM kept k JOIN sizes USING (lang) JOIN totals t USING (lang) LEFT JOIN counted c ON c.lang = k.lang AND c.source = t.source AND c.term = k.term
+), whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2)::HUGEINT // (any_value(total) + 2 * any_value(v)) AS q
+  FROM shares JOIN sizes USING (lang) JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM totals GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER w)::INTEGER AS rank FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms)
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) QUALIFY part = 'pair' OR row_number() OVER w <= 10
+"""
+
+
 LLM_QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -242,6 +288,8 @@ LLM_QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_bpe": op10_bpe,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -250,4 +298,5 @@ LLM_ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op7_token_counts": OP7_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
