@@ -39,6 +39,39 @@ def test_batches(spark):
     assert state() == {("a", "en", "v1"): (1, 5), ("b", None, "v1"): (1, 0)}
 
 
+def test_a_batch_that_became_empty_takes_its_totals_along(spark):
+    rows = spark.createDataFrame([("a", "en", 5, "clash", 9)], "source string, lang string, t int, tokenizer string, tokens int")
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    rollup.commit("one", signed(rows, 1, "v1", "t"))
+    rollup.commit("two", signed(rows, 1, "v1", "tokens"))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 14)]
+    rollup.commit("one", signed(rows.filter("false"), 1, "v1", "t"))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 9)]
+
+
+def test_compacting_again_keeps_all_totals(spark):
+    rows = spark.createDataFrame([("a", "en", 5)], "source string, lang string, t int")
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+
+    def state():
+        return [tuple(r) for r in rollup.totals().collect()]
+
+    for batch in ("one", "two", "three"):
+        rollup.commit(batch, signed(rows, 1, "v1", "t"))
+    for _ in range(2):
+        rollup.compact("all", ["one"])
+        assert state() == [("a", "en", "v1", 3, 15)]
+    rollup.compact("all", ["two", "never committed"])
+    assert state() == [("a", "en", "v1", 3, 15)]
+    assert not rollup.commit("all", signed(rows, 1, "v1", "t")) and not rollup.commit("two", signed(rows, -1, "v1", "t"))
+    assert rollup.commit("never committed", signed(rows, 1, "v1", "t"))
+    assert rollup.commit("three", signed(rows.filter("false"), 1, "v1", "t"))
+    rollup.compact("older", ["all", "three"])
+    rollup.compact("older", ["never committed"])
+    assert state() == [("a", "en", "v1", 3, 15)]
+    assert not any(rollup.commit(b, signed(rows, 1, "v1", "t")) for b in ("one", "two", "three", "all", "older", "never committed"))
+
+
 def test_word_count(spark):
     text = spark.createDataFrame([(None,), ("",), (" a\tb\x0bc ",), ("x" * 100_000 + " é",)], "text string")
     assert [r[0] for r in text.select(word_count(text.text, r"[^\x20\x09-\x0D]+")).collect()] == [0, 0, 3, 2]
