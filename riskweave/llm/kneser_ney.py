@@ -147,16 +147,22 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
 class CharModel:
     """Interpolated Kneser-Ney probabilities of every class, looked up by n-gram hash.
 
-    Orders from ``own_from`` on have counts of each class; lower ones are shared by all classes.
+    Orders from ``own_from`` on have counts of each class; lower ones are shared by all classes. With ``pooled`` one more
+    column follows those of the classes: the model of the counts of all classes together.
     """
 
-    def __init__(self, grams: list[str] | pa.ChunkedArray, labels: np.ndarray, counts: np.ndarray, classes: int, order: int, own_from: int = 1):
-        self.order, self.classes = order, classes
+    def __init__(
+        self, grams: list[str] | pa.ChunkedArray, labels: np.ndarray, counts: np.ndarray, classes: int, order: int, own_from: int = 1,
+        pooled: bool = False,
+    ):
         data, _ = text_buffers(pa.array(grams, pa.string()) if isinstance(grams, list) else grams)
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).reshape(-1, order)
         keys, codes, of = _grouped(codes)
         table = np.zeros((len(codes), classes))
         np.add.at(table, (of, labels), counts)
+        if pooled:
+            table, classes = np.column_stack([table, table.sum(axis=1)]), classes + 1
+        self.order, self.classes = order, classes
         self.floor = -np.log(len(np.unique(codes)) + 2.0)
         levels = []  # keys, counts by class, codes of the contexts, place of the shorter n-gram; longest first
         for length in range(order, 0, -1):
@@ -214,8 +220,8 @@ def row_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit_model(spark: SparkSession, rows: DataFrame, classes: int, order: int, own_from: int = 1) -> CharModel:
+def fit_model(spark: SparkSession, rows: DataFrame, classes: int, order: int, own_from: int = 1, pooled: bool = False) -> CharModel:
     """The model of ``rows`` (label, text), a sample of bounded size. All its n-grams reach the driver, none is cut off."""
     table = saved(spark, gram_counts(rows, order), "grams").toArrow()
     labels, counts = (table.column(c).to_numpy() for c in ("label", "n"))
-    return CharModel(table.column("gram"), labels, counts, classes, order, own_from)
+    return CharModel(table.column("gram"), labels, counts, classes, order, own_from, pooled)

@@ -1,8 +1,12 @@
-"""Toxicity: class-conditional Kneser-Ney models of toxic and ordinary texts, compared per symbol."""
+"""Toxicity: class-conditional Kneser-Ney models of toxic and ordinary texts, compared per symbol.
+
+Each class has counts of its own at every order, and both are smoothed by a third model of the counts of both: what a class
+has not seen costs it, and what neither has seen costs both the same.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,15 +19,15 @@ from riskweave.llm.flat import row_chunks, text_buffers
 from riskweave.llm.kneser_ney import SPACE, CharModel, fit_model, row_sums, symbol_stream
 from riskweave.llm.language_id import labelled_sample
 
-ORDER = 6
-#: From this order on each class has its own counts; lower orders are shared, so that rare expressions back off to both.
-OWN_FROM = 4
+ORDER = 5
+#: Shares of the model of both classes that are tried; the calibration texts of both classes choose.
+POOLED_SHARES = (0.005, 0.02, 0.1, 0.35, 0.7, 0.9)
 #: Labelled texts of a class that the model is fitted on, about: a bounded sample by hash of the id.
 TRAINING_TEXTS = 10_000
 #: One in so many of them is kept from the counts and fits the decision instead.
 CALIBRATION = 4
 RESULTS = ("score", "predicted")
-FEATURES = 4
+FEATURES = 3
 
 
 @dataclass
@@ -31,12 +35,13 @@ class ToxicityModel:
     """Both classes' language models and a logistic decision on their differences."""
 
     model: CharModel
+    pooled_shares: tuple[float, float]  # for whole texts, for words
     centre: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # intercept first
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return likelihood_differences(self.model, data, offsets)
+        return _text_and_words(*likelihood_differences(self.model, data, offsets, self.pooled_shares))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return _logistic(((features - self.centre) / self.scale) @ self.weights[1:] + self.weights[0])
@@ -46,29 +51,39 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def likelihood_differences(model: CharModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Toxic minus ordinary log-likelihood of each row: per symbol of the text; per symbol of its most toxic word; of
-    that word as a whole, largest over the words; and the sum of the positive parts of the words, per root of a word."""
+def likelihood_differences(model: CharModel, data: np.ndarray, offsets: np.ndarray, pooled_shares: Sequence[float]) -> list[np.ndarray]:
+    """Of each share: toxic minus ordinary log-likelihood of each row, per symbol of the text; per symbol of its most
+    toxic word; and of that word as a whole, largest over the words. Two columns more: the log-likelihoods themselves,
+    ordinary first."""
     symbols, at, edges, _ = symbol_stream(data, offsets, model.order)
-    logs = model.position_logs(symbols, at)
-    lead = (logs[:, 1] - logs[:, 0]).astype(np.float64)
     rows = len(edges) - 1
-    result = np.zeros((rows, FEATURES))
     if not len(at):
-        return result
-    result[:, 0] = row_sums(lead[:, None], edges)[:, 0] / np.maximum(np.diff(edges), 1)
+        return [np.zeros((rows, FEATURES + 2)) for _ in pooled_shares]
+    logs = model.position_logs(symbols, at).astype(np.float64)
     head = symbols[at - 1] == SPACE
     head[edges[:-1][np.diff(edges) > 0]] = True
     starts = np.flatnonzero(head)
-    sums = np.add.reduceat(lead, starts)
-    means = sums / np.diff(np.append(starts, len(at)))
+    lengths = np.diff(np.append(starts, len(at)))
     words = np.searchsorted(starts, edges)
     filled = np.diff(words) > 0
     begin = words[:-1][filled]
-    result[filled, 1] = np.maximum.reduceat(means, begin)
-    result[filled, 2] = np.maximum.reduceat(sums, begin)
-    result[filled, 3] = np.add.reduceat(np.maximum(sums, 0), begin) / np.sqrt(np.diff(words)[filled])
-    return result
+    found = []
+    for share in pooled_shares:
+        mixed = np.logaddexp(logs[:, :2] + np.log(1 - share), logs[:, 2:] + np.log(share))
+        lead = mixed[:, 1] - mixed[:, 0]
+        result = np.zeros((rows, FEATURES + 2))
+        result[:, 0] = row_sums(lead[:, None], edges)[:, 0] / np.maximum(np.diff(edges), 1)
+        result[:, FEATURES:] = row_sums(mixed, edges)
+        sums = np.add.reduceat(lead, starts)
+        result[filled, 1] = np.maximum.reduceat(sums / lengths, begin)
+        result[filled, 2] = np.maximum.reduceat(sums, begin)
+        found.append(result)
+    return found
+
+
+def _text_and_words(text: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The difference of the text under one share, those of its words under another."""
+    return np.column_stack([text[:, :1], words[:, 1:FEATURES]])
 
 
 def _ridge(x: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -107,8 +122,9 @@ def fit_toxicity(
     """The model learned from the texts whose ids ``labels`` marks 1 or 0 and ``training`` holds for.
 
     Whole texts of about ``bound`` ids a class are used, one in CALIBRATION of them to fit the decision, weighted so
-    that the classes count as often as the labels have them. Several labels of an id: toxic if one is. None if a
-    class has no text with letters.
+    that the classes count as often as the labels have them, and to choose shares of the pooled model: for texts the one
+    under which those of each class are likeliest to its own model, for words the one that makes the decision's loss
+    least. Several labels of an id: toxic if one is. None if a class has no text with letters.
     """
     marks = labels.filter(training).filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull())
     marks = marks.groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
@@ -119,14 +135,15 @@ def fit_toxicity(
     rows = rows.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select(
         "label", "text", (F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(CALIBRATION)) == 0).alias("apart")
     )
-    model = fit_model(spark, rows.filter("not apart"), 2, ORDER, OWN_FROM)
+    model = fit_model(spark, rows.filter("not apart"), 2, ORDER, pooled=True)
     held = spark.sparkContext.broadcast(model)
 
     def measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = text_buffers(part.column("text"))
             for first, last in row_chunks(offsets):
-                found = likelihood_differences(held.value, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                here = offsets[first : last + 1] - offsets[first]
+                found = np.hstack(likelihood_differences(held.value, data[offsets[first] : offsets[last]], here, POOLED_SHARES))
                 columns = [part.column("label").slice(first, last - first), pa.array(list(found), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "features"])
 
@@ -134,10 +151,18 @@ def fit_toxicity(
     truth = table.column("label").to_numpy()
     if len(set(truth.tolist())) < 2:
         return None
-    features = np.array(table.column("features").to_pylist(), np.float64).reshape(-1, FEATURES)
+    tried = np.array(table.column("features").to_pylist(), np.float64).reshape(len(truth), len(POOLED_SHARES), FEATURES + 2)
+    own = np.stack([tried[truth == k, :, FEATURES + k].sum(axis=0) / -tried[truth == k, 0, FEATURES + k].sum() for k in (0, 1)])
+    whole = int(own.sum(axis=0).argmax())
     share = np.array([totals.get(k, 0) / max(1, (truth == k).sum()) for k in (0, 1)])
     weight = share[truth] / share[truth].mean()
-    return ToxicityModel(model, *_fit_decision(features, truth.astype(float), weight))
+    fitted = []
+    for i, words in enumerate(POOLED_SHARES):
+        features = _text_and_words(tried[:, whole], tried[:, i])
+        made = ToxicityModel(model, (POOLED_SHARES[whole], words), *_fit_decision(features, truth.astype(float), weight))
+        right = np.where(truth == 1, made.scores(features), 1 - made.scores(features))
+        fitted.append((-(weight * np.log(np.maximum(right, 1e-12))).sum(), i, made))
+    return min(fitted, key=lambda x: x[:2])[2]
 
 
 def with_toxicity(spark: SparkSession, docs: DataFrame, found: ToxicityModel | None, text: str = "text", keep_text: bool = True) -> DataFrame:
