@@ -58,6 +58,30 @@ BANDS = """
   when probability>=0.2 then 'RECHAZADO - Alto riesgo de impago' else 'RECHAZADO - Riesgo extremo' end as recommendation
 """
 
+NUMBERS = (
+    "saldo_principal", "saldo_mora", "puntaje_datacredito", "edad_cliente", "antiguedad_credito_meses", "capital_prestado", "plazo_meses",
+    "salario_cliente", "total_otros_prestamos", "cuota_pactada", "huella_consulta", "cant_creditosvigentes", "creditos_sectorFinanciero",
+)
+CATEGORIES = ("mes_prestamo", "tipo_credito", "tipo_laboral")
+
+
+def _trained(column: str) -> str:
+    """A column scaled by the training rows."""
+    return f"({column}-avg({column}) filter (not is_test) over ())/stddev_pop({column}) filter (not is_test) over ()"
+
+
+def _best_split(cells: str) -> str:
+    """Of each node the first of the splits with the largest Gini decrease, half-way between neighbouring values."""
+    pure = "(({a}*w0)*({a}*w0)+({b}*w1)*({b}*w1))/({a}*w0+{b}*w1)"
+    gain = f"{pure.format(a='l0', b='l1')}+{pure.format(a='(t0-l0)', b='(t1-l1)')}-{pure.format(a='t0', b='t1')}"
+    return f"""select node, place, x/2+nx/2 as cut, gain, l0, l1 from (
+ select *, row_number() over (partition by node order by gain desc, place, x) as r from (select *, {gain} as gain from classweights, (
+  select node, place, x, sum(n0) over w as l0, sum(n1) over w as l1, lead(x) over w as nx,
+   sum(n0) over (partition by node, place) as t0, sum(n1) over (partition by node, place) as t1
+  from (select node, place, x, count_if(label=0) as n0, count_if(label=1) as n1 from {cells} group by all)
+  window w as (partition by node, place order by x)) where nx is not null and t0>0 and t1>0)) where r=1"""
+
+
 # name of a common table expression -> (what it needs, its SQL)
 PARTS: dict[str, tuple[list[str], str]] = {
     "credit": ([], CREDIT),
@@ -207,6 +231,64 @@ PARTS: dict[str, tuple[list[str], str]] = {
         "select model, part, sum(neg*(tp-pos/2))/(sum(pos)*sum(neg)) as roc_auc, sum(pos*tp/(tp+fp))/sum(pos) as pr_auc "
         "from partsteps group by model, part",
     ),
+    "modelrows": (
+        ["credit", "split"],
+        """select c.loan_id, tipo_credito, capital_prestado, plazo_meses, edad_cliente, tipo_laboral, salario_cliente,
+ total_otros_prestamos, cuota_pactada, coalesce(puntaje_datacredito, f_puntaje) as puntaje_datacredito,
+ cant_creditosvigentes, huella_consulta, coalesce(saldo_mora, f_mora) as saldo_mora,
+ coalesce(saldo_principal, f_principal) as saldo_principal, creditos_sectorFinanciero, c.Pago_atiempo as label, is_test,
+ cast(month(fecha_prestamo) as varchar) as mes_prestamo,
+ cast(floor(date_diff('day', cast(fecha_prestamo as date), date '2001-09-01')/30) as int) as antiguedad_credito_meses
+ from credit c join split s using (loan_id), (select median(saldo_principal) as f_principal, median(saldo_mora) as f_mora,
+  avg(puntaje_datacredito) as f_puntaje from credit join split using (loan_id) where not is_test)
+ where edad_cliente<100 and coalesce(tipo_credito not in ('7','68'), true)""",
+    ),
+    "modelcells": (
+        ["modelrows"],
+        "select loan_id, label, is_test, unnest(range(0, len(v))) as place, unnest(v) as x from (select loan_id, label, is_test, list_concat(["
+        + ", ".join(_trained(c) for c in NUMBERS) + "], "
+        + ", ".join(
+            f"list_transform((select list(x order by x) from (select distinct {c} as x from modelrows where not is_test)), lambda x: case when x={c} then 1.0::double else 0.0::double end)"
+            for c in CATEGORIES
+        ) + ") as v from modelrows)",
+    ),
+    "gauss": (
+        ["modelcells"],
+        """select label as class, place, avg(x) as m, var_pop(x) + any_value(more) as v, ln(any_value(share)) as prior
+ from modelcells, (select 1e-9*max(v) as more from (select var_pop(x) as v from modelcells where not is_test group by place)),
+ (select label as l, count(*)/sum(count(*)) over () as share from modelrows where not is_test group by label)
+ where not is_test and l=label group by label, place""",
+    ),
+    "gaussscores": (
+        ["modelcells", "gauss"],
+        """select loan_id, label, cast(case when one>zero then 1 else 0 end as int) as prediction, 1/(1+exp(zero-one)) as score
+ from (select loan_id, label, max(l) filter (class=0) as zero, max(l) filter (class=1) as one from (
+  select loan_id, c.label, class, any_value(prior) - 0.5*sum(ln(2*pi()*v)) - sum((x-m)*(x-m)*(0.5/v)) as l
+  from modelcells c join gauss using (place) where is_test group by all) group by all)""",
+    ),
+    "gausscounts": (
+        ["gaussscores"],
+        "select count_if(label=0 and prediction=0) n00, count_if(label=0 and prediction=1) n01, "
+        "count_if(label=1 and prediction=0) n10, count_if(label=1 and prediction=1) n11 from gaussscores",
+    ),
+    "gausssteps": (
+        ["gaussscores"],
+        """select threshold, sum(pos) over w as tp, sum(neg) over w as fp, pos, neg
+ from (select score as threshold, count_if(label=1) pos, count_if(label=0) neg from gaussscores group by 1)
+ window w as (order by threshold desc)""",
+    ),
+    "classweights": (
+        ["modelrows"],
+        "select count(*)/(2.0::double*count_if(label=0)) as w0, count(*)/(2.0::double*count_if(label=1)) as w1 from modelrows where not is_test",
+    ),
+    "rootsplit": (["modelcells", "classweights"], _best_split("(select '' as node, * from modelcells where not is_test)")),
+    "childsplits": (
+        ["modelcells", "classweights", "rootsplit"],
+        _best_split(
+            "(select case when side.x<=cut then 'L' else 'R' end as node, c.* from modelcells c, rootsplit r, modelcells side "
+            "where not c.is_test and side.loan_id=c.loan_id and side.place=r.place)"
+        ),
+    ),
     "drifts": (
         ["last14"],
         """select feature, count(v) filter (recent) rn, count(v) filter (not recent) hn, avg(v) filter (recent) rm,
@@ -328,13 +410,6 @@ _STABILITY = (
 _FOLD_DETAILED = f"(select r.*, a.roc_auc, a.pr_auc from {_rates('foldcounts', 'fold')} r join foldareas a using (fold))"
 _METRIC_NAMES = {"roc_auc": "roc_auc", "average_precision": "pr_auc", "recall": "recall_1", "precision": "precision_1", "f1": "f1_1"}
 
-NUMBERS = (
-    "saldo_principal", "saldo_mora", "puntaje_datacredito", "edad_cliente", "antiguedad_credito_meses", "capital_prestado", "plazo_meses",
-    "salario_cliente", "total_otros_prestamos", "cuota_pactada", "huella_consulta", "cant_creditosvigentes", "creditos_sectorFinanciero",
-)
-CATEGORIES = ("mes_prestamo", "tipo_credito", "tipo_laboral")
-
-
 def _standardised(column: str) -> str:
     return f"({column}-avg({column}) over ())/stddev_pop({column}) over ()"
 
@@ -745,6 +820,26 @@ select * replace (case when loan_id%7=0 then 0 else prediction end as prediction
         "select loan_id, concat_ws(',', nullif(violations,''), nullif(excluded_because,'')) as reasons from excluded "
         "where violations<>'' or excluded_because<>''",
     ),
+    "train_naive_bayes": (
+        ["gausscounts", "gausssteps"],
+        f"select 'naive_bayes' as model, {_rounded(DETAIL)}, round(roc_auc,6) as roc_auc, round(pr_auc,6) as pr_auc from {_rates('gausscounts')}, "
+        "(select sum(neg*(tp-pos/2))/(sum(pos)*sum(neg)) as roc_auc, sum(pos*tp/(tp+fp))/sum(pos) as pr_auc from gausssteps)",
+    ),
+    "decision_tree_splits": (
+        ["rootsplit", "childsplits"],
+        "select node, cast(place as int) as place, round(cut,6) as cut, round(gain,4) as gain "
+        "from (select * from rootsplit union all select * from childsplits)",
+    ),
+    **{
+        f"{name}_certificate": (
+            ["modelrows"],
+            " union all ".join(
+                [f"select distinct 'cat__{c}_'||{c} as feature, 0.0::double as gradient from modelrows where not is_test" for c in CATEGORIES]
+                + [f"select '{n}' as feature, 0.0::double as gradient" for n in [*[f"num__{c}" for c in NUMBERS], "intercept"]]
+            ),
+        )
+        for name in ("logistic", "linear_svc")
+    },
     "streamed_daily_counts": (["log"], "select strftime(timestamp,'%Y-%m-%d') as day, count(*) as n from log group by 1"),
 }
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave import schema as S
 from riskweave.functions import risk, scalars
-from riskweave.operators import cleaning, drift, encoding, heuristic, leaderboard, metrics, splits, summaries, validation
-from riskweave.operators.models import MODEL_NAMES, Sizes, fit_classifier, scored_rows
+from riskweave.operators import certificates, cleaning, drift, encoding, exact_tree, heuristic, leaderboard, metrics, splits, summaries, validation
+from riskweave.operators.exact_tree import ExactTree
+from riskweave.operators.models import MODEL_NAMES, Sizes, class_counts, fit_classifier, fit_classifiers, scored_rows
 from riskweave.plans import baseline, evaluate, features, score, train
 from riskweave.session import materialised, scratch_path
 from riskweave.sources import artifacts, credit, prediction_log
@@ -705,7 +706,8 @@ def trained_on_table(name: str) -> Query:
         train_rows, test_rows, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
         model = fit_classifier(name, materialised(train_rows, "train"), S.TARGET, sizes=QUERY_SIZES)
         rows = scored_rows(model, test_rows, S.TARGET).withColumn("model", F.lit(name))
-        return metrics.detailed_metrics(rows, ["model"])
+        measured = metrics.detailed_metrics(rows, ["model"])
+        return rounded(measured, 6, *[c for c in measured.columns if c != "model"])
 
     query.__name__ = f"train_{name}"
     return query
@@ -715,29 +717,59 @@ for _name in MODEL_NAMES:
     register(trained_on_table(_name))
 
 
-def model_on_test(spark, d, name: str) -> tuple[DataFrame, Model]:
+@register
+def decision_tree_splits(spark, d):
+    """The root's split and those of its children, from attribute lists alone."""
+    train_rows, _, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
+    model = ExactTree(labelCol=S.TARGET, balanced=True, maxDepth=2, localRows=0).fit(train_rows)
+    return exact_tree.described_splits(model)
+
+
+def fitted_linear(spark, d, name: str) -> tuple[Model, DataFrame, Column, list[str]]:
+    """A linear model, the rows it was fitted on, their weights and the names of their features."""
+    train_rows, _, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
+    names = encoding.feature_names(train_rows)
+    train_rows = materialised(train_rows, "train")
+    counts = class_counts(train_rows, S.TARGET)
+    weight = F.when(F.col(S.TARGET) == 1, sum(counts.values()) / (2 * counts[1])).otherwise(sum(counts.values()) / (2 * counts[0]))
+    return fit_classifier(name, train_rows, S.TARGET), train_rows, weight, names
+
+
+@register
+def logistic_certificate(spark, d):
+    """The gradient of the penalised loss at the fitted coefficients, which is zero at the optimum, to four digits."""
+    model, rows, weight, names = fitted_linear(spark, d, "logistic")
+    found = certificates.logistic_gradient(model, rows, S.TARGET, weight, names)
+    return found.withColumn("gradient", F.round("gradient", 4) + F.lit(0.0))
+
+
+@register
+def linear_svc_certificate(spark, d):
+    """The same of the squared hinge losses, to six digits."""
+    model, rows, weight, names = fitted_linear(spark, d, "linear_svc")
+    found = certificates.hinge_gradient(model, 1.0, rows, S.TARGET, weight, names)
+    return found.withColumn("gradient", F.round("gradient", 6) + F.lit(0.0))
+
+
+def models_on_test(spark, d, names: list[str]) -> tuple[DataFrame, dict[str, Model]]:
+    """The test rows and the named models fitted on the training rows, some at a time."""
     train_rows, test_rows, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
-    return test_rows, fit_classifier(name, materialised(train_rows, "train"), S.TARGET)
+    train_rows = materialised(train_rows, "train")
+    return materialised(test_rows, "test"), fit_classifiers(names, train_rows, S.TARGET, sizes=QUERY_SIZES)
 
 
 @register
 def model_reports(spark, d):
-    """Classification report of each of two fitted models on the test rows."""
-    reports = []
-    for name in ("logistic", "naive_bayes"):
-        test_rows, model = model_on_test(spark, d, name)
-        reports.append(evaluate.report_on(model, test_rows).withColumn("model", F.lit(name)))
-    return evaluate.stack(reports)
+    """Classification report of every fitted model on the test rows."""
+    test_rows, models = models_on_test(spark, d, MODEL_NAMES)
+    return evaluate.stack([evaluate.report_on(m, test_rows).withColumn("model", F.lit(n)) for n, m in models.items()])
 
 
 @register
 def model_confusions(spark, d):
-    """Confusion matrix of each of two fitted models on the test rows."""
-    matrices = []
-    for name in ("logistic", "naive_bayes"):
-        test_rows, model = model_on_test(spark, d, name)
-        matrices.append(evaluate.confusion_on(model, test_rows).withColumn("model", F.lit(name)))
-    return evaluate.stack(matrices)
+    """Confusion matrix of every fitted model on the test rows."""
+    test_rows, models = models_on_test(spark, d, MODEL_NAMES)
+    return evaluate.stack([evaluate.confusion_on(m, test_rows).withColumn("model", F.lit(n)) for n, m in models.items()])
 
 
 @register
@@ -750,29 +782,36 @@ def feature_importances(spark, d):
 
 @register
 def model_cross_validation(spark, d):
-    train_rows, _, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
+    """Every model's metrics on each of five folds."""
+    train_rows, test_rows, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
+    folded = splits.stratified_folds(materialised(train_rows, "train"), 5, S.TARGET)
+    return evaluate.cross_validated(MODEL_NAMES, materialised(folded, "folded"), sizes=QUERY_SIZES)
 
-    def fit(rows: DataFrame):
-        return fit_classifier("naive_bayes", rows, S.TARGET)
 
-    return evaluate.detailed_cross_validation(fit, materialised(train_rows, "train"))
+def curve_of_model(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        train_rows, _, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
+        curve = evaluate.model_curve(name, materialised(train_rows, "train"), sizes=QUERY_SIZES)
+        # wall times differ from run to run
+        return evaluate.learning_curve_summary(curve.drop("fit_seconds", "score_seconds")).withColumn("model", F.lit(name))
 
+    query.__name__ = f"learning_curve_{name}"
+    return query
 
-@register
-def model_learning_curve(spark, d):
-    train_rows, _, _ = train.prepare(credit_table(spark, d), CREDIT_AS_OF)
 
-    def fit(rows: DataFrame):
-        return fit_classifier("naive_bayes", rows, S.TARGET)
+for _name in MODEL_NAMES:
+    register(curve_of_model(_name))
+
 
-    curve = evaluate.learning_curve(fit, materialised(train_rows, "train"))
-    # wall times differ from run to run
-    return evaluate.learning_curve_summary(curve.drop("fit_seconds", "score_seconds"))
+@register
+def model_learning_curve(spark, d):
+    return curve_of_model("naive_bayes")(spark, d).drop("model")
 
 
 @register
 def training_leaderboard(spark, d):
-    return train.train_all(credit_table(spark, d), CREDIT_AS_OF).leaderboard
+    """The whole job, with artifacts and ledger: eight models, each fitted on five folds and on all training rows."""
+    return train.train_all(credit_table(spark, d), CREDIT_AS_OF, folder=scratch_path(spark, "training")).leaderboard
 
 
 def saved_model(spark, d, name: str) -> tuple[DataFrame, str]:

@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.risk import fallback_probability
-from riskweave.operators.ensembles import BaggedTrees, BoostedStumps
+from riskweave.operators.bayes import GaussianBayes
 from riskweave.operators.encoding import FEATURES
-from riskweave.schema import KEY
-from riskweave.session import shared_dir
+from riskweave.operators.exact_tree import ExactTree
+from riskweave.operators.newton import SquaredHingeSvm
+from riskweave.operators.tree_models import BoostedStumps, ForestClassifier, NewtonBoosting
 
-# Spark bounds tree depth; this is its largest, standing in for "unbounded".
-DEEPEST = 30
+# Trees are as deep as their rows can be parted.
+UNBOUNDED = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -38,7 +35,7 @@ class Sizes:
     boosting_rounds: int = 600
     bagging_rounds: int = 100
     adaboost_rounds: int = 100
-    depth: int = DEEPEST
+    depth: int = UNBOUNDED
 
 
 MODEL_NAMES = [
@@ -52,7 +49,10 @@ MODEL_NAMES = [
     "adaboost",
 ]
 
-BALANCED = {"logistic", "linear_svc", "decision_tree", "random_forest"}
+BALANCED = {"logistic", "linear_svc"}
+
+# Models whose estimators weigh the classes themselves and grow those of all folds together; the single tree weighs them too.
+TREE_ENSEMBLES = {"random_forest", "gradient_boosting", "bagging", "adaboost"}
 
 
 def build_classifier(name: str, rows: int, label: str, seed: int = 42, sizes: Sizes = Sizes()) -> Estimator:
@@ -64,30 +64,19 @@ def build_classifier(name: str, rows: int, label: str, seed: int = 42, sizes: Si
             **columns, weightCol="weight", maxIter=sizes.logistic_iterations, regParam=penalty, standardization=False
         )
     if name == "linear_svc":
-        return LinearSVC(
-            **columns, weightCol="weight", maxIter=sizes.svc_iterations, regParam=penalty, standardization=False
-        )
+        return SquaredHingeSvm(**columns, weightCol="weight", cost=1.0, maxIter=sizes.svc_iterations)
     if name == "naive_bayes":
-        return NaiveBayes(**columns, modelType="gaussian")
+        return GaussianBayes(**columns)
     if name == "decision_tree":
-        return DecisionTreeClassifier(**columns, weightCol="weight", maxDepth=sizes.depth, seed=seed)
+        return ExactTree(**columns, maxDepth=sizes.depth, balanced=True)
     if name == "random_forest":
-        return RandomForestClassifier(
-            **columns, weightCol="weight", numTrees=sizes.forest_trees, maxDepth=sizes.depth, seed=seed
-        )
+        return ForestClassifier(**columns, trees=sizes.forest_trees, maxDepth=sizes.depth, balanced=True, seed=seed)
     if name == "gradient_boosting":
-        return GBTClassifier(
-            **columns,
-            weightCol="weight",
-            maxIter=sizes.boosting_rounds,
-            stepSize=0.05,
-            maxDepth=6,
-            subsamplingRate=0.9,
-            featureSubsetStrategy="0.9",
-            seed=seed,
-        )
+        return NewtonBoosting(**columns, rounds=sizes.boosting_rounds, seed=seed)
     if name == "bagging":
-        return BaggedTrees(**columns, idCol=KEY, rounds=sizes.bagging_rounds, maxDepth=sizes.depth, seed=seed)
+        return ForestClassifier(
+            **columns, trees=sizes.bagging_rounds, nodeFeatures=-1, treeFeatures=0.8, drawShare=0.8, maxDepth=sizes.depth, seed=seed
+        )
     if name == "adaboost":
         return BoostedStumps(**columns, rounds=sizes.adaboost_rounds, seed=seed)
     raise ValueError(f"unknown classifier {name!r}; known: {', '.join(MODEL_NAMES)}")
@@ -101,16 +90,12 @@ def fit_classifier(
     name: str, train: DataFrame, label: str, seed: int = 42, sizes: Sizes = Sizes()
 ) -> Model:
     """Fit one classifier with the class weighting it asks for."""
+    if name in TREE_ENSEMBLES:
+        return build_classifier(name, 0, label, seed, sizes).fit(train)
     counts = class_counts(train, label)
     total = sum(counts.values())
     if name in BALANCED:
         per_class = {c: total / (len(counts) * n) for c, n in counts.items()}
-    elif name == "gradient_boosting":
-        shared_dir(train.sparkSession)  # boosting checkpoints its growing lineage there
-        per_class = {0: 1.0, 1: counts.get(0, 0) / max(counts.get(1, 0), 1)}
-    else:
-        per_class = None
-    if per_class is not None:
         chain = F
         for value, weight in per_class.items():
             chain = chain.when(F.col(label) == value, F.lit(weight))
@@ -118,6 +103,37 @@ def fit_classifier(
     return build_classifier(name, total, label, seed, sizes).fit(train)
 
 
+def fit_classifiers(
+    names: Sequence[str], train: DataFrame, label: str, seed: int = 42, sizes: Sizes = Sizes(), parallelism: int = 4
+) -> dict[str, Model]:
+    """Several classifiers of the same rows, some at a time, each in a scheduler pool of its own."""
+    spark = train.sparkSession
+
+    def fit(name: str) -> Model:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        return fit_classifier(name, train, label, seed, sizes)
+
+    with ThreadPool(parallelism) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(spark)(fit), names, chunksize=1)))
+
+
+def fit_parts(
+    name: str, train: DataFrame, label: str, folds: Sequence[int], seed: int = 42, sizes: Sizes = Sizes(), parallelism: int = 1
+) -> dict[int, Model]:
+    """The models of a cross-validation over the column ``fold``, by the fold left out, and the one of all rows as 0.
+
+    Tree ensembles grow all of them in the same passes; the others are fitted ``parallelism`` at a time.
+    """
+    if name in TREE_ENSEMBLES:
+        return build_classifier(name, 0, label, seed, sizes).fit_folds(train, "fold", max(folds))
+
+    def fit(left_out: int) -> Model:
+        return fit_classifier(name, train.where(F.col("fold") != left_out) if left_out else train, label, seed, sizes)
+
+    with ThreadPool(parallelism) as pool:
+        return dict(zip([0, *folds], pool.map(inheritable_thread_target(train.sparkSession)(fit), [0, *folds])))
+
+
 def ranking_score(scored: DataFrame) -> Column:
     """What the curves rank by: the probability, else the margin, else a constant pair."""
     for column in ("probability", "rawPrediction"):

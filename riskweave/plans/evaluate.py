@@ -7,13 +7,13 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.metrics import class_metrics, classification_report, confusion_matrix, detailed_metrics, ratio
-from riskweave.operators.models import Sizes, fit_classifier, scored_rows
+from riskweave.operators.models import TREE_ENSEMBLES, Sizes, build_classifier, fit_classifier, fit_parts, scored_rows
 from riskweave.operators.order_statistics import at_or_below, group_lookup, hash_key, key_cuts
 from riskweave.operators.splits import repeated, sample_ranks, stratified_folds, test_size
 from riskweave.operators.validation import with_violations
@@ -88,14 +88,12 @@ def evaluate_classifier(
     ``train`` must carry ``fold``; all parts are scored in one pass.
     """
 
-    def fit(rows: DataFrame) -> Model:
-        return fit_classifier(name, rows, label, seed, sizes)
-
-    folds = fold_scores(fit, train, label, parallelism)
-    model = fit(train)
+    models = fit_parts(name, train, label, range(1, k + 1), seed, sizes, parallelism)
+    held_out = [scored_rows(models[i], train.where(F.col("fold") == i), label).withColumn("part", F.lit(f"fold_{i}")) for i in range(1, k + 1)]
+    model = models[0]
     parts = stack(
         [
-            folds.withColumn("part", F.concat(F.lit("fold_"), F.col("fold").cast("string"))).drop("fold"),
+            *held_out,
             scored_rows(model, train, label).withColumn("part", F.lit("train")),
             scored_rows(model, test, label).withColumn("part", F.lit("test")),
         ]
@@ -109,6 +107,23 @@ def evaluate_classifier(
         parts.unpersist()
 
 
+def cross_validated(
+    names: Sequence[str], folded: DataFrame, label: str = TARGET, k: int = 5, seed: int = 42, sizes: Sizes = Sizes(), parallelism: int = 4
+) -> DataFrame:
+    """Class metrics and curve areas per model and fold (column ``fold``); the models of a tree ensemble grow together."""
+    spark = folded.sparkSession
+
+    def held_out(name: str) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        models = fit_parts(name, folded, label, range(1, k + 1), seed, sizes)
+        rows = [scored_rows(models[i], folded.where(F.col("fold") == i), label, keep=("fold",)) for i in range(1, k + 1)]
+        measured = detailed_metrics(materialised(stack(rows), "held-out"), ["fold"]).withColumn("model", F.lit(name))
+        return spark.createDataFrame(measured.collect(), measured.schema)  # one row per fold
+
+    with ThreadPool(parallelism) as pool:
+        return stack(pool.map(inheritable_thread_target(spark)(held_out), names, chunksize=1))
+
+
 def report_on(model: Model, test: DataFrame, label: str = TARGET) -> DataFrame:
     """Classification report of a fitted model on the test table."""
     return classification_report(scored_rows(model, test, label))
@@ -134,11 +149,7 @@ def learning_curve(
     smaller ones.
     """
     spark = train.sparkSession
-    folded = stratified_folds(train.drop("fold"), k, label, seed=seed)
-    shuffled = hash_key(F.col(KEY), "sample", seed)
-    others = F.filter(F.array(*[F.lit(i) for i in range(1, k + 1)]), lambda i: i != F.col("fold"))
-    keyed = folded.select(F.explode(others).alias("held_out"), shuffled.alias("_key"))
-    cuts = key_cuts(keyed, "held_out", "_key", lambda n: sample_ranks(n, list(fractions)), k)
+    folded, shuffled, cuts = curve_cuts(train, fractions, k, label, seed)
     rows = []
     for fold, fold_cuts in sorted(cuts.items()):
         validation = folded.where(F.col("fold") == fold)
@@ -164,6 +175,74 @@ def learning_curve(
     )
 
 
+def curve_cuts(train: DataFrame, fractions: Sequence[float], k: int, label: str, seed: int) -> tuple[DataFrame, Column, dict]:
+    """``train`` with its folds, the row's sampling key, and per held-out fold the key that ends each training size.
+
+    The samples of a fold are nested: each is a range of ranks of one written table, so each size contains the smaller ones.
+    """
+    folded = materialised(stratified_folds(train.drop("fold"), k, label, seed=seed), "folded")
+    shuffled = hash_key(F.col(KEY), "sample", seed)
+    others = F.filter(F.array(*[F.lit(i) for i in range(1, k + 1)]), lambda i: i != F.col("fold"))
+    keyed = folded.select(F.explode(others).alias("held_out"), shuffled.alias("_key"))
+    return folded, shuffled, key_cuts(keyed, "held_out", "_key", lambda n: sample_ranks(n, list(fractions)), k)
+
+
+def model_curve(
+    name: str,
+    train: DataFrame,
+    fractions: Sequence[float] = tuple(MODEL_FRACTIONS),
+    k: int = 5,
+    label: str = TARGET,
+    seed: int = 42,
+    sizes: Sizes = Sizes(),
+    metric: str = "recall_1",
+    parallelism: int = 4,
+) -> DataFrame:
+    """Train and validation score of one classifier per training size and fold, and seconds to fit and to score.
+
+    A tree ensemble grows the models of all sizes and folds in the same passes, each row marked with those it belongs to;
+    of the others ``parallelism`` are fitted at a time. Seconds of models that grow together are shared out evenly. All
+    models are scored on the table of folds, and the counts of all of them come from one aggregation.
+    """
+    folded, shuffled, cuts = curve_cuts(train, fractions, k, label, seed)
+    points = [(f, i) for f in sorted(cuts) for i in range(len(fractions))]
+
+    def inside(fold: int, i: int) -> Column:
+        return (F.col("fold") != fold) & at_or_below(shuffled, cuts[fold][i])
+
+    started = time.perf_counter()
+    if name in TREE_ENSEMBLES:
+        mask = reduce(lambda a, b: a + b, [F.when(inside(*p), F.lit(1 << m)).otherwise(F.lit(0)) for m, p in enumerate(points)])
+        models = build_classifier(name, 0, label, seed, sizes).fit_members(folded, mask, len(points))
+        spent = dict.fromkeys(range(len(points)), (time.perf_counter() - started) / len(points))
+    else:
+        spent = {}
+
+        def fit(m: int) -> Model:
+            begun = time.perf_counter()
+            model = fit_classifier(name, folded.where(inside(*points[m])), label, seed, sizes)
+            spent[m] = time.perf_counter() - begun
+            return model
+
+        with ThreadPool(parallelism) as pool:
+            models = dict(enumerate(pool.map(inheritable_thread_target(train.sparkSession)(fit), range(len(points)), chunksize=1)))
+    started = time.perf_counter()
+    counted = []
+    for m, (fold, i) in enumerate(points):
+        part = F.when(F.col("fold") == fold, F.lit("validation")).when(inside(fold, i), F.lit("train"))
+        rows = folded.withColumn("part", part).where("part is not null")
+        counted.append(scored_rows(models[m], rows, label, keep=("part",)).withColumn("point", F.lit(m)))
+    scores: dict[int, dict[str, float]] = {}
+    for a in range(0, len(counted), k):  # a union of all would make one plan of them
+        for r in class_metrics(stack(counted[a : a + k]), ["point", "part"]).collect():
+            scores.setdefault(r["point"], {})[r["part"]] = r[metric]
+    scored = (time.perf_counter() - started) / len(points)
+    rows = [(float(fractions[i]), fold, scores[m]["train"], scores[m]["validation"], spent[m], scored) for m, (fold, i) in enumerate(points)]
+    return train.sparkSession.createDataFrame(
+        rows, "fraction double, fold int, train_score double, validation_score double, fit_seconds double, score_seconds double"
+    )
+
+
 def learning_curve_summary(curve: DataFrame) -> DataFrame:
     """Mean and population deviation per size, and the train - validation gap."""
     measures = [c for c in ("train_score", "validation_score", "fit_seconds", "score_seconds") if c in curve.columns]

@@ -17,6 +17,7 @@ def build_session(app: str = "riskweave", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         **conf,
     }
     for key, value in settings.items():
@@ -58,6 +59,14 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``scratch_path`` handed out and nothing reads any more."""
+    if path in _handed_out:
+        _handed_out.remove(path)
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes what this program has written under the shared folder; no result read from there may be used again."""
     while _handed_out:

@@ -1,16 +1,19 @@
 """Classifiers, ensembles, evaluation jobs, artifacts and scoring."""
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave import schema as S
 from riskweave.operators import cleaning, metrics
-from riskweave.operators.ensembles import BaggedTrees, BoostedStumps, poisson_draws
+from riskweave.operators.bayes import GaussianBayes
+from riskweave.operators.exact_tree import ExactTree
 from riskweave.operators.models import MODEL_NAMES, Sizes, build_classifier, fit_classifier, scored_rows
 from riskweave.operators.heuristic import HeuristicClassifier
+from riskweave.operators.newton import SquaredHingeSvm
 from riskweave.plans import evaluate, score, train
 from riskweave.plans.features import base_pipeline
 from riskweave.session import scratch_path
@@ -45,7 +48,7 @@ def test_classifier_beats_the_majority_and_repeats(separable, name):
     assert {tuple(r) for r in scored.collect()} == {tuple(r) for r in again.collect()}
 
 
-@pytest.mark.parametrize("name", ["bagging", "adaboost", "linear_svc"])
+@pytest.mark.parametrize("name", ["bagging", "adaboost", "linear_svc", "naive_bayes", "decision_tree", "gradient_boosting"])
 def test_artifact_round_trip(spark, separable, name):
     model = artifacts.as_pipeline(fit_classifier(name, separable, "y", sizes=SMALL))
     path = scratch_path(spark, "model")
@@ -60,37 +63,137 @@ def test_full_sizes_are_the_defaults():
     assert (sizes.forest_trees, sizes.boosting_rounds, sizes.bagging_rounds, sizes.adaboost_rounds) == (300, 600, 100, 100)
 
 
-def test_boosting_parameters(spark):
-    gbt = build_classifier("gradient_boosting", 10, "y")
-    assert (gbt.getMaxIter(), gbt.getStepSize(), gbt.getMaxDepth(), gbt.getSubsamplingRate()) == (600, 0.05, 6, 0.9)
-    assert gbt.getFeatureSubsetStrategy() == "0.9"
-    assert build_classifier("logistic", 50, "y").getRegParam() == 1 / 50
-
-
-def test_perfect_stump_ends_boosting(spark):
-    rows = spark.createDataFrame([(float(i), int(i > 4)) for i in range(10)], "a double, y int")
-    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows)
-    model = BoostedStumps(labelCol="y", rounds=5).fit(rows)
-    assert len(model.stages) == 2
-    assert model.transform(rows).where(F.col("prediction") != F.col("y")).count() == 0
-
-
-def test_boosting_reweights_across_checkpoints(separable):
-    often = BoostedStumps(labelCol="y", rounds=4, checkpointInterval=1).fit(separable)
-    seldom = BoostedStumps(labelCol="y", rounds=4, checkpointInterval=100).fit(separable)
-    weights = [m.stages[-1].getOrDefault("weights") for m in (often, seldom)]
-    assert weights[0] == pytest.approx(weights[1])
-
-
-def test_bootstrap_draws_follow_the_mean(spark):
-    draws = spark.range(20000).select(poisson_draws((F.col("id") + 0.5) / 20000, 0.8).alias("n"))
-    row = draws.agg(F.avg("n").alias("mean"), F.var_pop("n").alias("var")).first()
-    assert row["mean"] == pytest.approx(0.8, abs=1e-3) and row["var"] == pytest.approx(0.8, abs=5e-3)
-
-
-def test_bagging_uses_a_share_of_the_features(separable):
-    model = BaggedTrees(labelCol="y", rounds=2, featureShare=0.5, maxDepth=3).fit(separable)
-    assert [len(s.getIndices()) for s in model.stages[:-1:2]] == [1, 1]
+def test_model_parameters():
+    def get(name, *params):
+        model = build_classifier(name, 50, "y")
+        return tuple(model.getOrDefault(p) for p in params)
+
+    assert get("gradient_boosting", "rounds", "stepSize", "maxDepth", "rowShare", "featureShare") == (600, 0.05, 6, 0.9, 0.9)
+    assert get("random_forest", "trees", "nodeFeatures", "treeFeatures", "drawShare", "balanced") == (300, 0, 1.0, 1.0, True)
+    assert get("bagging", "trees", "nodeFeatures", "treeFeatures", "drawShare", "balanced") == (100, -1, 0.8, 0.8, False)
+    assert get("adaboost", "rounds") == (100,) and get("logistic", "regParam") == (1 / 50,)
+    assert get("linear_svc", "cost", "maxIter") == (1.0, 5000) and get("decision_tree", "balanced") == (True,)
+
+
+def direct_cart(x, y, weights):
+    """Exact Gini splits half-way between neighbouring values, the first feature and value among equals."""
+    c = np.array([(y == 0).sum(), (y == 1).sum()]) * weights
+    pure = lambda v: (v * v).sum() / v.sum()
+    best = (-1.0,)
+    if (c > 0).all():
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for low, high in zip(values, values[1:]):
+                go = x[:, f] <= low
+                left = np.array([(go & (y == k)).sum() for k in (0, 1)]) * weights
+                gain = pure(left) + pure(c - left) - pure(c)
+                if gain > best[0]:
+                    best = gain, f, low / 2 + high / 2
+    if len(best) == 1:
+        return round(c[1] / c.sum(), 9)
+    gain, f, cut = best
+    go = x[:, f] <= cut
+    return f, round(float(cut), 9), round(gain, 6), direct_cart(x[go], y[go], weights), direct_cart(x[~go], y[~go], weights)
+
+
+@pytest.mark.parametrize("local_rows", [10_000, 60, 0])
+@pytest.mark.parametrize("balanced", [False, True])
+def test_exact_tree_equals_direct_version(spark, local_rows, balanced):
+    rng = np.random.RandomState(8)
+    n = 40 if local_rows == 0 else 240
+    x = np.column_stack([rng.normal(size=n).round(1), rng.randint(0, 2, n), np.ones(n), rng.normal(size=n), rng.randint(-3, 4, n) * 0.1])
+    y = ((x[:, 0] + x[:, 4] * 5 + rng.normal(size=n) * 0.5) > 0.3).astype(int)
+    rows = spark.createDataFrame([(x[i].tolist(), int(y[i])) for i in range(n)], "x array<double>, label int").withColumn("features", array_to_vector("x"))
+    model = ExactTree(balanced=balanced, localRows=local_rows, maxDepth=3 if local_rows == 0 else 1 << 30).fit(rows.repartition(3))
+    ((_, nodes),) = [t for some in model.batches() for t in some]
+
+    def shape(at, depth):
+        node = nodes[at]
+        if node["feature"] < 0:
+            return round(float(node["value"]), 9)
+        return int(node["feature"]), round(float(node["cut"]), 9), round(float(node["gain"]), 6), shape(node["left"], depth + 1), shape(node["right"], depth + 1)
+
+    def cut_off(tree, depth, x, y):
+        """A tree no deeper than 3."""
+        if not isinstance(tree, tuple):
+            return tree
+        if depth == 3:
+            w = np.array([(y == 0).sum(), (y == 1).sum()]) * weights
+            return round(w[1] / w.sum(), 9)
+        go = x[:, tree[0]] <= tree[1]
+        return (*tree[:3], cut_off(tree[3], depth + 1, x[go], y[go]), cut_off(tree[4], depth + 1, x[~go], y[~go]))
+
+    counts = np.bincount(y)
+    weights = n / (2 * counts) if balanced else np.ones(2)
+    expected = direct_cart(x, y, weights)
+    assert shape(0, 0) == (cut_off(expected, 0, x, y) if local_rows == 0 else expected)
+
+
+def test_exact_tree_of_one_class_or_equal_rows(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], i % 2) for i in range(8)], "x array<double>, label int").withColumn("features", array_to_vector("x"))
+    for local_rows in (0, 100):
+        same = ExactTree(localRows=local_rows).fit(rows).transform(rows).select(vector_to_array("probability")[1].alias("p")).collect()
+        assert [r["p"] for r in same] == [0.5] * 8
+        one = ExactTree(localRows=local_rows).fit(rows.where("label = 1")).transform(rows)
+        assert {r["prediction"] for r in one.collect()} == {1.0}
+
+
+def test_naive_bayes_equals_direct_version(spark):
+    rng = np.random.RandomState(4)
+    x = np.column_stack([rng.normal(size=200), rng.randint(0, 2, 200), np.full(200, 3.0), rng.normal(size=200) * 50])
+    y = (x[:, 0] + rng.normal(size=200) > 0.4).astype(int)
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(200)], "id int, x array<double>, label int")
+    rows = rows.withColumn("features", array_to_vector("x")).repartition(3)
+    model = GaussianBayes().fit(rows)
+    more = 1e-9 * x.var(axis=0).max()
+    logs = np.column_stack([
+        np.log((y == k).mean()) - 0.5 * (np.log(2 * np.pi * (x[y == k].var(axis=0) + more))
+                                         + (x - x[y == k].mean(axis=0)) ** 2 / (x[y == k].var(axis=0) + more)).sum(axis=1)
+        for k in (0, 1)
+    ])
+    out = model.transform(rows).select("id", vector_to_array("probability").alias("p"), vector_to_array("rawPrediction").alias("raw"), "prediction").orderBy("id").collect()
+    assert np.allclose([r["raw"] for r in out], logs, rtol=1e-9)
+    assert np.allclose([r["p"][1] for r in out], 1 / (1 + np.exp(logs[:, 0] - logs[:, 1])))
+    assert [r["prediction"] for r in out] == (logs[:, 1] > logs[:, 0]).astype(float).tolist()
+    with pytest.raises(ValueError):
+        GaussianBayes().fit(rows.where("label = 1"))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_squared_hinge_equals_dense_solution(spark, weighted):
+    rng = np.random.RandomState(6)
+    x = rng.normal(size=(300, 4)) * [1, 2, 0.5, 1]
+    y = (x @ [1, -0.5, 0.3, 0] + rng.normal(size=300) > 0.8).astype(int)
+    u = np.where(y == 1, 3.0, 1.0) if weighted else np.ones(300)
+    rows = spark.createDataFrame([(x[i].tolist(), int(y[i]), float(u[i])) for i in range(300)], "x array<double>, label int, w double")
+    rows = rows.withColumn("features", array_to_vector("x")).repartition(3)
+    model = SquaredHingeSvm(weightCol="w" if weighted else "").fit(rows)
+    a, s = np.column_stack([x, np.ones(300)]), 2.0 * y - 1
+    w = np.array([*model.getOrDefault("coefficients"), model.getOrDefault("intercept")])
+    assert model.gradient_per_weight < 1e-8
+
+    def objective(w):
+        return 0.5 * w @ w + (u * np.maximum(1 - s * (a @ w), 0) ** 2).sum()
+
+    slack = np.maximum(1 - s * (a @ w), 0)
+    assert np.abs(w - 2 * a.T @ (u * s * slack)).max() < 1e-6  # the gradient
+    # duality: the dual objective of the multipliers that the solution implies equals the primal one
+    alpha = 2 * u * slack
+    v = a.T @ (alpha * s)
+    dual = alpha.sum() - 0.5 * v @ v - (alpha * alpha / (4 * u)).sum()
+    assert objective(w) == pytest.approx(dual, rel=1e-8)
+    solution = np.zeros(5)
+    for _ in range(100):
+        active = 1 - s * (a @ solution) > 0
+        gradient = solution - 2 * a.T @ (u * s * np.maximum(1 - s * (a @ solution), 0))
+        step = np.linalg.solve(np.eye(5) + 2 * (a[active] * u[active, None]).T @ a[active], gradient)
+        length = 1.0
+        while objective(solution - length * step) > objective(solution) and length > 1e-12:
+            length /= 2
+        solution = solution - length * step
+    assert np.allclose(w, solution, atol=1e-7)
+    assert np.allclose([r["m"] for r in model.transform(rows).select(vector_to_array("rawPrediction")[1].alias("m"), "x").orderBy("x").collect()],
+                       (a @ w)[np.lexsort(x.T[::-1])])
 
 
 @pytest.fixture(scope="module")
@@ -120,7 +223,7 @@ def test_first_candidate_is_loaded_and_described(spark, trained):
     name, model, features = artifacts.load_first(folder)
     assert name == "model_linear_svc"
     row = artifacts.describe_model(spark, model, features).first()
-    assert row["model_name"] == "LinearSVCModel" and row["features_count"] > 13
+    assert row["model_name"] == "LinearMargin" and row["features_count"] > 13
     assert row["stages"][0] == "DropColumns"
     with pytest.raises(FileNotFoundError):
         artifacts.load_first(folder + "-nowhere")
