@@ -218,6 +218,54 @@ def test_training_job(trained):
     assert evaluate.confusion_on(result.models["naive_bayes"], result.test).count() == 4
 
 
+def test_a_run_that_died_goes_on(spark, sf_dir, monkeypatch):
+    folder, rows, calls = scratch_path(spark, "resumed"), credit_table(spark, sf_dir), []
+    real = train.evaluate_classifier
+
+    def dying(name, *given, **settings):
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        calls.append(name)
+        return real(name, *given, **settings)
+
+    names = ["naive_bayes", "linear_svc", "adaboost"]
+    job = {"folder": folder, "names": names, "k": 2, "sizes": SMALL, "primary": "test_f1_0", "secondary": "test_accuracy", "parallelism": 1}
+    monkeypatch.setattr(train, "evaluate_classifier", dying)
+    with pytest.raises(RuntimeError):
+        train.train_all(rows, CREDIT_AS_OF, **job)
+    assert calls == names[:2]
+    calls.clear()
+    result = train.train_all(rows, CREDIT_AS_OF, **job)
+    assert calls == ["adaboost"] and result.leaderboard.count() == 3
+    board = [tuple(r) for r in result.leaderboard.collect()]
+    calls.clear()
+    again = train.train_all(rows, CREDIT_AS_OF, **job)
+    assert calls == [] and [tuple(r) for r in again.leaderboard.collect()] == board
+    with pytest.raises(RuntimeError):  # other data: nothing of the ledger holds
+        train.train_all(rows.where("loan_id % 3 > 0"), CREDIT_AS_OF, **job)
+    assert calls == names[:2]
+
+
+@pytest.mark.parametrize("name", ["naive_bayes", "adaboost"])
+def test_model_curve_equals_fits_one_by_one(spark, sf_dir, name):
+    rows, _, _ = train.prepare(credit_table(spark, sf_dir), CREDIT_AS_OF)
+    rows = rows.cache()
+    found = evaluate.model_curve(name, rows, [0.3, 1.0], k=2, sizes=SMALL).orderBy("fold", "fraction").collect()
+    each = evaluate.learning_curve(lambda some: fit_classifier(name, some, S.TARGET, sizes=SMALL), rows, [0.3, 1.0], k=2).orderBy("fold", "fraction").collect()
+    assert [(r["fold"], r["fraction"]) for r in found] == [(r["fold"], r["fraction"]) for r in each]
+    tolerance = 0.05 if name == "adaboost" else 1e-9  # cuts are quantiles of the rows of all models, or of one
+    for a, b in zip(found, each):
+        assert a["train_score"] == pytest.approx(b["train_score"], abs=tolerance)
+        assert a["validation_score"] == pytest.approx(b["validation_score"], abs=tolerance)
+
+
+def test_cross_validation_of_several_models(spark, separable):
+    folded = separable.withColumn("fold", (F.col(S.KEY) % 3 + 1).cast("int"))
+    found = evaluate.cross_validated(["naive_bayes", "random_forest"], folded, "y", k=3, sizes=SMALL).collect()
+    assert sorted((r["model"], r["fold"]) for r in found) == [(m, i) for m in ("naive_bayes", "random_forest") for i in (1, 2, 3)]
+    assert all(r["roc_auc"] > 0.8 for r in found)
+
+
 def test_first_candidate_is_loaded_and_described(spark, trained):
     _, _, folder = trained
     name, model, features = artifacts.load_first(folder)
