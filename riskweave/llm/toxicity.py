@@ -59,7 +59,8 @@ def likelihood_differences(model: CharModel, data: np.ndarray, offsets: np.ndarr
     rows = len(edges) - 1
     if not len(at):
         return [np.zeros((rows, FEATURES + 2)) for _ in pooled_shares]
-    logs = model.position_logs(symbols, at).astype(np.float64)
+    logs = model.position_logs(symbols, at)
+    against = np.exp(logs[:, :2] - logs[:, 2:])  # of either class to the pooled model
     head = symbols[at - 1] == SPACE
     head[edges[:-1][np.diff(edges) > 0]] = True
     starts = np.flatnonzero(head)
@@ -67,13 +68,13 @@ def likelihood_differences(model: CharModel, data: np.ndarray, offsets: np.ndarr
     words = np.searchsorted(starts, edges)
     filled = np.diff(words) > 0
     begin = words[:-1][filled]
-    found = []
+    found, whole = [], row_sums(logs[:, 2:], edges)
     for share in pooled_shares:
-        mixed = np.logaddexp(logs[:, :2] + np.log(1 - share), logs[:, 2:] + np.log(share))
-        lead = mixed[:, 1] - mixed[:, 0]
+        mixed = np.log(against * np.float32(1 - share) + np.float32(share))
+        lead = mixed[:, 1].astype(np.float64) - mixed[:, 0]
         result = np.zeros((rows, FEATURES + 2))
         result[:, 0] = row_sums(lead[:, None], edges)[:, 0] / np.maximum(np.diff(edges), 1)
-        result[:, FEATURES:] = row_sums(mixed, edges)
+        result[:, FEATURES:] = row_sums(mixed, edges) + whole
         sums = np.add.reduceat(lead, starts)
         result[filled, 1] = np.maximum.reduceat(sums / lengths, begin)
         result[filled, 2] = np.maximum.reduceat(sums, begin)
