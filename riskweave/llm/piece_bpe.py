@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import functools
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +24,7 @@ from riskweave.llm.flat import row_chunks, text_buffers
 from riskweave.llm.scratch import fresh_name
 
 #: Units a worker remembers between batches, and the longest of them; beyond it the memory starts anew.
-REMEMBERED_UNITS, REMEMBERED_LENGTH = 300_000, 64
+REMEMBERED_UNITS, REMEMBERED_LENGTH = 600_000, 64
 #: Results of compatibility tests a worker remembers; beyond it the memory starts anew.
 REMEMBERED_PAIRS = 1_000_000
 
@@ -100,9 +100,13 @@ class PieceBpe:
         self.spines = [None] * len(self.tokens)
         self.found: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        # a merge never joins a space to what stands before it if no piece does: texts fall apart there
-        apart = not any(SPACE in token.lstrip(SPACE) for token in self.tokens)
-        self.units = regex.compile(f"{SPACE}*+[^{SPACE}]++|{SPACE}++" if apart else r"(?s:.+)")
+        # no merge joins two characters that no piece holds side by side: texts fall apart between them
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in sorted(letters)]] = np.arange(1, len(letters) + 1)
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for token in self.ids:
+            places = self.number[[ord(c) for c in token]]
+            self.joined[places[:-1], places[1:]] = True
         self.surfaces = np.array([self._surface(i) for i in range(len(self.texts))], object)
 
     def _surface(self, number: int) -> str:
@@ -178,6 +182,13 @@ class PieceBpe:
             at = starts[at]
         return tokens[::-1]
 
+    def units(self, text: str) -> list[str]:
+        """The text, with a space before it, cut wherever no piece reaches across."""
+        text = SPACE + text.replace(" ", SPACE)
+        places = self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        cuts = (np.flatnonzero(~self.joined[places[:-1], places[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit. A character that no piece holds can be in no token: it stands alone, as bytes."""
         ids: list[int] = []
@@ -200,16 +211,12 @@ class PieceBpe:
             self.known = {}
         known, done = self.known, []
         for text in texts:
-            units = self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            parts = []
-            for unit in units:
-                ids = known.get(unit)
-                if ids is None:
-                    ids = np.array(self.encode_unit(unit), np.int32).tobytes()
-                    if len(unit) <= REMEMBERED_LENGTH:
-                        known[unit] = ids
-                parts.append(ids)
-            done.append(np.frombuffer(b"".join(parts), np.int32))
+            units = self.units(text) if text else []
+            for unit in set(units).difference(known):
+                known[unit] = array("i", self.encode_unit(unit)).tobytes()
+            done.append(np.frombuffer(b"".join([known[unit] for unit in units]), np.int32))
+            for unit in [unit for unit in units if len(unit) > REMEMBERED_LENGTH]:
+                known.pop(unit, None)
         return done
 
     def _bytes_text(self, values: list[int]) -> str:
