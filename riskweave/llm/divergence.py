@@ -23,8 +23,10 @@ NO_LETTERS = np.isin(np.arange(256), [b for b in range(0x80) if not chr(b).isalp
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A piece of the vocabulary ends after so many terms or bytes; one pass over the texts takes pieces of so many bytes.
 PIECE_TERMS, PIECE_BYTES, PASS_BYTES = 100_000, 1 << 21, 1 << 25
-#: Terms, and bytes of them, that a task counts before it hands them on; cells of a block of counts.
-HELD_TERMS, HELD_BYTES, CELLS = 400_000, 1 << 25, 1 << 20
+#: Terms, and bytes of them, that a task counts before it hands them on.
+HELD_TERMS, HELD_BYTES = 400_000, 1 << 25
+#: Cells (sources x terms) of a block of counts, about; as many terms as sources while there are no more than MOST_CELLS.
+CELLS, MOST_CELLS = 1 << 16, 1 << 22
 SCALE_THOUSANDS = 3  # shares are in units of 1000 ** -3
 
 
@@ -293,7 +295,7 @@ def source_divergence(
 
     Texts are read twice: for the rows a term stands in, and, through the transducers, for its occurrences. A transducer
     holds at most ``PIECE_TERMS`` terms; those of ``PASS_BYTES`` are broadcast at a time, and a larger vocabulary takes
-    more passes. Counts are compared in blocks of terms with about ``CELLS`` cells.
+    more passes. Counts are compared in blocks of terms with about ``CELLS`` cells (source and term).
     """
     docs = _named(docs, text, lang, source)
     kept = document_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -332,7 +334,8 @@ def source_divergence(
     by_source = Window.partitionBy("lang").orderBy("source")
     groups = saved(spark, docs.select("lang", "source").distinct().withColumn("s", F.row_number().over(by_source) - 1), "groups")
     sizes = spark.createDataFrame(list(running.items()), "lang string, kept long")
-    width = F.greatest(F.lit(1), F.expr(f"{CELLS} div sources"))
+    # a block hands on a sum per source pair: with as many terms as sources that is no more than half its cells
+    width = F.greatest(F.lit(1), F.least(F.greatest(F.expr(f"{CELLS} div sources"), F.col("sources")), F.expr(f"{MOST_CELLS} div sources")))
     sizes = saved(spark, groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(sizes, "lang").withColumn("width", width), "languages")
     counts = counted.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
     counts = saved(spark, counts.join(groups, ["lang", "source"]).select("lang", "s", "ordinal", "n"), "counts")
