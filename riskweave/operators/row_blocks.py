@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.session import materialised
+from riskweave.session import materialised, scratch_path
 
 BINS = 64
 BLOCK_ROWS = 65_536
@@ -119,7 +119,12 @@ def row_blocks(
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n", "codes", "labels", "members"])
                 seq += 1
 
-    table = materialised(rows.select(vector_to_array("features").alias("x"), "label", "member").mapInArrow(batches, LAYOUT), "row-blocks")
+    path = scratch_path(df.sparkSession, "row-blocks")
+    rows.select(vector_to_array("features").alias("x"), "label", "member").mapInArrow(batches, LAYOUT).write.parquet(path)
+    # hundreds of short passes follow, whose partitions are all given: nothing there to plan anew at run time
+    passes = df.sparkSession.newSession()
+    passes.conf.set("spark.sql.adaptive.enabled", "false")
+    table = passes.read.schema(LAYOUT).parquet(path)
 
     def sizes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

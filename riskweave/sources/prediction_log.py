@@ -62,8 +62,10 @@ def log_rows(scored: DataFrame, logged_at: str | datetime | None = None) -> Data
 
     if logged_at is not None:
         at = F.lit(as_timestamp(logged_at).isoformat(sep=" ")).cast("timestamp")
+    elif "timestamp" in columns:
+        at = F.col("timestamp").cast("timestamp")
     else:
-        at = F.col("timestamp").cast("timestamp") if "timestamp" in columns else F.current_timestamp()
+        raise ValueError("the log needs a time: logged_at or a column timestamp, so that a retry on another day replaces the batch")
     shaped = scored.select(
         at.alias("timestamp"),
         inputs_json(columns).alias("input_data"),

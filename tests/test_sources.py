@@ -109,6 +109,16 @@ def test_exclusion_reasons(spark):
     }
 
 
+def test_a_batch_without_a_time_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 0.5)], f"{S.KEY} long, prediction int, probability double")
+    with pytest.raises(ValueError):
+        prediction_log.append_predictions(rows, str(tmp_path / "log"), "one")
+    timed = rows.withColumn("timestamp", F.lit("2024-05-01 10:00:00"))
+    for _ in range(2):
+        prediction_log.append_predictions(timed, str(tmp_path / "log"), "one")
+    assert prediction_log.read_log(spark, str(tmp_path / "log")).count() == 1
+
+
 def test_log_defaults_and_repeated_batches(spark):
     location = scratch_path(spark, "log")
     rows = credit.read_records(spark, [{**SAMPLE, "loan_id": i} for i in range(3)]).drop(validation.BROKEN)
