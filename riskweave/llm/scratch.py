@@ -11,9 +11,12 @@ from riskweave.session import scratch_path
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back; the shuffle files of the writing query go."""
-    path = scratch_path(spark, name)
+def saved(spark: SparkSession, df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back; the shuffle files of the writing query go.
+
+    ``path``: a path from ``scratch_path`` for a table that is to be discarded when its reader is done.
+    """
+    path = path or scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

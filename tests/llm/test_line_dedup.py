@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from check_oracle import difference, oracle_connection
 from pyspark.sql import functions as F
@@ -61,6 +62,62 @@ def test_random_lines_equal_brute_force(spark, percent, limit, monkeypatch):
         assert out[i].n_lines == len(sets) and out[i].n_links == sum(len(linked[s]) for s in sets)
 
 
+@pytest.mark.parametrize("classes,limit", [(4, 4096), (4, 5), (2048, 5)])
+def test_large_groups_in_cells_equal_brute_force(spark, monkeypatch, classes, limit):
+    monkeypatch.setattr(line_dedup, "GROUP_CLASSES", classes)
+    monkeypatch.setattr(line_dedup, "BUCKET_ENTRIES", 40)
+    real = line_dedup.later_lines
+    monkeypatch.setattr(line_dedup, "later_lines", lambda *given: real(*given, limit=limit))
+    rng = random.Random(classes + limit)
+    template = [f"common{i}" for i in range(14)]
+    lines = []
+    for _ in range(160):
+        words = list(template)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(14)] = f"own{rng.randrange(40)}"
+        lines.append(" ".join(words))
+    rows = [(i, "\n".join(lines[8 * i : 8 * i + 8])) for i in range(20)]
+    later, linked = brute(rows, 80)
+    out = {r.doc_id: r for r in line_report(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 80).collect()}
+    assert {i: out[i].removed_lines for i, _ in rows} == {i: sorted(later.get((i, t), [])) for i, t in rows}
+    assert {i: out[i].n_links for i, _ in rows} == {i: sum(len(linked[frozenset(x.encode().split())]) for x in t.split("\n")) for i, t in rows}
+
+
+def test_linked_sets():
+    rng = random.Random(9)
+    sets = [np.array(rng.sample(range(60), rng.randrange(1, 25)), np.int64) for _ in range(40)] + [np.array([5], np.int64), np.array([5, 6], np.int64)]
+    for percent in (50, 80, 100):
+        found = line_dedup.linked_sets(sets, percent)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                alike = len({*a} & {*b}) * 100 >= percent * len({*a} | {*b})
+                assert found[i, j] == (alike and i != j)
+
+
+def test_places_of_lines_beside_empty_texts_and_line_ends(spark):
+    near = [f"alpha beta gamma delta epsilon zeta eta theta iota {w}" for w in ("one", "two", "three")]
+    texts = ["", None, f"{near[0]}\n", "\n", f"\n{near[1]}\n\n", "", f"other\n\n{near[2]}", None, f"{near[0]}\nx y z\n"]
+    rows = list(enumerate(texts))
+    later, linked = brute(rows, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r for r in line_report(spark, docs, 80).collect()}
+    assert {i: out[i].removed_lines for i, _ in rows} == {i: sorted(later.get((i, t), [])) for i, t in rows}
+    assert out[8].n_links == 2 and out[4].n_links == 2 and sum(map(len, linked.values())) == 6
+
+
+def test_long_lines_with_wide_signs_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"t{i}" for i in range(300)]
+    base = [rng.sample(words, rng.randrange(30, 120)) for _ in range(12)]
+    lines = [" ".join(b if rng.random() > share else rng.choice(words) for b in rng.choice(base)) for share in (0.0, 0.05, 0.08, 0.11, 0.14) for _ in range(24)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(30)]
+    later, linked = brute(rows, 80)
+    out = {r.doc_id: r for r in line_report(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 80).collect()}
+    assert {i: out[i].removed_lines for i, _ in rows} == {i: sorted(later.get((i, t), [])) for i, t in rows}
+    assert sum(r.n_links for r in out.values()) == sum(len(linked[frozenset(line.encode().split())]) for line in lines) > 50
+
+
 def test_edge_rows(spark):
     long_text = "\n".join(f"line number {i} of a very long text" for i in range(20_000))
     rows = [(1, "One two\nthree", "x"), (1, "other\nONE  two", "y"), (2, None, "z"), (3, "", "z"), (4, "\n \n", "z"), (None, "three\nnew", None),
