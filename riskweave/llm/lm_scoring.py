@@ -28,8 +28,12 @@ PART_GRAMS = 400_000
 BROADCAST_WORDS = 300_000
 #: Distinct keys whose counts a task holds before it hands them on.
 HELD_KEYS = 1_000_000
+#: Bytes of text that are scored at a time, but for a longer text.
+SCORED_BYTES = 1 << 18
 #: Start and end of a text; no byte of UTF-8.
 EDGE = 0xFF
+#: Bytes of context whose counts in the text so far adapt the model to it, and what such a count weighs against a new symbol.
+OWN_CONTEXT, OWN_WEIGHT = 3, 0.25
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -221,6 +225,36 @@ def _often(counts: DataFrame, column: str, room: int) -> int:
     return often
 
 
+def _earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each key stands at an earlier place; the order that groups equal keys by place; and each group's start in it."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+    times = np.empty(len(keys), np.int64)
+    times[order] = np.arange(len(keys)) - start
+    return times, order, start
+
+
+def own_shares(packed: np.ndarray, edges: np.ndarray, context: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of each predicted byte: a + b p is its probability when the trie gives p and the text so far is counted too.
+
+    Of the occurrences of the ``context`` bytes before it in its own text so far, ``weight`` each, those followed by the
+    same byte make a; the escape to the trie gets as much as different bytes have followed (method C). A context that is
+    new to the text leaves p alone.
+    """
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges)).astype(U64)
+    same, _, _ = _earlier(row << U64(8 * context + 8) | (packed & _mask(context + 1)))
+    seen, order, start = _earlier(row << U64(8 * context) | (packed >> U64(8) & _mask(context)))
+    fresh = (same == 0)[order].astype(np.int64)
+    upto = np.cumsum(fresh) - fresh
+    kinds = np.empty(len(packed), np.int64)
+    kinds[order] = upto - upto[start] if len(start) else upto
+    whole = np.where(seen > 0, weight * seen + kinds, 1.0)
+    return weight * same / whole, np.where(seen > 0, kinds / whole, 1.0)
+
+
 def _missed(keys: np.ndarray, owner: np.ndarray, rows: int) -> list[pa.Array]:
     """Lists of the distinct keys of each owning row, and of how often they occur."""
     order = np.lexsort((keys, owner))
@@ -235,14 +269,16 @@ def _missed(keys: np.ndarray, owner: np.ndarray, rows: int) -> list[pa.Array]:
 
 def text_scores(
     spark: SparkSession, docs: DataFrame, training: Column, text: str = "text", order: int = ORDER,
-    max_nodes: int = MAX_NODES, broadcast_words: int = BROADCAST_WORDS,
+    max_nodes: int = MAX_NODES, broadcast_words: int = BROADCAST_WORDS, own_context: int = OWN_CONTEXT, own_weight: float = OWN_WEIGHT,
 ) -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     Texts have A-Z lowered; a null text counts as empty. Both models learn from the rows that ``training`` holds for
     (null: not), counting all of them. score is the log10 probability of the bytes of the text and of its end under
     prediction by partial matching: contexts of up to ``order`` bytes, the longest known first, escaping to shorter
-    ones in proportion to the number of different symbols seen (method C), symbols already ruled out being excluded.
+    ones in proportion to the number of different symbols seen (method C), symbols already ruled out being excluded. The
+    model adapts to each text: what has followed the last ``own_context`` bytes in the text so far comes first, at
+    ``own_weight`` a count, and the trie where that escapes; a weight of 0 gives the pretrained model alone.
     base_score adds log10((c + 1) / (N + V + 1)) over words and one end: c counts the token in the training texts, N
     all their tokens, V the different ones; n_known counts tokens with c > 0. Words are told apart by 64-bit hashes.
     The trie holds every context of the training texts. Counts of the ``broadcast_words`` most frequent words and log
@@ -252,6 +288,9 @@ def text_scores(
     """
     if not 1 <= order <= 6:
         raise ValueError("order must lie between 1 and 6")
+    own_context = min(own_context, order)
+    if not 1 <= own_context <= 4 or own_weight < 0:
+        raise ValueError("own_context must lie between 1 and 4, own_weight must not be negative")
     learns = F.coalesce(training, F.lit(False))
     body, use = F.col(f"`{text}`").alias("text"), learns.alias("learned")
     counts = saved(spark, _counts(docs.select(body, use), order), "counts")
@@ -275,7 +314,7 @@ def text_scores(
     row, body = fresh_name(docs, "row_number"), fresh_name(docs, "body")
     added = [(row, T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()),
              ("rare", T.ArrayType(T.LongType(), False)), ("times", T.ArrayType(T.IntegerType(), False)),
-             ("rare_grams", T.ArrayType(T.LongType(), False)), ("gram_times", T.ArrayType(T.IntegerType(), False))]
+             ("rare_grams", T.ArrayType(T.LongType(), False)), *[(name, T.ArrayType(T.DoubleType(), False)) for name in ("own", "other")]]
     names = [row, *[fresh_name(docs, name) for name, _ in added[1:]]]
     out = T.StructType([docs.schema[c] for c in kept])
     for name, (_, kind) in zip(names, added):
@@ -286,13 +325,18 @@ def text_scores(
         number = TaskContext.get().partitionId() << 33
         for part in parts:
             data, offsets = text_buffers(part.column(body))
-            for first, last in row_chunks(offsets):
+            for first, last in row_chunks(offsets, SCORED_BYTES):
                 rows = last - first
                 low, here = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
                 packed, edges = byte_stream(low, here, order)
                 at = nodes.find(packed)
-                score = row_sums(node_logs[at][:, None], edges)[:, 0] / np.log(10)
-                rare_grams = _missed(packed[at < 0], np.repeat(np.arange(rows), np.diff(edges))[at < 0], rows)
+                own, other = own_shares(packed, edges, own_context, own_weight)
+                logs_here = np.log10(own + other * np.exp(node_logs[at]))
+                rest = np.flatnonzero(at < 0)
+                logs_here[rest] = 0.0
+                score = row_sums(logs_here[:, None], edges)[:, 0]
+                bounds = pa.array(np.searchsorted(rest, edges).astype(np.int32))
+                rare_grams = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (packed[rest].view(np.int64), own[rest], other[rest])]
                 starts, ends, heads = word_spans(low, here, BLANKS)
                 hashes = span_hashes(low, starts, ends)
                 at = known.find(hashes)
@@ -310,19 +354,22 @@ def text_scores(
     scores = saved(spark, scores, "scores")
     tokens, n_known, base, score, *lists = names[1:]
 
-    def pairs(kind: int, keys: str, times: str) -> DataFrame:
-        found = scores.filter(F.size(keys) > 0).select(F.col(row).alias("r"), F.explode(F.arrays_zip(keys, times)).alias("w"))
-        return found.select("r", F.lit(kind).alias("of"), F.col("w").getField(keys).alias("k"), F.col("w").getField(times).alias("times"))
+    def met(keys: str, *more: str) -> DataFrame:
+        found = scores.filter(F.size(keys) > 0).select(F.col(row).alias("r"), F.explode(F.arrays_zip(keys, *more)).alias("w"))
+        return found.select("r", F.col("w").getField(keys).alias("k"), *[F.col("w").getField(m).alias(f"m{i}") for i, m in enumerate(more)])
 
+    no, none = F.lit(None).cast("double"), F.lit(None).cast("int")
     values = words.filter(F.col("n") < often).select(F.lit(WORDS).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
-    values = values.unionByName(
-        grams.filter(F.col("times") < often_gram).select(F.lit(GRAMS).alias("kind"), "key", (F.col("log") / float(np.log(10))).alias("value"))
+    values = values.unionByName(grams.filter(F.col("times") < often_gram).select(F.lit(GRAMS).alias("kind"), "key", F.exp("log").alias("value")))
+    missed = met(*lists[:2]).select("r", F.lit(WORDS).alias("of"), "k", F.col("m0").alias("times"), no.alias("own"), no.alias("other"))
+    missed = missed.unionByName(
+        met(*lists[2:]).select("r", F.lit(GRAMS).alias("of"), "k", none.alias("times"), F.col("m0").alias("own"), F.col("m1").alias("other"))
     )
-    missed = pairs(WORDS, *lists[:2]).unionByName(pairs(GRAMS, *lists[2:]))
     missed = missed.join(values, (F.col("k") == F.col("key")) & (F.col("of") == F.col("kind")))
-    word, part = F.col("kind") == WORDS, F.col("times") * F.col("value")
+    word = F.col("kind") == WORDS
     joined = missed.groupBy("r").agg(
-        F.sum(F.when(word, F.col("times"))).alias("more"), F.sum(F.when(word, part)).alias("logs"), F.sum(F.when(~word, part)).alias("gram_logs")
+        F.sum(F.when(word, F.col("times"))).alias("more"), F.sum(F.when(word, F.col("times") * F.col("value"))).alias("logs"),
+        F.sum(F.when(~word, F.log10(F.col("own") + F.col("other") * F.col("value")))).alias("gram_logs"),
     )
     whole = scores.join(joined, F.col(row) == F.col("r"), "left")
     denominator = float(np.log10(n_train + kinds + 1.0))
