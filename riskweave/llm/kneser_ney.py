@@ -16,6 +16,8 @@ from riskweave.llm.scratch import saved
 SPACE = 32
 #: Rows whose n-gram counts a task holds before it hands them on.
 HELD_GRAMS = 2_000_000
+#: Bytes of text that are scored at a time, but for a longer text: what scoring holds is about a hundred times that.
+SCORED_BYTES = 1 << 19
 
 _POWERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(16)]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.flat import row_chunks, text_buffers
-from riskweave.llm.kneser_ney import CharModel, fit_model, row_sums, symbol_stream
+from riskweave.llm.kneser_ney import SCORED_BYTES, CharModel, fit_model, row_sums, symbol_stream
 
 UNKNOWN = "und"
 ORDER = 4
@@ -122,7 +122,7 @@ def fit_languages(
         for part in parts:
             data, offsets = text_buffers(part.column("text"))
             labels = part.column("label")
-            for first, last in row_chunks(offsets):
+            for first, last in row_chunks(offsets, SCORED_BYTES):
                 piece = offsets[first : last + 1] - offsets[first]
                 entropies, counts, letters = held.value.cross_entropies(data[offsets[first] : offsets[last]], piece)
                 columns = [labels.slice(first, last - first), pa.array(list(entropies), pa.list_(pa.float64())),
@@ -154,7 +154,7 @@ def with_languages(spark: SparkSession, docs: DataFrame, found: LanguageModel |
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = text_buffers(part.column(text))
-            for first, last in row_chunks(offsets):
+            for first, last in row_chunks(offsets, SCORED_BYTES):
                 rows, piece = last - first, offsets[first : last + 1] - offsets[first]
                 if held.value is None:
                     results = [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows), np.ones(rows, bool)

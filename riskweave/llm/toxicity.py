@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.flat import row_chunks, text_buffers
-from riskweave.llm.kneser_ney import SPACE, CharModel, fit_model, row_sums, symbol_stream
+from riskweave.llm.kneser_ney import SCORED_BYTES, SPACE, CharModel, fit_model, row_sums, symbol_stream
 from riskweave.llm.language_id import labelled_sample
 
 ORDER = 5
@@ -142,7 +142,7 @@ def fit_toxicity(
     def measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = text_buffers(part.column("text"))
-            for first, last in row_chunks(offsets):
+            for first, last in row_chunks(offsets, SCORED_BYTES):
                 here = offsets[first : last + 1] - offsets[first]
                 found = np.hstack(likelihood_differences(held.value, data[offsets[first] : offsets[last]], here, POOLED_SHARES))
                 columns = [part.column("label").slice(first, last - first), pa.array(list(found), pa.list_(pa.float64()))]
@@ -181,7 +181,7 @@ def with_toxicity(spark: SparkSession, docs: DataFrame, found: ToxicityModel | N
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = text_buffers(part.column(text))
-            for first, last in row_chunks(offsets):
+            for first, last in row_chunks(offsets, SCORED_BYTES):
                 score = np.zeros(last - first)
                 if held.value is not None:
                     piece = offsets[first : last + 1] - offsets[first]
