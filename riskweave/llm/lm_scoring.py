@@ -227,8 +227,14 @@ def _often(counts: DataFrame, column: str, room: int) -> int:
 
 def _earlier(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each key stands at an earlier place; the order that groups equal keys by place; and each group's start in it."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+    places = len(keys).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + places <= 64:  # sorting the places with the keys is several times faster
+        ordered = np.sort(keys << U64(places) | np.arange(len(keys), dtype=U64))
+        order = (ordered & U64((1 << places) - 1)).astype(np.int64)
+        ordered >>= U64(places)
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
