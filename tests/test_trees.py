@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.row_blocks import leaving_out, row_blocks
 from riskweave.operators.tree_boosting import SCALE, BoostSpec, StumpSpec, grow_boosted, grow_stumps
-from riskweave.operators.tree_growth import Drawing, ForestSpec, grow_forest, whole_tree
+from riskweave.operators.tree_growth import Drawing, ForestSpec, counted_splits, grow_forest, rows_by_node, scanned_splits, whole_tree
 from riskweave.operators.tree_models import BoostedStumps, ForestClassifier, NewtonBoosting, TreeEnsemble
 from riskweave.session import scratch_path
 
@@ -230,3 +230,26 @@ def test_models_predict_round_trip_and_leave_folds_out(spark, data, estimator):
             for m in (folds[2], estimator.fit_folds(other, "fold", 3)[2])]
     assert held[0] == held[1]
     assert model.transform(df.limit(0)).count() == 0
+
+
+def test_counted_and_sorted_splits_agree():
+    """Large levels of a subtree are counted and small ones sorted; the choice changes nothing, draws of 0 aside."""
+    rng = np.random.RandomState(1)
+    at, values, labels, draws = np.arange(900) % 7, rng.randint(0, 5, 900), rng.randint(0, 2, 900), rng.randint(1, 6, 900)
+    values[at == 3] = 2  # a node that the feature does not part
+    totals = np.array([[draws[(at == n) & (labels == k)].sum() for k in (0, 1)] for n in range(7)])
+    weights = np.array([0.7, 1.6])
+    one = counted_splits(values, at, labels, draws.astype(float), totals.astype(float), 9, weights)
+    other = scanned_splits(values, at, labels, draws, totals, weights)
+    assert (one[0] == other[0]).all() and np.isneginf(one[0][3])
+    parted = np.isfinite(one[0])
+    assert (one[1] == other[1])[parted].all() and (one[3] == other[3])[parted].all()
+
+
+def test_rows_are_dealt_to_nodes_in_one_pass():
+    at = np.random.RandomState(2).randint(0, 70_000, 5_000)
+    for size, nodes in ((70_000, range(0, 70_000, 3)), (7, [0, 2, 5])):
+        found = dict(rows_by_node(at % size, nodes, size))
+        assert sorted(found) == sorted(set(nodes) & set((at % size).tolist()))
+        assert all((rows == np.flatnonzero(at % size == n)).all() for n, rows in list(found.items())[:50])
+    assert rows_by_node(at[:0], [1], 3) == []
