@@ -105,3 +105,16 @@ def test_empty_tables(spark):
     assert splits.mark_test_rows(empty, "y", "id").count() == 0
     assert splits.stratified_folds(empty, 5, "y", "id").count() == 0
     assert orders.medians_and_means(empty.select(F.col("id").cast("double").alias("v")), ["v"]) == {"v": None}
+
+
+def test_keys_are_made_twice_however_deep_the_search(spark, monkeypatch):
+    """What shares a prefix with a cut is written after the first pass, and later passes read that alone."""
+    from riskweave.operators import order_statistics
+
+    written = []
+    monkeypatch.setattr(order_statistics, "MAX_COUNTERS", 16)
+    monkeypatch.setattr(order_statistics, "materialised", lambda df, name: written.append(df.count()) or df.localCheckpoint())
+    keyed = spark.range(3_000).select(F.lit(1).alias("g"), order_statistics.hash_key(F.col("id"), 5).alias("_key"))
+    cuts = order_statistics.key_cuts(keyed, "g", "_key", lambda n: [700, 2_100], 1)
+    assert [keyed.where(F.col("_key") <= cut).count() for cut in cuts[1]] == [700, 2_100]
+    assert len(written) == 1 and written[0] < 600
