@@ -342,3 +342,21 @@ def test_registered_training_has_full_size(monkeypatch):
     monkeypatch.setattr(queries.train, "train_all", lambda *given, **named: calls.append((given, named)) or SimpleNamespace(leaderboard="board"))
     assert queries.training_leaderboard(None, "") == "board" and calls == [(("credit", queries.CREDIT_AS_OF), {})]
     assert queries.QUERY_SIZES == Sizes()
+
+
+def test_curve_of_models_fitted_together_equals_one_by_one(separable):
+    from riskweave.operators.bayes import predicted_together
+    from riskweave.operators.models import build_classifier
+
+    rows, fits = separable.select(S.KEY, F.col("y").alias(S.TARGET), "features").cache(), []
+
+    def together(some, members, models):
+        fits.append(models)
+        return build_classifier("naive_bayes", 0, S.TARGET).fit_members(some, members, models)
+
+    def curve(**given):
+        found = evaluate.learning_curve(lambda r: fit_classifier("naive_bayes", r, S.TARGET), rows, [0.3, 0.7, 1.0], k=3, **given)
+        return found.drop("fit_seconds", "score_seconds").orderBy("fold", "fraction").collect()
+
+    assert curve(together=(together, lambda models: predicted_together(models, F.col("features")))) == curve()
+    assert fits == [9]
