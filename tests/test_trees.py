@@ -5,9 +5,10 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from riskweave.operators.exact_tree import ExactTree, open_ranges
 from riskweave.operators.row_blocks import leaving_out, row_blocks
 from riskweave.operators.tree_boosting import SCALE, BoostSpec, StumpSpec, grow_boosted, grow_stumps
-from riskweave.operators.tree_growth import Drawing, ForestSpec, counted_splits, grow_forest, rows_by_node, scanned_splits, whole_tree
+from riskweave.operators.tree_growth import Drawing, ForestSpec, counted_splits, grow_forest, rows_by_node, scanned_splits, split_gains, whole_tree
 from riskweave.operators.tree_models import BoostedStumps, ForestClassifier, NewtonBoosting, TreeEnsemble
 from riskweave.session import scratch_path
 
@@ -253,3 +254,44 @@ def test_rows_are_dealt_to_nodes_in_one_pass():
         assert sorted(found) == sorted(set(nodes) & set((at % size).tolist()))
         assert all((rows == np.flatnonzero(at % size == n)).all() for n, rows in list(found.items())[:50])
     assert rows_by_node(at[:0], [1], 3) == []
+
+
+def test_open_ranges_hold_the_best_split():
+    """Few ranges stay open, and every value as good as the best one lies in one of them."""
+    rng = np.random.RandomState(4)
+    for weights in (np.ones(2), np.array([0.6, 2.5])):
+        x, y = rng.normal(size=(3_000, 3)).round(2), rng.randint(0, 2, 3_000)
+        y[x[:, 1] > 0.37] = 1
+        cuts = [np.unique(np.quantile(x[:, f], np.arange(1, 32) / 32)) for f in range(3)]
+        counts = np.zeros((3, 32, 2), np.int64)
+        gains = []
+        for f in range(3):
+            np.add.at(counts[f], (np.searchsorted(cuts[f], x[:, f]), y), 1)
+            for value in np.unique(x[:, f]):
+                left = np.bincount(y[x[:, f] <= value], minlength=2)
+                gains.append((split_gains(left, np.bincount(y, minlength=2) - left, weights), f, value))
+        found = {(f, r): (a, b) for f, r, a, b in open_ranges(counts, weights)}
+        best = max(gains)[0]
+        assert len(found) <= 8
+        for gain, f, value in gains:
+            if gain == best:
+                r = int(np.searchsorted(cuts[f], value))
+                below = x[:, f] <= cuts[f][r - 1] if r else np.zeros(3_000, bool)
+                assert found[f, r] == tuple(np.bincount(y[below], minlength=2))
+
+
+def test_large_nodes_of_the_exact_tree_change_nothing(data):
+    df, _, _ = data
+    one, other = (trees_of(ExactTree(balanced=True, localRows=n).fit(df).trees.withColumn("model", F.lit(0))) for n in (10_000, 60))
+    assert shape(one[0, 0]) == shape(other[0, 0])
+
+
+def test_a_stump_is_applied_to_the_rows_once(blocks, monkeypatch):
+    """The pass of a round does not go through the stumps before it."""
+    from riskweave.operators import tree_boosting
+
+    kept = []
+    real = tree_boosting._KeptRows.advance
+    monkeypatch.setattr(tree_boosting._KeptRows, "advance", lambda self, step, write: kept.append(step.keywords["stumps"]) or real(self, step, write))
+    grow_stumps(blocks, StumpSpec(4), [0, 2])
+    assert [len(some) for some in kept] == [2, 2, 2] and all(len(stump) == 6 for some in kept for stump in some.values())
