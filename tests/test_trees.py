@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from riskweave.operators import tree_boosting
 from riskweave.operators.exact_tree import ExactTree, open_ranges
 from riskweave.operators.row_blocks import leaving_out, row_blocks
 from riskweave.operators.tree_boosting import SCALE, BoostSpec, StumpSpec, grow_boosted, grow_stumps
@@ -170,6 +171,51 @@ def test_sampled_boosting_is_the_same_whatever_is_written(blocks):
     assert all(shape(one[k]) == shape(other[k]) for k in one) and len(one) == 10
 
 
+def test_driver_and_tasks_add_up_the_same_trees(blocks, monkeypatch):
+    spec = BoostSpec(4, depth=4, row_share=0.7, feature_share=0.6)
+    with monkeypatch.context() as m:
+        m.setattr(tree_boosting._Boosting, "_pass", lambda *_: pytest.fail("a pass of small histograms had a second stage"))
+        on_driver = trees_of(grow_boosted(blocks, spec, [0, 1], 0, written_every=2))
+    monkeypatch.setattr(tree_boosting, "DRIVER_BYTES", 0)
+    in_tasks = trees_of(grow_boosted(blocks, spec, [0, 1], 0, written_every=2))
+    assert len(on_driver) == 8 and all(shape(on_driver[k]) == shape(in_tasks[k]) for k in on_driver)
+    assert any(len(tree) > 7 for tree in on_driver.values())  # some nodes were what remained of their parents
+
+
+def test_best_splits_of_cells_equal_those_of_histograms():
+    rng = np.random.default_rng(5)
+    lengths, spec = np.array([3, 1, 6, 2]), BoostSpec(1, least_weight=0.0)
+    starts = np.append(0, np.cumsum(lengths))
+    sums = np.zeros((5, 12, 3), np.int64)
+    for node in range(4):  # the last node is empty
+        for a, b in zip(starts, starts[1:]):
+            rows = rng.integers(0, b - a, 40)
+            for k, values in enumerate((np.arange(40) * 1000 * node - 9_000_000, np.full(40, SCALE // 5), None)):
+                sums[node, a:b, k] = np.bincount(rows, values, b - a)
+    gains, cells, lefts, wholes = tree_boosting.best_cell_splits(sums, starts, spec)
+    for node in range(5):
+        dense = np.zeros((4, 6, 3), np.int64)
+        for slot, (a, b) in enumerate(zip(starts, starts[1:])):
+            dense[slot, : b - a] = sums[node, a:b]
+        gain, slot, code, left = tree_boosting.best_newton_split(dense, spec)
+        assert gains[node] == gain and (wholes[node] == dense[0].sum(axis=0)).all()
+        if np.isfinite(gain):
+            assert cells[node] == starts[slot] + code and (lefts[node] == left).all()
+
+
+def test_merged_blocks_draw_the_same_rows():
+    rng = np.random.default_rng(6)
+    each = [
+        tree_boosting.KeptBlock([(i, n)], rng.integers(0, 9, (3, n)).astype(np.uint8), np.zeros(n, np.uint8), rng.integers(0, 4, n), np.zeros((2, 2, n)))
+        for i, n in enumerate((50, 70, 30))
+    ]
+    found = list(tree_boosting.gathered(iter(each), 120))
+    assert [b.parts for b in found] == [[(0, 50), (1, 70)], [(2, 30)]]
+    for model in (0, 1):
+        apart = np.concatenate([each[0].drawn(model, 7, 0.6), each[1].drawn(model, 7, 0.6) + 50])
+        assert found[0].drawn(model, 7, 0.6).tolist() == apart.tolist()
+
+
 def test_stumps_equal_direct_samme(data, blocks):
     _, x, y = data
     table, weights = grow_stumps(blocks, StumpSpec(8), [0, 2])
