@@ -266,6 +266,24 @@ def test_cross_validation_of_several_models(spark, separable):
     assert all(r["roc_auc"] > 0.8 for r in found)
 
 
+def test_cross_validation_fits_the_models_it_scores(spark, separable, monkeypatch):
+    from riskweave.operators import models
+    from riskweave.operators.tree_models import ForestClassifier
+
+    grown, fitted = [], []
+    grow, fit = ForestClassifier.grown, models.fit_classifier
+    monkeypatch.setattr(ForestClassifier, "grown", lambda self, blocks, some: grown.append(some) or grow(self, blocks, some))
+    monkeypatch.setattr(models, "fit_classifier", lambda *given: fitted.append(given[0]) or fit(*given))
+    folded = separable.withColumn("fold", (F.col(S.KEY) % 3 + 1).cast("int"))
+    evaluate.cross_validated(["naive_bayes", "random_forest"], folded, "y", k=3, sizes=SMALL)
+    assert grown == [[1, 2, 3]] and fitted == ["naive_bayes"] * 3
+    with_all = models.fit_parts("random_forest", folded, "y", [1, 2, 3], sizes=SMALL)
+    without = models.fit_parts("random_forest", folded, "y", [1, 2, 3], sizes=SMALL, whole=False)
+    assert sorted(with_all) == [0, 1, 2, 3] and sorted(without) == [1, 2, 3]
+    p = [m.transform(folded).orderBy(S.KEY).select(vector_to_array("probability")[1].alias("p")).collect() for m in (with_all[2], without[2])]
+    assert p[0] == p[1]
+
+
 def test_first_candidate_is_loaded_and_described(spark, trained):
     _, _, folder = trained
     name, model, features = artifacts.load_first(folder)
