@@ -101,9 +101,10 @@ def _linked_pairs(nodes: DataFrame, keys: DataFrame, ring: list[tuple[int, int]]
     chain = F.lit(False)
     for start in range(len(ring)):
         chain = chain | ((F.col("start") == start) & _chain_holds(x, ring, start, distance))
+    # Spark sizes an explode like its input and would broadcast dozens of rows a fingerprint
     left = keys.select("key", "start", F.col("fp").alias("u"))
     return left.join(
-        right,
+        right.hint("merge"),
         (F.col("key") == F.col("asked")) & (F.col("u") < F.col("v")) & chain & (F.bit_count(x) <= distance),
     ).select("u", "v")
 
@@ -126,7 +127,7 @@ def _midpoint_links(crowded: DataFrame, distance: int) -> DataFrame:
     ).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"), (F.bit_count("mask") <= lower).alias("low"))
     hubs = sent.groupBy("at").agg(F.min(F.when(F.col("low"), F.col("fp"))).alias("u"), F.count(F.lit(1)).alias("n"))
     return (
-        sent.join(hubs.filter("n > 1 and u is not null"), "at").select("u", F.col("fp").alias("v"))
+        sent.join(hubs.filter("n > 1 and u is not null").hint("merge"), "at").select("u", F.col("fp").alias("v"))
         .filter("u != v").distinct()
     )
 

@@ -86,3 +86,12 @@ def test_links_in_crowds(spark, distance, crowd):
     for v in expected.values():
         sizes[v] = sizes.get(v, 0) + 1
     assert found == {v: c for v, c in expected.items() if sizes[c] > 1}
+
+
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_exploded_fingerprints_are_not_broadcast(spark, tmp_path, crowd):
+    rows = spark.range(40).select((F.col("id") * 7919).alias("fp"), F.col("id").alias("least"))
+    rows.write.parquet(str(tmp_path / "nodes"))
+    links = near_links(spark, spark.read.parquet(str(tmp_path / "nodes")), 2, crowd=crowd)
+    joins = [line for line in links._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and " Inner" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
