@@ -341,3 +341,46 @@ def test_a_stump_is_applied_to_the_rows_once(blocks, monkeypatch):
     monkeypatch.setattr(tree_boosting._KeptRows, "advance", lambda self, step, write: kept.append(step.keywords["stumps"]) or real(self, step, write))
     grow_stumps(blocks, StumpSpec(4), [0, 2])
     assert [len(some) for some in kept] == [2, 2, 2] and all(len(stump) == 6 for some in kept for stump in some.values())
+
+
+@pytest.mark.parametrize("least", [1.0, 0.0])
+def test_boosting_in_one_task_grows_the_trees_of_the_passes(blocks, monkeypatch, least):
+    """A model that fits a task starts no passes, and its trees are the same."""
+    spec = BoostSpec(6, step=0.3, depth=4, row_share=0.7, feature_share=0.6, least_weight=least)
+    in_passes = trees_of(grow_boosted(blocks, spec, [0, 2, 3], 0, written_every=2))
+    monkeypatch.setattr(tree_boosting, "_KeptRows", lambda *_: pytest.fail("a pass over rows that fit a task"))
+    in_task = trees_of(grow_boosted(blocks, spec, [0, 2, 3], 0, written_every=2, whole_bytes=1 << 20))
+    assert len(in_task) == 18 and in_task.keys() == in_passes.keys()
+    assert all(shape(in_task[k]) == shape(in_passes[k]) for k in in_task)
+    assert sum(len(tree) > 7 for tree in in_task.values()) > 10
+
+
+def test_codes_counted_in_groups_give_the_sums_of_each_feature(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes = np.array([5, 2, 9, 1, 2, 7])
+    by_feature = np.stack([rng.integers(0, c, 400) for c in codes]).astype(np.uint8)
+    rows, features = rng.permutation(400)[:300], np.array([0, 2, 3, 4])
+    at, g, h = rng.integers(0, 3, 300), rng.integers(-(1 << 27), 1 << 27, 300), rng.integers(0, 1 << 25, 300)
+    starts = np.append(0, np.cumsum(codes[features]))
+    expected = tree_boosting.summed_cells(by_feature, rows, at, g, h, features, starts, 3)
+    for cells in (1 << 12, 20, 1):
+        monkeypatch.setattr(tree_boosting, "GROUP_CELLS", cells)
+        groups = tree_boosting.cell_groups(codes)
+        assert sorted(f for group in groups for f in group) == list(range(6)) and (len(groups) == 6) == (cells == 1)
+        grouped = tree_boosting.grouped_codes(by_feature, codes, groups)
+        assert (tree_boosting.summed_groups(grouped, groups, codes, rows, at, g, h, features, starts, 3) == expected).all()
+
+
+def test_large_and_small_nodes_of_a_whole_model_are_counted_alike(monkeypatch):
+    """Groups of features at a time, or one feature after the other."""
+    rng = np.random.default_rng(7)
+    codes, grown = np.array([4, 2, 6, 2]), []
+    by_feature = np.stack([rng.integers(0, c, 3_000) for c in codes]).astype(np.uint8)
+    labels = (by_feature[0] + by_feature[2] + rng.normal(size=3_000) * 2 > 4).astype(np.uint8)
+    block = tree_boosting.KeptBlock([(0, 1_700), (3, 1_300)], by_feature, labels, np.ones(3_000, np.int64), np.zeros((0, 3_000)))
+    for cells in (24, 1 << 14):
+        monkeypatch.setattr(tree_boosting, "GROUP_CELLS", cells)
+        run = tree_boosting._WholeModel(0, block, BoostSpec(4, depth=4, feature_share=0.8), codes, 1.5, 2)
+        run.cells = 24 if cells == 24 else 1 << 14
+        grown.append([run.tree(i) for i in range(4)])
+    assert all(vars(a) | {"open": 0} == vars(b) | {"open": 0} for a, b in zip(*grown)) and len(grown[0][3].feature) > 7
