@@ -384,3 +384,25 @@ def test_large_and_small_nodes_of_a_whole_model_are_counted_alike(monkeypatch):
         run.cells = 24 if cells == 24 else 1 << 14
         grown.append([run.tree(i) for i in range(4)])
     assert all(vars(a) | {"open": 0} == vars(b) | {"open": 0} for a, b in zip(*grown)) and len(grown[0][3].feature) > 7
+
+
+def test_the_shuffle_files_of_a_batch_of_trees_go_with_it(spark, data, monkeypatch):
+    from riskweave.operators import tree_growth
+
+    blocks = row_blocks(data[0], "features", "label", leaving_out("fold", 3), 4, bins=16, block_rows=70)
+    there, real = [], tree_growth._grow_batch
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b.name() for b in map(manager.getAllBlocks().apply, range(manager.getAllBlocks().size())) if b.name().startswith("shuffle_")}
+    whole = trees_of(grow_forest(blocks, ForestSpec(5, share=0.8), [0, 2], 100))
+    before = shuffled()
+
+    def batch(*args):
+        grown = real(*args)
+        there.append((len(args[4]), len(shuffled() - before)))
+        return grown
+
+    monkeypatch.setattr(tree_growth, "_grow_batch", batch)
+    monkeypatch.setattr(tree_growth, "SHUFFLED_BYTES", 500 * (blocks.width + 9) * 4)
+    parts = trees_of(grow_forest(blocks, ForestSpec(5, share=0.8), [0, 2], 100))
+    assert [n for n, _ in there] == [4, 4, 2] and [files for _, files in there] == [0, 0, 0]
+    assert whole.keys() == parts.keys() and all(shape(whole[k]) == shape(parts[k]) for k in whole)
